@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, pattern_packing, token_rows
+from tessera.llm import decontamination, pattern_packing, substring_dedup, token_rows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,32 @@ def op1_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rows.token_rows(_table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+#: All windows of all documents by one window function.
+OP5_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i + 1 : i + 13], ' ') AS phrase
+  FROM (SELECT doc_id, w, unnest(range(len(w) - 12)) AS i FROM words WHERE len(w) >= 13)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p
+  FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY phrase) AS least FROM windows) WHERE least < doc_id
+), each AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM words
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+), removed AS (
+  SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+)
+SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM words LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.drop("hit_spans")
@@ -54,8 +80,8 @@ def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_rows": op1_token_rows, "op8_decontamination": op8_decontamination, "op9_pattern_packing": op9_pattern_packing}
+    return {"op1_token_rows": op1_token_rows, "op5_substring_dedup": op5_substring_dedup, "op8_decontamination": op8_decontamination, "op9_pattern_packing": op9_pattern_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": OP8_SQL}
+    return {"op5_substring_dedup": OP5_SQL, "op8_decontamination": OP8_SQL}
