@@ -20,10 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._store import fresh_path
-from tessera.llm._words import string_buffers
+from tessera.llm._words import slices, string_buffers
 
 #: Text of a block; beyond about a terabyte, raise it with the size of an input split.
 BLOCK_BYTES = 6 << 20
+#: Rows of a block at most; a row's number is its block's, shifted by so many bits, and its place there.
+BLOCK_BITS = 16
+BLOCK_ROWS = 1 << BLOCK_BITS
 #: Keys that a bucket holds, about.
 BUCKET_KEYS = 3_000_000
 
@@ -90,20 +93,18 @@ def write_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, column: str =
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tessera.llm._words import slices
-
-        held, size, block = [], 0, TaskContext.get().partitionId() << 32
+        held, size, count, block = [], 0, 0, TaskContext.get().partitionId() << 24
 
         def flush() -> pa.RecordBatch:
             return pa.record_batch([pa.array([block], pa.int64()), pa.array([size], pa.int64()), pa.array([_pack(held)], pa.binary())], names=["block", "n_bytes", "payload"])
 
         for batch in batches:
-            for part in slices(batch, column, block_bytes):
+            for part in slices(batch, column, block_bytes, BLOCK_ROWS):
                 n = int(string_buffers(part.column(column))[1][-1])
-                if held and size + n > block_bytes:
+                if held and (size + n > block_bytes or count + part.num_rows > BLOCK_ROWS):
                     yield flush()
-                    held, size, block = [], 0, block + 1
-                held, size = [*held, part], size + n
+                    held, size, count, block = [], 0, 0, block + 1
+                held, size, count = [*held, part], size + n, count + part.num_rows
         if held:
             yield flush()
 
@@ -114,6 +115,11 @@ def write_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, column: str =
     return spark.table(name)
 
 
+def row_ids(block: int, n: int) -> np.ndarray:
+    """The numbers of a block's rows."""
+    return (block << BLOCK_BITS) + np.arange(n, dtype=np.int64)
+
+
 def n_buckets(blocks: DataFrame, bytes_per_key: float) -> int:
     """Buckets for a key every ``bytes_per_key`` bytes of the blocks' text."""
     size = blocks.agg(F.sum("n_bytes")).first()[0] or 0

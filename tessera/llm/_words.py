@@ -162,7 +162,7 @@ def covered(start: np.ndarray, length: int | np.ndarray, total: int) -> np.ndarr
     return np.cumsum(change[:-1]) > 0
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int) -> list[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int, most_rows: int = 1 << 62) -> list[pa.RecordBatch]:
     """The batch in runs of rows with up to ``most`` bytes of text each; a longer text is on its own."""
     if not batch.num_rows:
         return []
@@ -170,6 +170,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int) -> list[pa.RecordBatch
     out, lo = [], 0
     while lo < batch.num_rows:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, side="right")) - 1)
+        hi = min(hi, lo + most_rows)
         out.append(batch.slice(lo, hi - lo))
         lo = hi
     return out
