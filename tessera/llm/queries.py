@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, jaccard_join, pattern_packing, substring_dedup, token_rows
+from tessera.llm import decontamination, jaccard_join, language_id, pattern_packing, substring_dedup, token_rows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rows.token_rows(_table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predictions(_table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -84,7 +88,7 @@ def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_rows": op1_token_rows, "op5_substring_dedup": op5_substring_dedup, "op7_jaccard_join": op7_jaccard_join, "op8_decontamination": op8_decontamination, "op9_pattern_packing": op9_pattern_packing}
+    return {"op1_token_rows": op1_token_rows, "op3_language_id": op3_language_id, "op5_substring_dedup": op5_substring_dedup, "op7_jaccard_join": op7_jaccard_join, "op8_decontamination": op8_decontamination, "op9_pattern_packing": op9_pattern_packing}
 
 
 def oracle_sql() -> dict[str, str]:
