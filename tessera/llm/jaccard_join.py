@@ -238,7 +238,7 @@ def _links(reps: DataFrame, blocks: DataFrame, n: int, threshold: float) -> Data
 
 
 def _grouped(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
-    """The blocks, and for each row: row, doc_id, rep (its class's row), n_copies, n_links, component (a row)."""
+    """The blocks, and for each row: row, doc_id, copy_of, class_id, n_copies, n_links and kept (the row that stands for its group)."""
     bands, rows = bands_and_rows(threshold, recall)
     blocks = B.write_blocks(docs)
     signatures = freeze(_signatures(blocks, n, bands, rows), "signatures")
@@ -250,17 +250,22 @@ def _grouped(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[
     found = freeze(_links(classes.select("row", "n", "bands"), blocks, n, threshold), "links")
     groups = components(found.select("row", "root"), "row", "root")
     counts = found.groupBy("row").agg(F.sum("n_links").alias("n_links"))
-    known = classes.select("low", "high", "n_copies", F.col("row").alias("rep")).join(counts.withColumnRenamed("row", "rep"), "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    out = signatures.select("row", "doc_id", "n", "low", "high").join(known, ["low", "high"], "left")
-    empty = F.col("n") == 0
-    return blocks, out.select(
-        "row",
-        "doc_id",
-        F.when(empty, F.col("row")).otherwise(F.col("rep")).alias("rep"),
-        F.when(empty, F.lit(1)).otherwise(F.col("n_copies")).cast("long").alias("n_copies"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.when(empty, F.col("row")).otherwise(F.coalesce("component", "rep")).alias("component"),
+    # Written, so that each join below reads its sides by the join's own exchanges, and Spark can split a hot key.
+    known = freeze(
+        classes.select("low", "high", "n_copies", F.col("row").alias("rep"), F.col("d").alias("copy_of"))
+        .join(counts.withColumnRenamed("row", "rep"), "rep", "left")
+        .join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+        .withColumn("component", F.coalesce("component", "rep")),
+        "known",
     )
+    first = freeze(known.groupBy("component").agg(F.min(F.struct(F.col("copy_of").alias("d"), F.col("rep").alias("row"))).alias("first")).select("component", F.col("first.d").alias("class_id"), F.col("first.row").alias("kept")), "groups")
+    placed = freeze(known.join(first, "component"), "placed")
+    out = signatures.select("row", "doc_id", "n", "low", "high").join(placed, ["low", "high"], "left")
+    empty = F.col("n") == 0
+    own = {"copy_of": F.col("doc_id"), "class_id": F.col("doc_id"), "n_copies": F.lit(1).cast("long"), "n_links": F.lit(0).cast("long"), "kept": F.col("row")}
+    columns = [F.when(empty, alone).otherwise(F.col(c) if c != "n_links" else F.coalesce(c, F.lit(0))).alias(c) for c, alone in own.items()]
+    none = F.lit(_LAST)
+    return blocks, out.select("row", "doc_id", *columns).withColumns({c: F.when(F.col(c) != none, F.col(c)) for c in ("copy_of", "class_id")})
 
 
 def near_duplicates(docs: DataFrame, n: int = N_GRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -274,18 +279,14 @@ def near_duplicates(docs: DataFrame, n: int = N_GRAM, threshold: float = THRESHO
     further columns are ignored; no rows give no rows.
     """
     _, rows = _grouped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), n, threshold, recall)
-    rows = freeze(rows, "near")
-    ids = rows.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    copies = rows.groupBy("rep").agg(F.min("doc_id").alias("copy_of"))
-    return rows.join(ids, "component").join(copies, "rep").select("doc_id", "class_id", "copy_of", "n_copies", "n_links")
+    return rows.select("doc_id", "class_id", "copy_of", "n_copies", "n_links")
 
 
 def keep_one(docs: DataFrame, n: int = N_GRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """``docs``, all columns, without near duplicates: of each group the row of the least doc_id stays; wordless texts all stay."""
     cast = docs.withColumn("text", F.col("text").cast("string"))
     blocks, rows = _grouped(cast, n, threshold, recall)
-    first = rows.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "row")).alias("kept")).select("kept.row")
-    kept = first.withColumn("block", F.shiftright("row", B.BLOCK_BITS))
+    kept = rows.where("row = kept").select("row", F.shiftright("row", B.BLOCK_BITS).alias("block"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         at = np.sort(right.column("row").to_numpy() & (B.BLOCK_ROWS - 1))
