@@ -133,7 +133,7 @@ def _best_condition(rows: DataFrame, rule: Rule, edges: dict[str, list[float]],
     bins = [F.struct(F.lit(f).alias("f"), F.expr(" + ".join([f"int({f} > {e!r}D)" for e in edges[f]])).alias("bin"), F.col(f).alias("v")) for f in FEATURES if edges[f]]
     if not bins:
         return None
-    cells = rows.where(_both(rule)).select("bad", F.explode(F.array(*bins)).alias("c")).groupBy("c.f", "c.bin").agg(F.sum("bad").alias("bad"), F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most")).collect()
+    cells = rows.where(_both(rule)).select("bad", F.explode(F.array(*bins)).alias("c")).groupBy("c.f", "c.bin").agg(F.sum("bad").alias("bad"), F.count("*").alias("n"), F.min("c.v").alias("least"), F.max("c.v").alias("most")).collect()
     best = None
     for f in FEATURES:
         own = {r["bin"]: (r["bad"], r["n"]) for r in cells if r["f"] == f}
