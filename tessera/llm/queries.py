@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, jaccard_join, language_id, pattern_packing, quality_rules, substring_dedup, token_rows
+from tessera.llm import decontamination, jaccard_join, label_sharding, language_id, pattern_packing, quality_rules, substring_dedup, token_rows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predictions(_table(spark, sf_dir, "documents"))
 
 
+def op4_label_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_sharding.shard_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -92,7 +96,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_rows": op1_token_rows, "op3_language_id": op3_language_id, "op5_substring_dedup": op5_substring_dedup, "op7_jaccard_join": op7_jaccard_join, "op8_decontamination": op8_decontamination, "op9_pattern_packing": op9_pattern_packing, "op10_quality_rules": op10_quality_rules}
+    return {"op1_token_rows": op1_token_rows, "op3_language_id": op3_language_id, "op4_label_sharding": op4_label_sharding, "op5_substring_dedup": op5_substring_dedup, "op7_jaccard_join": op7_jaccard_join, "op8_decontamination": op8_decontamination, "op9_pattern_packing": op9_pattern_packing, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
