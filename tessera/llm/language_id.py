@@ -147,13 +147,16 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = EPOCHS
 
 def train(labelled: DataFrame, texts_per_language: int = TEXTS_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, epochs: int = EPOCHS) -> Network | None:
     """A network for the labels of ``labelled`` (text, lang); None where no row has both a text with letters and a label."""
-    rows = labelled.select(F.col("text").cast("string"), F.col("lang").cast("string")).where("text is not null and lang is not null and length(text) > 0")
+    # Rows are picked by a hash of their id where they have one, so that copies are not picked all together.
+    picks = F.xxhash64("doc_id" if "doc_id" in labelled.columns else "text")
+    rows = labelled.select(F.col("text").cast("string"), F.col("lang").cast("string"), (F.pmod(picks, F.lit(1 << 30)) / F.lit(1 << 30)).alias("chance")).where("text is not null and lang is not null and length(text) > 0")
     counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     if not counts:
         return None
     share = F.create_map(*(c for r in counts for c in (F.lit(r["lang"]), F.lit(float(texts_per_language / r["n"])))))
-    chance = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30)) / F.lit(1 << 30)
-    picked = rows.where(chance < F.element_at(share, F.col("lang")))
+    picked = rows.where(F.col("chance") < F.element_at(share, F.col("lang")))
+
+    picked = picked.drop("chance")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
