@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, jaccard_join, label_sharding, language_id, pattern_packing, quality_rules, substring_dedup, token_rows
+from tessera.llm import decontamination, jaccard_join, label_sharding, language_id, pattern_packing, quality_rules, substring_dedup, token_rows, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,29 @@ def op1_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rows.token_rows(_table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages"))
+
+
+#: SHA-1 in base32: eight groups of five hexadecimal digits, each four characters.
+OP2_SQL = """
+WITH hashed AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), coded AS (
+  SELECT page_id, strlen(html) AS payload_bytes,
+         array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform([15, 10, 5, 0],
+           lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (g * 5 + 1)::INT, 5))::INT >> b) & 31) + 1, 1)), '')), '') AS payload_digest
+  FROM hashed
+), firsts AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM coded
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM firsts
+"""
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predictions(_table(spark, sf_dir, "documents"))
 
@@ -96,8 +119,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_rows": op1_token_rows, "op3_language_id": op3_language_id, "op4_label_sharding": op4_label_sharding, "op5_substring_dedup": op5_substring_dedup, "op7_jaccard_join": op7_jaccard_join, "op8_decontamination": op8_decontamination, "op9_pattern_packing": op9_pattern_packing, "op10_quality_rules": op10_quality_rules}
+    return {"op1_token_rows": op1_token_rows, "op2_warc": op2_warc, "op3_language_id": op3_language_id, "op4_label_sharding": op4_label_sharding, "op5_substring_dedup": op5_substring_dedup, "op7_jaccard_join": op7_jaccard_join, "op8_decontamination": op8_decontamination, "op9_pattern_packing": op9_pattern_packing, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": OP5_SQL, "op8_decontamination": OP8_SQL}
+    return {"op2_warc": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op8_decontamination": OP8_SQL}
