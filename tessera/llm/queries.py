@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, jaccard_join, label_sharding, language_id, pattern_packing, quality_rules, substring_dedup, token_rows, warc
+from tessera.llm import decontamination, jaccard_join, label_sharding, language_id, pattern_packing, pitman_yor, quality_rules, substring_dedup, token_rows, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,10 @@ FROM words LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.scores(_table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -119,7 +123,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_rows": op1_token_rows, "op2_warc": op2_warc, "op3_language_id": op3_language_id, "op4_label_sharding": op4_label_sharding, "op5_substring_dedup": op5_substring_dedup, "op7_jaccard_join": op7_jaccard_join, "op8_decontamination": op8_decontamination, "op9_pattern_packing": op9_pattern_packing, "op10_quality_rules": op10_quality_rules}
+    return {"op1_token_rows": op1_token_rows, "op2_warc": op2_warc, "op3_language_id": op3_language_id, "op4_label_sharding": op4_label_sharding, "op5_substring_dedup": op5_substring_dedup, "op6_pitman_yor": op6_pitman_yor, "op7_jaccard_join": op7_jaccard_join, "op8_decontamination": op8_decontamination, "op9_pattern_packing": op9_pattern_packing, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
