@@ -7,7 +7,7 @@ is a quota, made of the room left there and of the moves in the opposite directi
 Unlinked documents are neutral, so they come last and fill every shard to its exact
 count.  Shards differ by one row at most (law ``rows``).
 
-The rounds work on atoms, the documents of one group in one of 1,024 residues of the
+The rounds work on atoms, the documents of one group in one of 128 residues of the
 id's hash.  A group, even one with a third of all rows, has no more atoms than that, so
 no task gets an unbounded group; and an atom is a small share of a shard, so a large
 group fills shards without being moved whole.  A round's quotas are the only numbers
@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from tessera.llm._store import freeze
 
 SHARDS = 16
-RESIDUES = 1024
+RESIDUES = 128
 ROUNDS = 6
 #: Documents that are numbered in one task, about.
 NUMBERED = 50_000
