@@ -1 +1 @@
-
+"""Scalar functions: columns in, a column out."""

@@ -1 +1 @@
-
+"""Operators: tables in, a table out."""

@@ -1 +1 @@
-
+"""Streaming counterparts of cache and top-k operators."""
