@@ -19,11 +19,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._store import fresh_path
+from tessera.llm._store import fresh_path, small_batches
 from tessera.llm._words import slices, string_buffers
 
 #: Text of a block; beyond about a terabyte, raise it with the size of an input split.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 #: Rows of a block at most; a row's number is its block's, shifted by so many bits, and its place there.
 BLOCK_BITS = 16
 BLOCK_ROWS = 1 << BLOCK_BITS
@@ -91,6 +91,7 @@ def write_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, column: str =
     The rows are written where they are read: a block never leaves its task.
     """
     spark = docs.sparkSession
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, count, block = [], 0, 0, TaskContext.get().partitionId() << 24
@@ -144,6 +145,7 @@ def ask(blocks: DataFrame, messages: Callable[[int, pa.RecordBatch], Iterator[Me
         for batch in batches:
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
                 yield message_batch(messages(block, unpack(payload.as_py())))
+                pa.default_memory_pool().release_unused()
 
     return blocks.select("block", "payload").mapInArrow(run, MESSAGE)
 
@@ -154,7 +156,9 @@ def meet(messages: DataFrame, answers: Callable[[int, list[Message]], Iterator[M
     def run(table: pa.Table) -> pa.Table:
         rows = [tuple(r.values()) for r in table.select(["bucket", "block", "n", "keys", "more"]).to_pylist()]
         rows.sort(key=lambda r: r[1])
-        return pa.Table.from_batches([message_batch(answers(rows[0][0], rows))])
+        out = pa.Table.from_batches([message_batch(answers(rows[0][0], rows))])
+        pa.default_memory_pool().release_unused()
+        return out
 
     return messages.groupBy("bucket").applyInArrow(run, MESSAGE)
 
@@ -166,6 +170,7 @@ def told(blocks: DataFrame, answers: DataFrame, act: Callable[[int, pa.RecordBat
         block = left.column("block")[0].as_py()
         got = {b: (n, k, m) for b, n, k, m in zip(*(right.column(c).to_pylist() for c in ("bucket", "n", "keys", "more")))}
         out = act(block, unpack(left.column("payload")[0].as_py()), got)
+        pa.default_memory_pool().release_unused()
         return out if isinstance(out, pa.Table) else pa.Table.from_batches([out])
 
     return blocks.select("block", "payload").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)

@@ -27,7 +27,7 @@ LOWER[0x41:0x5B] += 0x20
 _BASE = np.uint64(0x9E3779B97F4A7C13)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Bytes hashed at a time, so that scratch arrays stay small whatever a text's length.
-_STRIDE = 1 << 20
+_STRIDE = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:

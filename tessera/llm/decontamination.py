@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._store import small_batches
 from tessera.llm._words import NOT_ALNUM, slices, words
 
 WINDOW = 10
@@ -207,6 +208,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int,
 
 def _search(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
     """``docs`` with the 0-based word spans that are hit (``hit_spans``: starts and ends in turn) and the items found (``hit_items``)."""
+    small_batches(docs.sparkSession)
     out = docs.select("*", F.expr("cast(array() as array<bigint>)").alias("hit_spans"), F.expr("cast(array() as array<bigint>)").alias("hit_items"))
     for block in _blocks(benchmark, block_bytes):
         known = phrases(block, window)

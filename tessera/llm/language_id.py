@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._store import small_batches
 from tessera.llm._words import LOWER, slices, string_buffers
 
 WINDOW = 256
@@ -205,6 +206,7 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     A null text, and one without a letter, is ``und`` with score 0; so is every text where
     there is no network.  Columns of these names in ``docs`` are replaced.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))
     sent = docs.sparkSession.sparkContext.broadcast(net)
     columns = docs.columns

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessera.llm._store import freeze
+from tessera.llm._store import freeze, small_batches
 from tessera.llm.tokens import encoder
 
 SEQ_LEN = 2048
@@ -197,6 +197,7 @@ def pack(docs: DataFrame, seq_len: int = SEQ_LEN, end_id: int = END_ID, tokenize
     packed each on their own; a null doc_id stays null; an empty table gives no rows;
     columns besides doc_id and text are ignored.
     """
+    small_batches(docs.sparkSession)
     cuts = freeze(pieces(docs, seq_len, end_id, tokenizer_file), "pieces")
     # At most seq_len rows of histogram reach the driver.
     histogram = {r["length"]: r["n"] for r in cuts.groupBy("length").agg(F.count("*").alias("n")).collect()}

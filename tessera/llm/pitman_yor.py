@@ -38,7 +38,7 @@ STRENGTH = 0.5
 PARENT_STRENGTH = 1.0
 #: Cells of up to so many customers are drawn from exact weights; later customers of larger ones sit down in growing groups.
 EXACT = 48
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 
 #: Hashes that stand for the start (a context) and the end (a token) of every text.
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)

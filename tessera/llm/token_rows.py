@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._store import small_batches
 from tessera.llm.tokens import encoder
 
 SEQ_LEN = 2048
@@ -138,6 +139,7 @@ def token_rows(docs: DataFrame, seq_len: int = SEQ_LEN, end_id: int = END_ID, to
     a null doc_id stays null, an empty table gives no rows, further columns are ignored.
     """
 
+    small_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer = encoder(tokenizer_file), Packer(seq_len)
         kind = np.dtype("<u2" if max(encode.vocab_size, end_id + 1) <= 65536 else "<u4")
