@@ -98,10 +98,7 @@ def trust_tier(url: Column) -> Column:
 
 
 def by_tier(tier: Column, values: dict[str, float]) -> Column:
-    out = F.lit(values["general"])
-    for name, value in values.items():
-        out = F.when(tier == name, F.lit(value)).otherwise(out)
-    return out
+    return F.element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), tier)
 
 
 def source_quality(url: Column) -> Column:
