@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._store import fresh_path, small_batches
+from tessera.llm._store import fresh_path, release, small_batches
 from tessera.llm._words import slices, string_buffers
 
 #: Text of a block; beyond about a terabyte, raise it with the size of an input split.
@@ -108,6 +108,7 @@ def write_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, column: str =
                 held, size, count = [*held, part], size + n, count + part.num_rows
         if held:
             yield flush()
+        release()
 
     name = f"tessera_blocks_{uuid.uuid4().hex}"
     packed = docs.mapInArrow(run, "block long, n_bytes long, payload binary")
@@ -145,7 +146,7 @@ def ask(blocks: DataFrame, messages: Callable[[int, pa.RecordBatch], Iterator[Me
         for batch in batches:
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
                 yield message_batch(messages(block, unpack(payload.as_py())))
-                pa.default_memory_pool().release_unused()
+                release()
 
     return blocks.select("block", "payload").mapInArrow(run, MESSAGE)
 
@@ -157,7 +158,7 @@ def meet(messages: DataFrame, answers: Callable[[int, list[Message]], Iterator[M
         rows = [tuple(r.values()) for r in table.select(["bucket", "block", "n", "keys", "more"]).to_pylist()]
         rows.sort(key=lambda r: r[1])
         out = pa.Table.from_batches([message_batch(answers(rows[0][0], rows))])
-        pa.default_memory_pool().release_unused()
+        release()
         return out
 
     return messages.groupBy("bucket").applyInArrow(run, MESSAGE)
@@ -170,7 +171,7 @@ def told(blocks: DataFrame, answers: DataFrame, act: Callable[[int, pa.RecordBat
         block = left.column("block")[0].as_py()
         got = {b: (n, k, m) for b, n, k, m in zip(*(right.column(c).to_pylist() for c in ("bucket", "n", "keys", "more")))}
         out = act(block, unpack(left.column("payload")[0].as_py()), got)
-        pa.default_memory_pool().release_unused()
+        release()
         return out if isinstance(out, pa.Table) else pa.Table.from_batches([out])
 
     return blocks.select("block", "payload").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)

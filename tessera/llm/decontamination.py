@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._store import small_batches
+from tessera.llm._store import release, small_batches
 from tessera.llm._words import NOT_ALNUM, slices, words
 
 WINDOW = 10
@@ -206,24 +206,33 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int,
         yield [tuple(r) for r in part.collect()]
 
 
-def _search(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
-    """``docs`` with the 0-based word spans that are hit (``hit_spans``: starts and ends in turn) and the items found (``hit_items``)."""
+def _search(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, finish: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
+    """``finish`` of every slice of ``docs`` with the 0-based word spans that are hit (``hit_spans``: starts and ends in turn) and the items found (``hit_items``).
+
+    A pass for each block of the benchmark; the last one finishes, so that one block needs one pass.
+    """
     small_batches(docs.sparkSession)
     out = docs.select("*", F.expr("cast(array() as array<bigint>)").alias("hit_spans"), F.expr("cast(array() as array<bigint>)").alias("hit_items"))
+    waiting: Phrases | None = None
     for block in _blocks(benchmark, block_bytes):
         known = phrases(block, window)
         if known.by_length:
-            sent = docs.sparkSession.sparkContext.broadcast(known)
-            out = out.mapInArrow(_searcher(sent, out.columns), out.schema)
-    return out
+            if waiting is not None:
+                out = out.mapInArrow(_searcher(docs, waiting, out.columns, None), out.schema)
+            waiting = known
+    return out.mapInArrow(_searcher(docs, waiting, out.columns, finish), schema)
 
 
-def _searcher(sent, columns: list[str]) -> Callable:
+def _searcher(docs: DataFrame, known: Phrases | None, columns: list[str], finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None) -> Callable:
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
         for batch in batches:
             for part in slices(batch, "text", TEXT_BYTES):
-                yield _with_hits(part, known, columns)
+                if sent.value is not None:
+                    part = _with_hits(part, sent.value, columns)
+                yield finish(part) if finish is not None else part
+                release()
 
     return run
 
@@ -269,22 +278,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     documents get a row each; further columns of either table are ignored; an empty
     benchmark leaves all clean, and no documents give no rows.
     """
-    found = _search(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), benchmark, window, block_bytes)
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<bigint>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", TEXT_BYTES):
-                spans, items = part.column("hit_spans").to_pylist(), part.column("hit_items").to_pylist()
-                n_hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
-                digest = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items]
-                n_words = words(part.column("text"), NOT_ALNUM, lower=True).counts
-                yield pa.record_batch(
-                    [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_()), part.column("hit_spans")],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans"],
-                )
+    def finish(part: pa.RecordBatch) -> pa.RecordBatch:
+        spans, items = part.column("hit_spans").to_pylist(), part.column("hit_items").to_pylist()
+        n_hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
+        digest = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items]
+        n_words = words(part.column("text"), NOT_ALNUM, lower=True).counts
+        return pa.record_batch(
+            [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_()), part.column("hit_spans")],
+            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans"],
+        )
 
-    return found.mapInArrow(run, schema)
+    return _search(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), benchmark, window, block_bytes, finish, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -295,26 +301,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     included, is unchanged.
     """
     columns = docs.columns
-    found = _search(docs.withColumn("text", F.col("text").cast("string")), benchmark, window, block_bytes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", TEXT_BYTES):
-                spans = part.column("hit_spans").to_pylist()
-                text = part.column("text").to_pylist()
-                w = words(part.column("text"), NOT_ALNUM, lower=True)
-                keep = [True] * len(text)
-                for row, own in enumerate(spans):
-                    if own:
-                        text[row] = _cut(text[row], w, row, own)
-                        keep[row] = sum(own[1::2]) - sum(own[::2]) < w.counts[row]
-                new = {"text": pa.array(text, pa.string())}
-                if "n_chars" in columns:
-                    changed = [len(t) if own else n for t, own, n in zip(text, spans, part.column("n_chars").to_pylist())]
-                    new["n_chars"] = pa.array(changed, part.schema.field("n_chars").type)
-                yield pa.record_batch([new.get(c, part.column(c)) for c in columns], names=columns).filter(pa.array(keep))
-
-    return found.mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)
+    cast = docs.withColumn("text", F.col("text").cast("string"))
+
+    def finish(part: pa.RecordBatch) -> pa.RecordBatch:
+        spans, text = part.column("hit_spans").to_pylist(), part.column("text").to_pylist()
+        w = words(part.column("text"), NOT_ALNUM, lower=True)
+        keep = [True] * len(text)
+        for row, own in enumerate(spans):
+            if own:
+                text[row] = _cut(text[row], w, row, own)
+                keep[row] = sum(own[1::2]) - sum(own[::2]) < w.counts[row]
+        new = {"text": pa.array(text, pa.string())}
+        if "n_chars" in columns:
+            changed = [len(t) if own else n for t, own, n in zip(text, spans, part.column("n_chars").to_pylist())]
+            new["n_chars"] = pa.array(changed, part.schema.field("n_chars").type)
+        return pa.record_batch([new.get(c, part.column(c)) for c in columns], names=columns).filter(pa.array(keep))
+
+    return _search(cast, benchmark, window, block_bytes, finish, cast.schema)
 
 
 def _cut(text: str, w, row: int, spans: list[int]) -> str:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import _blocks as B
 from tessera.llm._components import components
-from tessera.llm._store import freeze
+from tessera.llm._store import freeze, release
 from tessera.llm._words import mix, run_starts, runs, words
 
 N_GRAM = 5
@@ -116,6 +116,7 @@ def _signatures(blocks: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     ],
                     names=["row", "doc_id", "n", "low", "high", "bands"],
                 )
+                release()
 
     return blocks.select("block", "payload").mapInArrow(run, "row long, doc_id long, n long, low long, high long, bands array<bigint>")
 
@@ -231,7 +232,9 @@ def _links(reps: DataFrame, blocks: DataFrame, n: int, threshold: float) -> Data
     )
 
     def verify(table: pa.Table) -> pa.Table:
-        return _verify(table, threshold)
+        out = _verify(table, threshold)
+        release()
+        return out
 
     alone = (F.col("tiles") > 1).alias("alone")
     return dealt.groupBy(alone, "task", "i", "j").applyInArrow(verify, "row long, n_links long, root long")

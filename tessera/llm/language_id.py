@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._store import small_batches
+from tessera.llm._store import release, small_batches
 from tessera.llm._words import LOWER, slices, string_buffers
 
 WINDOW = 256
@@ -216,6 +216,7 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
             for part in slices(batch, "text", 1 << 20):
                 lang, score = predict_texts(sent.value, part.column("text"))
                 yield pa.record_batch([*part.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*columns, "lang_pred", "score"])
+            release()
 
     schema = docs.withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
     return docs.mapInArrow(run, schema)

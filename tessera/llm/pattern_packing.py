@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessera.llm._store import freeze, small_batches
+from tessera.llm._store import freeze, release, small_batches
 from tessera.llm.tokens import encoder
 
 SEQ_LEN = 2048
@@ -64,6 +64,7 @@ def pieces(docs: DataFrame, seq_len: int = SEQ_LEN, end_id: int = END_ID, tokeni
                     out.append((doc_id, k, start, length, zlib.crc32(ids[start : start + length].tobytes()), part, rank))
             columns = zip(*out) if out else [[]] * len(_PIECES)
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=_PIECES.names)
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _PIECES)
 
