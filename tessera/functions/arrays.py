@@ -52,13 +52,17 @@ def blend(first: Column, second: Column, first_weight: float, scale: float = 1.0
     return F.zip_with(minmax(first), minmax(second), lambda a, b: F.lit(scale) * (F.lit(first_weight) * a + F.lit(1.0 - first_weight) * b))
 
 
+def _times(xs: Column, factor: float) -> Column:
+    return F.transform(xs, lambda x: x * factor)
+
+
 def weighted_minmax(sources: list[tuple[Column, float]], scale: float = 1.0) -> Column:
     """Scaled arrays averaged by weight; sources without a positive weight don't count."""
     used = [(xs, w) for xs, w in sources if w > 0]
     whole = sum(w for _, w in used)
     out = None
     for xs, w in used:
-        part = F.transform(minmax(xs), lambda x, w=w: x * (w / whole * scale))
+        part = _times(minmax(xs), w / whole * scale)
         out = part if out is None else F.zip_with(out, part, lambda a, b: a + b)
     return out
 
@@ -95,10 +99,14 @@ def row_quality(pos: Column, neg: Column) -> Column:
     return F.when((F.size(pos) > 0) & (F.size(neg) > 0), F.struct(*(c.alias(n) for n, c in fields.items())))
 
 
+def _within(xs: Column, top: Column, margin: float) -> Column:
+    return F.transform(xs, lambda x: top - x <= margin)
+
+
 def anti_regression(negatives: list[Column], margin_to_keep: float, hard_margin: float, best: list[Column]) -> Column:
     """For each negative: 1 less the margin if any surface's margin to its best positive is at most the hard margin, else 0."""
     risky = None
     for neg, top in zip(negatives, best):
-        part = F.transform(neg, lambda x, top=top: top - x <= hard_margin)
+        part = _within(neg, top, hard_margin)
         risky = part if risky is None else F.zip_with(risky, part, lambda a, b: a | b)
     return F.transform(risky, lambda r: F.when(r, 1.0 - margin_to_keep).otherwise(0.0))

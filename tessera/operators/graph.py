@@ -78,7 +78,7 @@ def keyword_search(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, id, score): share of a query's words that a node's text contains; best ``k``."""
     q = queries.select("qid", F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("words"))
     known = [(r["qid"], r["words"]) for r in q.collect()]
-    wanted = F.array(*(F.struct(F.lit(i).alias("qid"), F.array(*map(F.lit, w)).cast("array<string>").alias("words")) for i, w in known))
+    wanted = F.array(*(F.struct(F.lit(i).cast("long").alias("qid"), F.array(*map(F.lit, w)).cast("array<string>").alias("words")) for i, w in known))
     low = F.lower("text")
     hits = F.transform(wanted, lambda w: F.struct(w["qid"].alias("qid"), (F.size(F.filter(w["words"], lambda x: F.contains(low, x))) / F.greatest(F.size(w["words"]), F.lit(1))).alias("score")))
     scored = nodes.select("id", F.explode(F.filter(hits, lambda h: h["score"] > 0)).alias("h")).select("h.qid", "id", "h.score")
