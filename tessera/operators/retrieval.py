@@ -64,7 +64,7 @@ def dense_top_k(queries: DataFrame, docs: DataFrame, k: int, block: int = QUERY_
     part = F.pmod(F.xxhash64("qid"), F.lit(passes))
     for turn in range(passes):
         own = queries.select("qid", "v").where(part == turn).orderBy("qid").collect() if n else []
-        matrix = np.array([r["v"] for r in own], np.float64).reshape(len(own), -1)
+        matrix = np.array([r["v"] for r in own], np.float64).reshape(len(own), len(own[0]["v"]) if own else 0)
         best = _search(docs, np.array([r["qid"] for r in own], np.int64), matrix, k)
         found = best if found is None else found.unionByName(best)
     return top_k(found, k)
