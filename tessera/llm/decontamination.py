@@ -35,6 +35,8 @@ SAMPLE = 8
 BLOCK_BYTES = 32 << 20
 #: Document text that a task holds at a time.
 TEXT_BYTES = 4 << 20
+#: Columns that travel between passes, by names that no table has.
+SPANS, ITEMS = "_tessera_hit_spans", "_tessera_hit_items"
 
 
 @dataclass
@@ -207,12 +209,12 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int,
 
 
 def _search(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, finish: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
-    """``finish`` of every slice of ``docs`` with the 0-based word spans that are hit (``hit_spans``: starts and ends in turn) and the items found (``hit_items``).
+    """``finish`` of every slice of ``docs`` with the 0-based word spans that are hit (starts and ends in turn) and the items found.
 
     A pass for each block of the benchmark; the last one finishes, so that one block needs one pass.
     """
     small_batches(docs.sparkSession)
-    out = docs.select("*", F.expr("cast(array() as array<bigint>)").alias("hit_spans"), F.expr("cast(array() as array<bigint>)").alias("hit_items"))
+    out = docs.select("*", F.expr("cast(array() as array<bigint>)").alias(SPANS), F.expr("cast(array() as array<bigint>)").alias(ITEMS))
     waiting: Phrases | None = None
     for block in _blocks(benchmark, block_bytes):
         known = phrases(block, window)
@@ -249,12 +251,12 @@ def _with_hits(part: pa.RecordBatch, known: Phrases, columns: list[str]) -> pa.R
     for d in items_of:
         own = np.concatenate([[False], hit[w.first[d] : w.first[d + 1]], [False]])
         spans_of[d] = np.flatnonzero(own[1:] != own[:-1]).tolist()
-    spans, items = part.column("hit_spans").to_pylist(), part.column("hit_items").to_pylist()
+    spans, items = part.column(SPANS).to_pylist(), part.column(ITEMS).to_pylist()
     for row, d in enumerate(text_of.tolist()):
         if d in items_of:
             spans[row] = merged(spans[row], spans_of[d])
             items[row] = sorted({*items[row], *items_of[d]})
-    new = {"hit_spans": pa.array(spans, pa.list_(pa.int64())), "hit_items": pa.array(items, pa.list_(pa.int64()))}
+    new = {SPANS: pa.array(spans, pa.list_(pa.int64())), ITEMS: pa.array(items, pa.list_(pa.int64()))}
     return pa.record_batch([new.get(c, part.column(c)) for c in columns], names=columns)
 
 
@@ -281,12 +283,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<bigint>"
 
     def finish(part: pa.RecordBatch) -> pa.RecordBatch:
-        spans, items = part.column("hit_spans").to_pylist(), part.column("hit_items").to_pylist()
+        spans, items = part.column(SPANS).to_pylist(), part.column(ITEMS).to_pylist()
         n_hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
         digest = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items]
         n_words = words(part.column("text"), NOT_ALNUM, lower=True).counts
         return pa.record_batch(
-            [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_()), part.column("hit_spans")],
+            [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_()), part.column(SPANS)],
             names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans"],
         )
 
@@ -304,7 +306,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     cast = docs.withColumn("text", F.col("text").cast("string"))
 
     def finish(part: pa.RecordBatch) -> pa.RecordBatch:
-        spans, text = part.column("hit_spans").to_pylist(), part.column("text").to_pylist()
+        spans, text = part.column(SPANS).to_pylist(), part.column("text").to_pylist()
         w = words(part.column("text"), NOT_ALNUM, lower=True)
         keep = [True] * len(text)
         for row, own in enumerate(spans):
