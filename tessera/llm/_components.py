@@ -12,6 +12,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Each node's neighbours (larger ones, or else smaller ones and itself) are linked to its least neighbour."""
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) if large else edges
     least = both.groupBy("src").agg(F.min("dst").alias("least")).withColumn("least", F.least("src", "least"))
+    if large:
+        # Written, so that the join reads both sides by its own exchanges: then Spark can split a node with very many neighbours.
+        least = freeze(least, "least")
     joined = both.join(least, "src")
     if large:
         out = joined.where("dst > src").select(F.col("dst").alias("src"), F.col("least").alias("dst"))
