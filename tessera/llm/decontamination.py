@@ -124,6 +124,8 @@ class FMIndex:
     """
 
     def __init__(self, shard: np.ndarray, vocabulary: np.ndarray, sample: int = SAMPLE) -> None:
+        # A separator ends the shard, so that every word of the vocabulary has a suffix after it that is a row too.
+        shard = np.append(shard, np.uint64(0))
         n = len(shard)
         local, number = np.unique(shard, return_inverse=True)
         at = np.minimum(np.searchsorted(vocabulary, local), len(vocabulary) - 1)
