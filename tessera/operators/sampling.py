@@ -74,3 +74,33 @@ def allocate(scores: DataFrame, total: int) -> DataFrame:
     rank = F.row_number().over(every.orderBy((F.col("share") - F.col("whole")).desc(), F.desc("score"), F.desc("label")))
     counted = rows.withColumn("n", (1 + F.col("whole") + (rank <= left).cast("long")).cast("long"))
     return scores.join(counted.select("label", "n"), "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def surface_quotas(items: DataFrame, quotas: dict[str, int], total: int) -> DataFrame:
+    """Per key, the hardest items of each surface in turn: what one surface has taken is gone for the next; then fillers up to ``total``.
+
+    ``items`` (key, idx and a margin column a surface).  Taken rows move to a window group of
+    their own, so a surface costs one window and no join.
+    """
+    rows = items.withColumn("taken", F.lit(None).cast("string"))
+    for surface, n in quotas.items():
+        place = F.row_number().over(Window.partitionBy("key", F.col("taken").isNull()).orderBy(surface, "idx"))
+        rows = rows.withColumn("taken", F.when(F.col("taken").isNull() & (place <= n), surface).otherwise(F.col("taken")))
+    first = F.col("taken").isNull().cast("int")
+    mean = sum((F.col(s) for s in quotas), F.lit(0.0))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(first, mean, "idx"))
+    return rows.withColumn("place", place).where(F.col("place") <= total).select("key", "idx", F.coalesce("taken", F.lit("filler")).alias("surface"))
+
+
+def flatten_records(records: DataFrame, seed: str) -> DataFrame:
+    """Labelled pairs of ``records`` (qid, positives, negatives) in a hash order that doesn't know the labels: qid, doc, label, pos.
+
+    A text that stands on both sides keeps as many positive labels as it has positives.
+    """
+    pos = records.select("qid", F.explode("positives").alias("doc"), F.lit(1).alias("label"))
+    neg = records.select("qid", F.explode("negatives").alias("doc"), F.lit(0).alias("label"))
+    each = pos.unionByName(neg)
+    same = Window.partitionBy("qid", "doc")
+    each = each.withColumn("copy", F.row_number().over(same.orderBy(F.desc("label"))))
+    order = stable_fraction(F.concat_ws(":", "qid", "doc", "copy"), seed)
+    return each.withColumn("pos", (F.row_number().over(Window.partitionBy("qid").orderBy(order, "doc", "copy")) - 1).cast("long")).select("qid", "doc", "label", "pos")
