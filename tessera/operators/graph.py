@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators._lineage import cut
+
 
 def simple_edges(edges: DataFrame, order: str = "seq") -> DataFrame:
     """One edge an ordered pair: the last written one."""
@@ -19,13 +21,16 @@ def undirected(edges: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(seed, node, depth) of all nodes within ``depth`` steps along ``edges`` (src, dst); ``seeds`` (seed).
 
-    A frontier join a step; nodes seen before are left out of the next frontier.
+    A frontier join a step; nodes seen before are left out of the next frontier.  Frontiers are
+    checkpointed, as each is read by all later steps; an empty one ends the search.
     """
     seen = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"))
     frontier = seen
     for step in range(1, depth + 1):
         new = frontier.join(edges, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct().join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
-        frontier = new.withColumn("depth", F.lit(step))
+        frontier = cut(new.withColumn("depth", F.lit(step)))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 
