@@ -34,7 +34,7 @@ RECALL = 0.9999
 #: MinHash values that a text may cost.
 MOST_HASHES = 128
 #: Rows and shingles of a verification tile.
-TILE_ROWS = 512
+TILE_ROWS = 256
 TILE_SHINGLES = 1_500_000
 
 _LAST = (1 << 63) - 1
