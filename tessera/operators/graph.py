@@ -96,3 +96,20 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int, neighbour_score: float
     more = seeds.join(near, F.col("id") == F.col("seed")).select("qid", F.col("node").alias("id"), F.lit(neighbour_score).alias("score"))
     every = seeds.select("qid", "id", "score").unionByName(more).groupBy("qid", "id").agg(F.max("score").alias("score"))
     return every.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.round("score", 8).desc(), "id")).cast("long")).where(F.col("rank") <= 2 * k)
+
+
+def follow(edges: DataFrame, seeds: DataFrame, depth: int = 10) -> DataFrame:
+    """(seed, step, node): from each seed the best next node at every step, none twice; ``edges`` (src, dst, priority).
+
+    A join and a partial maximum a step; the least node wins among equal priorities.
+    """
+    at = cut(seeds.select("seed", F.col("seed").alias("node"), F.array("seed").alias("path")))
+    for _ in range(depth - 1):
+        j = at.join(edges, (F.col("node") == F.col("src")) & ~F.array_contains("path", F.col("dst")), "left")
+        best = j.groupBy("seed").agg(F.min(F.when(F.col("dst").isNotNull(), F.struct((-F.col("priority")).alias("p"), F.col("dst").alias("d")))).alias("b"), F.first("path").alias("path"), F.count("dst").alias("n"))
+        found = best.where("n > 0").select("seed", F.col("b.d").alias("node"), F.array_append("path", F.col("b.d")).alias("path"))
+        ended = best.where("n = 0").select("seed", F.lit(None).cast("string").alias("node"), "path")
+        at = cut(found.unionByName(ended))
+        if at.where("node is not null").isEmpty():
+            break
+    return at.select("seed", F.posexplode("path").alias("step", "node"))

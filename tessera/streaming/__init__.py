@@ -1 +1 @@
-"""Streaming counterparts of cache and top-k operators."""
+"""Streaming counterparts of cache lookups; the batch operators are in ``tessera.operators``."""

@@ -248,3 +248,12 @@ def test_xlsx(tmp_path):
         z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>hi</t></si></sst>")
         z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData><row><c r='A1' t='s'><v>0</v></c><c r='C1'><v>2.5</v></c></row></sheetData></worksheet>")
     assert files.read_xlsx(str(tmp_path / "b.xlsx")) == {"S": [["hi", None, 2.5]]}
+
+
+def test_follow_takes_the_best_next_node(spark):
+    edges = spark.createDataFrame([("a", "b", 3), ("a", "c", 15), ("c", "a", 15), ("c", "d", 5), ("c", "e", 5)], "src string, dst string, priority int")
+    seeds = spark.createDataFrame([("a",), ("z",)], "seed string")
+    got = {}
+    for r in G.follow(edges, seeds).orderBy("step").collect():
+        got.setdefault(r["seed"], []).append(r["node"])
+    assert got == {"a": ["a", "c", "d"], "z": ["z"]}
