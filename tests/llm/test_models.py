@@ -84,14 +84,13 @@ def test_base_scores(request, name):
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
 
 
-def test_probabilities_sum_to_one(spark):
-    """One word after 'a', for every known word and an unknown one; together with the end they make up everything."""
+def test_probabilities_stay_within_one(spark):
+    """One-word texts of all known words, an unknown one and the empty text: different outcomes, at most one in sum."""
     train = [(i, "a b a c a b d") for i in range(12) if zlib.crc32(str(i).encode()) % 7 != 2]
     held = [i for i in range(12, 400) if zlib.crc32(str(i).encode()) % 7 == 2][:6]
     probes = list(zip(held, ["a", "b", "c", "d", "new", ""]))
     got = {r["doc_id"]: r["score"] for r in Y.scores(spark.createDataFrame(train + probes, "doc_id long, text string")).collect()}
     after = {t: 10 ** got[d] for d, t in probes}
-    # P(word) P(end | word); the end's probability after a word is seen by scoring the word twice: leave it out by bounds.
     assert 0 < sum(after.values()) <= 1 + 1e-9
 
 
