@@ -112,7 +112,7 @@ def write_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, column: str =
 
     name = f"tessera_blocks_{uuid.uuid4().hex}"
     packed = docs.mapInArrow(run, "block long, n_bytes long, payload binary")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     packed.write.bucketBy(buckets, "block").option("path", fresh_path(spark, "blocks")).option("compression", "uncompressed").saveAsTable(name)
     return spark.table(name)
 
