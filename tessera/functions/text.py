@@ -172,8 +172,10 @@ def code_tokens(text: Column) -> Column:
 
     def parts(token: Column) -> Column:
         split = F.filter(F.transform(F.split(token, "_|(?<=[a-z0-9])(?=[A-Z])"), F.lower), lambda p: p != "")
-        own = F.array(F.lower(token))
-        return F.when(token.rlike("^[A-Za-z_]"), F.concat(own, split)).otherwise(own)
+        low = F.lower(token)
+        # Most words have one part: they are spared the split.
+        plain = token.rlike("^[a-z]+$|^[A-Z][a-z]*$")
+        return F.when(plain, F.array(low, low)).when(token.rlike("^[A-Za-z_]"), F.concat(F.array(low), split)).otherwise(F.array(low))
 
     return F.flatten(F.transform(raw, parts))
 
