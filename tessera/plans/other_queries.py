@@ -41,12 +41,18 @@ def a4_lexical_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.lexical_scores(pairs, q, d).select("qid", "did", F.round("score", 6).alias("score"))
 
 
+@query(_LEX.replace("ON doc_id % 40 = item_id % 40", "ON true"))
+def a4_lexical_score_every_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), T.rerank_tokens(F.col("text")).alias("tokens"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("did"), T.rerank_tokens(F.col("text")).alias("tokens"))
+    return L.every_lexical_score(q, d).select("qid", "did", F.round("score", 6).alias("score"))
+
+
 @query()
 def h2_feature_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("did"), "text")
-    pairs = q.select("qid", (F.col("qid") % 40).alias("k")).join(d.select("did", (F.col("did") % 40).alias("k")), "k").drop("k")
-    return L.feature_columns(pairs, q, d)
+    return L.feature_columns(q, d)
 
 
 @query("SELECT 'benchmark' AS task, item_id, sha1(text) AS digest, CASE WHEN item_id % 2 = 0 THEN 'title ' || item_id || chr(10) || text ELSE text END AS body, regexp_replace(lower(substr(text, 1, 30)), '[^a-z0-9]+', '-', 'g') AS slug, sha256('q' || item_id || chr(0) || 'x' || chr(0) || text) || ':0' AS cid FROM benchmark")

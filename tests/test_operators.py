@@ -19,6 +19,7 @@ from tessera.operators import caching as K
 from tessera.operators import code_graph as CG
 from tessera.operators import evidence as E
 from tessera.operators import graph as G
+from tessera.operators import lexical as L
 from tessera.operators import metrics as M
 from tessera.operators import retrieval as R
 from tessera.sources import files
@@ -257,3 +258,41 @@ def test_follow_takes_the_best_next_node(spark):
     for r in G.follow(edges, seeds).orderBy("step").collect():
         got.setdefault(r["seed"], []).append(r["node"])
     assert got == {"a": ["a", "c", "d"], "z": ["z"]}
+
+
+def _lexical(q: list[str], d: list[str]) -> float:
+    shared = set(q) & set(d)
+    overlap = sum(min(q.count(t), d.count(t)) for t in shared)
+    p, r = overlap / max(len(d), 1), overlap / max(len(q), 1)
+    return 2 * p * r / max(p + r, 1e-12) + 0.02 * sum(math.log1p(q.count(t) + d.count(t)) for t in shared if len(t) >= 2)
+
+
+@pytest.mark.parametrize("block", [4096, 2])
+def test_every_pair_is_scored(spark, block):
+    q = {0: ["ab", "c", "ab"], 1: ["c"], 7: [], 9: ["zz", "ab"]}
+    d = {0: ["ab", "x"], 1: ["ab", "ab", "ab", "c", "c"], 41: [], 42: ["none"], 43: ["zz", "c"]}
+    queries, docs = (spark.createDataFrame(list(x.items()), f"{k} long, tokens array<string>") for x, k in ((q, "qid"), (d, "did")))
+    rows = L.every_lexical_score(queries, docs, block).collect()
+    assert len(rows) == len(q) * len(d)
+    assert {(r["qid"], r["did"]): pytest.approx(r["score"]) for r in rows} == {(a, b): _lexical(q[a], d[b]) for a in q for b in d}
+
+
+def test_features_of_every_pair(spark):
+    q = spark.createDataFrame([(3, "alpha beta 市场分析"), (4, "gamma"), (5, None)], "qid long, text string")
+    d = spark.createDataFrame([(3, "alpha  beta 市场\nmore 场分 gamma"), (90, ""), (91, "市场分析")], "did long, text string")
+    rows = {(r["qid"], r["did"]): r for r in L.feature_columns(q, d).collect()}
+    assert len(rows) == 9
+    assert rows[3, 3]["title_lexical"] == pytest.approx(_lexical(["alpha", "beta", *"市场分析"], ["alpha"]))
+    assert rows[3, 3]["lexical"] == pytest.approx(_lexical(["alpha", "beta", *"市场分析"], ["alpha", "beta", "more", "gamma", *"市场场分"]))
+    assert [rows[3, 3][c] for c in ("doc_bigram", "head_bigram", "title_bigram", "title_trigram")] == pytest.approx([2 / 3, 2 / 3, 0, 0])
+    assert [rows[3, 91][c] for c in ("doc_bigram", "title_bigram", "title_trigram")] == [1, 1, 1]
+    assert rows[4, 3]["lexical"] > 0 and rows[4, 3]["title_lexical"] == 0 and rows[4, 3]["doc_bigram"] == 0
+    assert rows[4, 90]["lexical"] == rows[5, 3]["lexical"] == rows[5, 91]["doc_bigram"] == 0
+
+
+def test_features_cover_every_item_and_document(spark):
+    from tessera.plans import all_queries
+
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/benchmark.parquet").count() * spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert all_queries()["h2_feature_columns"](spark, sf).select("qid", "did").distinct().count() == n
