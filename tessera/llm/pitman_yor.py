@@ -126,11 +126,21 @@ class _Tokens:
         self.dish, self.place = self.token[order[lead]], self.context[order[lead]]
 
 
-def _gather(keys: np.ndarray, buckets: int, got: dict, offset: int, kind: type = np.int64) -> np.ndarray:
+def _pack(values: np.ndarray) -> bytes:
+    """Corpus-wide counts, in 32 bits where all of them fit and else in 64; the first byte says which."""
+    kind = np.dtype(np.uint64 if len(values) and values.max() >> 32 else np.uint32)
+    return bytes([kind.itemsize]) + B.squeeze(values.astype(kind))
+
+
+def _unpack(blob: bytes, n: int) -> np.ndarray:
+    return B.expand(blob[1:], n, np.dtype(f"u{blob[0]}")).astype(np.int64)
+
+
+def _gather(keys: np.ndarray, buckets: int, got: dict, offset: int) -> np.ndarray:
     """What the buckets have answered about each of ``keys``."""
-    out = np.zeros(len(keys), kind)
+    out = np.zeros(len(keys), np.int64)
     for bucket, lo, hi in B.bucket_ranges(keys, buckets):
-        out[lo:hi] = B.expand(got[bucket + offset][1], hi - lo, np.uint32)
+        out[lo:hi] = _unpack(got[bucket + offset][1], hi - lo)
     return out
 
 
@@ -148,13 +158,13 @@ class _Model:
         t = _Tokens(rows)
         for keys, counts, buckets, shift in ((t.words, t.word_count, self.word_buckets, 0), (t.pairs, t.pair_count, self.pair_buckets, self.word_buckets)):
             for bucket, lo, hi in B.bucket_ranges(keys, buckets):
-                yield bucket + shift, block, hi - lo, B.squeeze_sorted(keys[lo:hi]), B.squeeze(counts[lo:hi].astype(np.uint32))
+                yield bucket + shift, block, hi - lo, B.squeeze_sorted(keys[lo:hi]), _pack(counts[lo:hi])
 
     def count(self, bucket: int, sent: list[B.Message]) -> Iterator[B.Message]:
         every, number, counts = _merged(sent)
         total = np.bincount(number, weights=counts, minlength=len(every)).astype(np.int64)
         pairs = bucket >= self.word_buckets
-        value, at = np.minimum(total, (1 << 31) - 1)[number], 0
+        value, at = total[number], 0
         if pairs:
             # The first block that has seen a pair in training owns it.
             seen = np.flatnonzero(counts > 0)
@@ -165,7 +175,7 @@ class _Model:
         stats = {"n": int(own.sum()), "v": int((own > 0).sum()), "ones": int((own == 1).sum()), "twos": int((own == 2).sum())}
         yield bucket, -1, len(own), b"", json.dumps(stats).encode()
         for _, block, n, _, _ in sent:
-            yield bucket, block, n, B.squeeze(value[at : at + n].astype(np.uint32)), b""
+            yield bucket, block, n, _pack(value[at : at + n]), b""
             at += n
 
     # What a block knows of its words and pairs before sweep ``sweep``.
@@ -184,7 +194,7 @@ class _Model:
         at = 0
         for bucket, lo, hi in B.bucket_ranges(t.words[often], self.word_buckets):
             n, keys, _ = got[bucket + self.offset * sweep]
-            values[:, at : at + hi - lo] = B.expand(keys, 3 * n, np.uint32).reshape(3, n)
+            values[:, at : at + hi - lo] = _unpack(keys, 3 * n).reshape(3, n)
             at += hi - lo
         for target, value in zip((customers, tables, held), values):
             target[often] = value
@@ -204,13 +214,13 @@ class _Model:
             t = _Tokens(rows)
             count, pair_count, owned = self._known(t, got)
             tables = np.where(owned, self._draw(t, got, sweep, count, pair_count), 0)
-            by_dish = np.bincount(t.dish, weights=tables, minlength=len(t.words)).astype(np.uint32)
-            by_context = np.bincount(t.place, weights=tables, minlength=len(t.words)).astype(np.uint32)
+            by_dish = np.bincount(t.dish, weights=tables, minlength=len(t.words)).astype(np.int64)
+            by_context = np.bincount(t.place, weights=tables, minlength=len(t.words)).astype(np.int64)
             often = np.flatnonzero(count > 1)
             keys, by_dish, by_context = t.words[often], by_dish[often], by_context[often]
             out = []
             for bucket, lo, hi in B.bucket_ranges(keys, self.word_buckets):
-                out.append((bucket, block, hi - lo, B.squeeze_sorted(keys[lo:hi]), B.squeeze(np.concatenate([by_dish[lo:hi], by_context[lo:hi]]))))
+                out.append((bucket, block, hi - lo, B.squeeze_sorted(keys[lo:hi]), _pack(np.concatenate([by_dish[lo:hi], by_context[lo:hi]]))))
             return B.message_batch(out)
 
         return act
@@ -226,7 +236,7 @@ class _Model:
             at = 0
             for _, block, n, _, _ in sent:
                 own = number[at : at + n]
-                yield bucket, block, n, B.squeeze(np.concatenate([customers[own], tables[own], held[own]]).astype(np.uint32)), b""
+                yield bucket, block, n, _pack(np.concatenate([customers[own], tables[own], held[own]])), b""
                 at += n
 
         return answer
@@ -257,8 +267,7 @@ class _Model:
 def _merged(sent: list[B.Message], arrays: int = 1) -> tuple:
     """All keys of a bucket, rising; the number of each sent key; and the values sent with them."""
     every, number = np.unique(np.concatenate([B.expand_sorted(k, n, np.uint64) for _, _, n, k, _ in sent]), return_inverse=True)
-    values = [B.expand(m, arrays * n, np.uint32).reshape(arrays, n) for _, _, n, _, m in sent]
-    values = np.concatenate(values, axis=1).astype(np.int64)
+    values = np.concatenate([_unpack(m, arrays * n).reshape(arrays, n) for _, _, n, _, m in sent], axis=1)
     return every, number, values[0] if arrays == 1 else values
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import json
 import math
 import re
 import zlib
@@ -234,3 +235,25 @@ def test_pipeline(spark):
     assert S.repeats(docs).agg(F.sum("n_removed")).first()[0] <= 30
     packed = C.STAGES[-1][1](spark, docs, SF)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == ids
+
+
+@pytest.mark.parametrize("buckets, bucket", [((1, 1), 0), ((1, 1), 1)])
+def test_counts_over_32_bits(buckets, bucket):
+    """A word or pair seen several billion times keeps its count, and its sums in the parent."""
+    model = Y._Model(*buckets)
+    keys, counts = np.array([5, 9], np.uint64), np.array([3_000_000_000, 2])
+    sent = [(bucket, block, 2, Y.B.squeeze_sorted(keys), Y._pack(counts)) for block in (0, 1)]
+    report, *answers = model.count(bucket, sent)
+    got = [Y._gather(keys, 1, {bucket: a[2:]}, bucket) for a in answers]
+    shift = 1 if bucket else 0
+    assert [(g >> shift).tolist() for g in got] == [[6_000_000_000, 4]] * 2
+    assert json.loads(report[4])["n"] == 6_000_000_004
+    if bucket:
+        assert [(g & 1).tolist() for g in got] == [[1, 1], [0, 0]]
+    else:
+        model.totals = {"parent_discount": 0.5, "v": 2}
+        sent = [(0, block, 2, Y.B.squeeze_sorted(keys), Y._pack(np.array([3_000_000_000, 2, 5_000_000_000, 1]))) for block in (0, 1)]
+        sums, first, _ = model.seat_parent(1)(0, sent)
+        customers, tables, held = Y._unpack(first[3], 6).reshape(3, 2)
+        assert customers.tolist() == [6_000_000_000, 4] and held.tolist() == [10_000_000_000, 2]
+        assert json.loads(sums[4])["customers"] == 6_000_000_004 and 0 < tables[0] < customers[0]
