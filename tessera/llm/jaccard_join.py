@@ -192,7 +192,8 @@ def _verify(table: pa.Table, threshold: float) -> pa.Table:
     """Links of the rows of some whole clusters, or of a pair of tiles of one."""
     cluster, side = table.column("cluster").to_numpy(), table.column("side").to_numpy()
     rows, sizes, blobs = table.column("row").to_numpy(), table.column("n").to_pylist(), table.column("shingles")
-    across = bool(side.max())
+    # All rows of a task have one pair of tiles, though a tile may have no row.
+    across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     order = np.lexsort([rows, side, cluster])
     for own in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):

@@ -137,6 +137,16 @@ def test_large_cluster_in_tiles(spark, monkeypatch):
     assert {r["class_id"] for r in got} == {0}
 
 
+def test_more_tiles_than_rows(spark, monkeypatch):
+    """Long texts give a cluster more tiles than rows; an empty tile counts no link again."""
+    monkeypatch.setattr(J, "TILE_SHINGLES", 20)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*base[:i], f"c{i}", *base[i + 1 :]])) for i in range(6)]
+    got = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["n_links"] for r in got} == {5}
+    assert Counter((r["doc_id"], r["class_id"], r["copy_of"], r["n_copies"], r["n_links"]) for r in got) == expected_groups(rows)
+
+
 def test_keep_one(copied_docs):
     kept = J.keep_one(copied_docs)
     assert kept.columns == copied_docs.columns
