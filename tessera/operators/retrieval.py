@@ -52,7 +52,7 @@ def sparse_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return queries.withColumnRenamed("weight", "qw").join(docs, "token").groupBy("qid", "did").agg(F.sum(F.col("qw") * F.col("weight")).alias("score"))
 
 
-def dense_top_k(queries: DataFrame, docs: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def dense_top_k(queries: DataFrame, docs: DataFrame, k: int, block: int = QUERY_BLOCK, width: int | None = None) -> DataFrame:
     """(qid, did, score, rank) of the ``k`` largest inner products of each query but with itself.
 
     ``queries`` (qid, v), ``docs`` (did, v).  The query set is the stated one: it is sent in
@@ -65,12 +65,29 @@ def dense_top_k(queries: DataFrame, docs: DataFrame, k: int, block: int = QUERY_
     for turn in range(passes):
         own = queries.select("qid", "v").where(part == turn).orderBy("qid").collect() if n else []
         matrix = np.array([r["v"] for r in own], np.float64).reshape(len(own), len(own[0]["v"]) if own else 0)
-        best = _search(docs, np.array([r["qid"] for r in own], np.int64), matrix, k)
+        best = _search(docs, np.array([r["qid"] for r in own], np.int64), matrix, k, width)
         found = best if found is None else found.unionByName(best)
     return top_k(found, k)
 
 
-def _search(docs: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int) -> DataFrame:
+def late_interaction_top_k(queries: DataFrame, docs: DataFrame, k: int, width: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """``dense_top_k`` by ``late_interaction`` with every document; ``v`` holds a row's token vectors of ``width`` end to end, as many in each row."""
+    return dense_top_k(queries.withColumn("v", F.slice("v", width + 1, F.size("v") - width)), docs, k, block, width)
+
+
+def _token_scores(vectors: np.ndarray, values: np.ndarray, width: int) -> np.ndarray:
+    """Mean over a query's tokens of the best product with a document's tokens."""
+    q, d = vectors.reshape(len(vectors), -1, width), values.reshape(len(values), -1, width)
+    out = np.zeros((len(q), len(d)))
+    for i in range(q.shape[1]):
+        best = q[:, i] @ d[:, 0].T
+        for j in range(1, d.shape[1]):
+            np.maximum(best, q[:, i] @ d[:, j].T, out=best)
+        out += best
+    return out / q.shape[1]
+
+
+def _search(docs: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, width: int | None = None) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +98,7 @@ def _search(docs: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int) -> Dat
                 continue
             dids = batch.column("did").to_numpy()
             values = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            scores = np.round(vectors @ values.T, 12)
+            scores = np.round(vectors @ values.T if width is None else _token_scores(vectors, values, width), 12)
             scores[qids[:, None] == dids[None]] = -np.inf
             held.append((np.broadcast_to(dids, scores.shape), scores))
             if sum(s.shape[1] for _, s in held) > 4 * k + 4096:

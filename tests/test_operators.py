@@ -296,3 +296,13 @@ def test_features_cover_every_item_and_document(spark):
     sf = "/root/testdata/sf0.001"
     n = spark.read.parquet(f"{sf}/benchmark.parquet").count() * spark.read.parquet(f"{sf}/documents.parquet").count()
     assert all_queries()["h2_feature_columns"](spark, sf).select("qid", "did").distinct().count() == n
+
+
+def test_late_interaction_searches_all_vectors(spark):
+    v = {i: [math.cos(i * j + 1) for j in range(6)] for i in range(30)}
+    e = spark.createDataFrame(list(v.items()), "did long, v array<double>")
+    got = R.late_interaction_top_k(e.where("did % 10 = 0").withColumnRenamed("did", "qid"), e, 3, 2, block=2).collect()
+    cut = {i: [x[j : j + 2] for j in (0, 2, 4)] for i, x in v.items()}
+    score = lambda q, d: sum(max(a[0] * b[0] + a[1] * b[1] for b in cut[d]) for a in cut[q][1:]) / 2
+    want = {(q, d): score(q, d) for q in (0, 10, 20) for d in sorted(set(v) - {q}, key=lambda d: (-round(score(q, d), 8), d))[:3]}
+    assert {(r["qid"], r["did"]): r["score"] for r in got} == pytest.approx(want)
