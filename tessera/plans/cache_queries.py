@@ -40,6 +40,13 @@ def f16_f17_request_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", K.fresh_only(F.col("q"), F.col("recency")).alias("fresh"), K.ttl(F.col("q"), F.col("recency")).alias("ttl"), key.alias("key"))
 
 
+@query()
+def f16_f17_request_keys_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.expr(_ASK).alias("q"), F.expr("CASE item_id % 7 WHEN 0 THEN 'day' WHEN 1 THEN 'week' ELSE 'any' END").alias("recency"))
+    key = K.request_key({"query": F.col("q"), "mode": F.lit("fast"), "lens": F.lit("web")})
+    return rows.select("item_id", K.fresh_only(F.col("q"), F.col("recency")).alias("fresh"), K.ttl(F.col("q"), F.col("recency")).alias("ttl"), key.alias("key"))
+
+
 _NEAR_TEXT = "CASE WHEN item_id % 3 = 0 THEN 'extraword ' ELSE '' END || CASE WHEN item_id % 4 = 0 THEN replace(text, ' ', '  ') ELSE text END"
 _N = r"list_sort(list_distinct(regexp_extract_all({x}, '\d+')))"
 _CACHE = f"""

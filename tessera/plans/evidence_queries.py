@@ -10,7 +10,7 @@ from tessera.functions import text as T
 from tessera.functions import urls as U
 from tessera.operators import claims as C
 from tessera.operators import evidence as E
-from tessera.plans.registry import SQL, query, sql_domain, sql_keywords, sql_support_tokens, sql_tokens, table
+from tessera.plans.registry import SQL, SQL, query, sql_domain, sql_keywords, sql_support_tokens, sql_tokens, table
 from tessera.plans.text_queries import _GRAMS, _TIER_SQL, _WEIGHT_SQL, listed
 
 _URL = "CASE WHEN doc_id % 7 = 0 THEN 'https://arxiv.org/abs/' WHEN doc_id % 11 = 0 THEN 'https://www.reddit.com/r/' ELSE 'http://' || source || '.example.com/' END || doc_id"
@@ -269,3 +269,31 @@ def f13_research_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'impact|break|affect') THEN 'impact' WHEN regexp_matches(lower(text), 'flow|trace|path') THEN 'flow' WHEN regexp_matches(lower(text), 'relate|connect|between') THEN 'relationship' WHEN regexp_matches(lower(text), 'overview|architecture|all') THEN 'global' ELSE 'local' END AS kind FROM documents")
 def f20_question_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", P.question_type(F.col("text")).alias("kind"))
+
+
+# The same on the whole texts.
+_WHOLE_Q = _Q.replace("substr(text, 1, 40)", "text")
+
+
+def _whole(name: str) -> str:
+    return SQL[name].replace(_Q, _WHOLE_Q)
+
+
+def _whole_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", F.expr(_WHOLE_Q).alias("q"), F.expr(_MODE).alias("m"), P.plan(F.expr(_WHOLE_Q), F.expr(_MODE)).alias("p"))
+
+
+@query(_whole("f6_f9_query_plan"))
+def f6_f9_query_plan_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _whole_plan(spark, sf_dir)
+    return rows.select("item_id", "p.intent", "p.needs_freshness", "p.search_depth", "p.reasoning_effort", P.deeper(F.col("m"), F.col("p.search_depth")).alias("mode"))
+
+
+@query(_whole("f10_rewrite_queries"))
+def f10_rewrite_queries_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole_plan(spark, sf_dir).select("item_id", F.array_join(P.rewrite_queries(F.col("q"), "deep", "finance", ["a.com"], ["b.com"]), "|").alias("queries"))
+
+
+@query(_whole("f13_research_steps"))
+def f13_research_steps_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole_plan(spark, sf_dir).select("item_id", F.array_join(F.transform(P.research_steps(F.col("q"), F.col("p")), lambda s: s["label"]), ",").alias("steps"))

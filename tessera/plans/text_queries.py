@@ -69,6 +69,14 @@ def t7_intent_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _questions(spark, sf_dir).select("item_id", F.array_join(T.intent_tags(F.col("q")), ",").alias("tags"))
 
 
+_WHOLE_QUESTION = _QUESTION.replace("left(text, 60)", "text")
+
+
+@query(f"SELECT item_id, CASE WHEN len({_TAGS}) > 0 THEN array_to_string({_TAGS}, ',') ELSE 'lookup' END AS tags FROM (SELECT item_id, {_WHOLE_QUESTION} AS q FROM benchmark)")
+def t7_intent_tags_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.intent_tags(F.expr(_WHOLE_QUESTION)), ",").alias("tags"))
+
+
 @query(
     rf"""
 WITH RECURSIVE s AS (

@@ -306,3 +306,24 @@ def test_late_interaction_searches_all_vectors(spark):
     score = lambda q, d: sum(max(a[0] * b[0] + a[1] * b[1] for b in cut[d]) for a in cut[q][1:]) / 2
     want = {(q, d): score(q, d) for q in (0, 10, 20) for d in sorted(set(v) - {q}, key=lambda d: (-round(score(q, d), 8), d))[:3]}
     assert {(r["qid"], r["did"]): r["score"] for r in got} == pytest.approx(want)
+
+
+def test_queries_see_the_whole_text(spark, tmp_path):
+    """Words behind the first 60 characters count, and texts that differ only there have different keys."""
+    import hashlib
+    import json
+
+    from tessera.plans import all_queries
+
+    lead = 'say "x" \\ ' + "plain " * 12
+    texts = {14: lead + "compare a versus b today", 20: lead, 27: lead + "end", 34: lead + "versus latest"}
+    spark.createDataFrame(list(texts.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {n: {r["item_id"]: r for r in all_queries()[f"{n}_whole_text"](spark, str(tmp_path)).collect()} for n in ("t7_intent_tags", "f6_f9_query_plan", "f10_rewrite_queries", "f13_research_steps", "f16_f17_request_keys")}
+    assert "compare" in got["t7_intent_tags"][34]["tags"] and "compare" not in got["t7_intent_tags"][20]["tags"]
+    assert got["f6_f9_query_plan"][34]["needs_freshness"] and not got["f6_f9_query_plan"][27]["needs_freshness"]
+    assert texts[27] in got["f10_rewrite_queries"][27]["queries"]
+    assert "freshness" in got["f13_research_steps"][34]["steps"] and "freshness" not in got["f13_research_steps"][27]["steps"]
+    asked = {i: {0: "latest ", 1: "in 2026 "}.get(i % 5, "") + t for i, t in texts.items()}
+    key = lambda q: hashlib.sha256(json.dumps({"lens": "web", "mode": "fast", "query": q}, separators=(",", ":")).encode()).hexdigest()
+    assert {i: r["key"] for i, r in got["f16_f17_request_keys"].items()} == {i: key(q) for i, q in asked.items()}
+    assert got["f16_f17_request_keys"][34]["fresh"] and got["f16_f17_request_keys"][34]["ttl"] == 300 and not got["f16_f17_request_keys"][27]["fresh"]
