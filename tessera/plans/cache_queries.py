@@ -79,6 +79,13 @@ def j11_exact_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.exact_matches(asked, cached, NOW).select("rid", "query", "age")
 
 
+@query("SELECT item_id AS rid, item_id::VARCHAR AS query, (item_id * 200)::BIGINT AS age FROM benchmark WHERE item_id * 200 <= 3600")
+def j11_exact_matches_all_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark").withColumn("cache_key", K.request_key({"q": F.col("text")}))
+    cached = b.select("cache_key", F.col("item_id").cast("string").alias("query"), (F.lit(NOW) - F.col("item_id") * 200).alias("created_at"))
+    return K.exact_matches(b.select(F.col("item_id").alias("rid"), "cache_key"), cached, NOW).select("rid", "query", "age")
+
+
 _ANSWER = "CASE o_orderkey % 5 WHEN 0 THEN 'We get 3 then 4. #### ' || o_custkey || ' apples' WHEN 1 THEN 'First 12. The answer is ' || o_custkey || '.' WHEN 2 THEN 'So 7 and ' || o_custkey WHEN 3 THEN 'none' ELSE '#### none 5' || o_custkey END"
 
 
@@ -93,6 +100,16 @@ def t35_normalize_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where("o_custkey % 10 != 0").select("o_orderkey", N.normalize_number(text).alias("number"))
 
 
+_DIGITS = "rtrim(o_custkey::VARCHAR, '0')"
+_EXPONENT = f"CASE WHEN o_custkey % 10 <> 0 THEN o_custkey::VARCHAR WHEN o_custkey = 0 THEN '0' ELSE {_DIGITS}[1] || CASE WHEN length({_DIGITS}) > 1 THEN '.' || {_DIGITS}[2:] ELSE '' END || 'e' || (length(o_custkey::VARCHAR) - 1) END"
+
+
+@query(f"SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN {_EXPONENT} WHEN 1 THEN '0.5' WHEN 2 THEN 'n/a' ELSE '1' || lpad((o_custkey % 1000)::VARCHAR, 3, '0') || '.25' END AS number FROM orders")
+def t35_normalize_number_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.expr("CASE o_orderkey % 4 WHEN 0 THEN concat('$', o_custkey, '.') WHEN 1 THEN '1/2' WHEN 2 THEN 'n/a' ELSE concat('1,', lpad(cast(o_custkey % 1000 as string), 3, '0'), '.250%') END")
+    return table(spark, sf_dir, "orders").select("o_orderkey", N.normalize_number(text).alias("number"))
+
+
 @query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false ELSE false END AS same FROM orders")
 def a30_answers_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.expr("CASE o_orderkey % 4 WHEN 0 THEN concat(o_custkey, '.0000001') WHEN 1 THEN ' x ' WHEN 2 THEN concat(o_custkey, '.5') END")

@@ -327,3 +327,15 @@ def test_queries_see_the_whole_text(spark, tmp_path):
     key = lambda q: hashlib.sha256(json.dumps({"lens": "web", "mode": "fast", "query": q}, separators=(",", ":")).encode()).hexdigest()
     assert {i: r["key"] for i, r in got["f16_f17_request_keys"].items()} == {i: key(q) for i, q in asked.items()}
     assert got["f16_f17_request_keys"][34]["fresh"] and got["f16_f17_request_keys"][34]["ttl"] == 300 and not got["f16_f17_request_keys"][27]["fresh"]
+
+
+def test_every_order_and_request_counts(spark):
+    from tessera.plans import all_queries
+
+    sf = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey").collect()
+    got = {r["o_orderkey"]: r["number"] for r in all_queries()["t35_normalize_number_all_orders"](spark, sf).collect()}
+    assert len(got) == len(orders)
+    tens = {r["o_orderkey"]: r["o_custkey"] for r in orders if r["o_custkey"] % 10 == 0 and r["o_orderkey"] % 4 == 0}
+    assert any(tens.values()) and all(("e" in got[k]) == (c > 0) and float(got[k]) == c for k, c in tens.items())
+    assert {r["rid"] for r in all_queries()["j11_exact_matches_all_requests"](spark, sf).collect()} == {r["item_id"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").where("item_id * 200 <= 3600").collect()}
