@@ -28,19 +28,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 
-from tessera.llm._store import fresh_path
+from tessera.llm._store import discard, fresh_path, uri
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 0
 #: A new file is begun beyond so many bytes; a partition reads files of so many.
 FILE_BYTES = 32 << 20
 PARTITION_BYTES = 32 << 20
+#: The largest length that a member's extra field can say.
+MOST_KNOWN = (1 << 32) - 1
 
 SCHEMA = "record_id string, record_type string, target_uri string, page_id long, refers_to string, payload_bytes long, payload_digest string, headers map<string,string>, payload binary"
 
 #: Columns that are known from a record's headers alone, and the headers.
 HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
 
+#: What ends every record.
+RECORD_END = b"\r\n\r\n"
+
 _PAGE_URN = re.compile(r"<urn:page:(-?\d+)>")
 
 
@@ -50,13 +55,14 @@ def digest(payload: bytes) -> str:
 
 
 def _member(plain: bytes) -> bytes:
-    """A gzip member whose extra field holds its own and its plain length."""
+    """A gzip member whose extra field holds its own and its plain length; without the field where 32 bits can't hold them."""
     deflate = zlib.compressobj(1, zlib.DEFLATED, -15)
     body = deflate.compress(plain) + deflate.flush()
-    head = b"\x1f\x8b\x08\x04" + bytes(4) + b"\x00\xff"
-    whole = len(head) + 2 + 12 + len(body) + 8
-    extra = b"sl" + struct.pack("<HII", 8, whole & 0xFFFFFFFF, len(plain) & 0xFFFFFFFF)
-    return head + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(plain), len(plain) & 0xFFFFFFFF)
+    whole = 10 + 2 + 12 + len(body) + 8
+    known = max(whole, len(plain)) <= MOST_KNOWN
+    extra = struct.pack("<H", 12) + b"sl" + struct.pack("<HII", 8, whole, len(plain)) if known else b""
+    head = b"\x1f\x8b\x08" + (b"\x04" if known else b"\x00") + bytes(4) + b"\x00\xff"
+    return head + extra + body + struct.pack("<II", zlib.crc32(plain), len(plain) & 0xFFFFFFFF)
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
@@ -77,7 +83,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     ]
     if revisit:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    return "\r\n".join([*lines, "", ""]).encode() + block + b"\r\n\r\n"
+    return "\r\n".join([*lines, "", ""]).encode() + block + RECORD_END
 
 
 def write_pages(pages: DataFrame, path: str, least_revisit: int = LEAST_REVISIT, file_bytes: int = FILE_BYTES) -> int:
@@ -91,9 +97,10 @@ def write_pages(pages: DataFrame, path: str, least_revisit: int = LEAST_REVISIT,
     spark = pages.sparkSession
     winners_path = fresh_path(spark, "winners")
     copies = keyed.where(F.octet_length("html") >= least_revisit).groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies.write.parquet(winners_path)
+    copies.write.mode("overwrite").parquet(winners_path)
     # Both sides are read by the join's own exchanges, so that Spark can split a page that has very many copies.
     joined = keyed.join(spark.read.schema(copies.schema).parquet(winners_path), "sha", "left").drop("sha")
+    path = uri(path)
     store, folder = fs.FileSystem.from_uri(path)
     store.create_dir(folder)
 
@@ -119,6 +126,7 @@ def write_pages(pages: DataFrame, path: str, least_revisit: int = LEAST_REVISIT,
     files = [r["file"] for r in joined.mapInArrow(run, "file string").collect()]
     with store.open_output_stream(f"{folder}/_files.json") as out:
         out.write(json.dumps(sorted(files)).encode())
+    discard(spark, winners_path)
     return len(files)
 
 
@@ -143,7 +151,7 @@ class WarcSource(DataSource):
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.path = options["path"]
+        self.path = uri(options["path"])
         self.payload = str(options.get("payload", "true")).lower() != "false"
         self.partition_bytes = int(options.get("partitionbytes", PARTITION_BYTES))
         self.wanted: list[tuple[str, frozenset]] = []
@@ -197,36 +205,38 @@ class WarcReader(DataSourceReader):
 
     def _records(self, file: io.BufferedReader) -> Iterator[tuple]:
         while start := file.peek(2)[:2]:
-            chunks = _plain(file) if start != b"\x1f\x8b" else _gzip(file)
-            head = b""
-            while b"\r\n\r\n" not in head and (more := chunks.read(2048)):
-                head += more
-            raw, _, rest = head.partition(b"\r\n\r\n")
-            if not raw.strip():
-                chunks.skip()
-                continue
-            headers = {}
-            for line in raw.decode("utf-8", "replace").lstrip("\r\n").split("\r\n")[1:]:
-                key, _, value = line.partition(":")
-                headers[key.strip().lower()] = value.strip()
-            length = int(headers.get("content-length", 0))
-            known = {c: headers.get(h) for c, h in HEADERS.items()}
-            known["payload_digest"] = (known["payload_digest"] or "").removeprefix("sha1:") or None
-            if not all(known[c] in values for c, values in self.wanted):
-                chunks.skip(length + 4 - len(rest))
-                continue
-            payload, size = None, headers.get("x-payload-length")
-            if known["record_type"] != "revisit" and self.payload:
-                block = rest + chunks.read(max(0, length - len(rest)))
-                payload = block[:length]
-                if headers.get("content-type", "").startswith("application/http"):
-                    payload = payload.partition(b"\r\n\r\n")[2]
-                known["payload_digest"], size = digest(payload), len(payload)
-                chunks.skip(length + 4 - len(block))
-            else:
-                chunks.skip(length + 4 - len(rest))
-            page = _PAGE_URN.fullmatch(known["record_id"] or "")
-            yield (known["record_id"], known["record_type"], known["target_uri"], int(page[1]) if page else None, known["refers_to"], int(size) if size is not None else None, known["payload_digest"], headers, payload)
+            chunks = _Member(file) if start == b"\x1f\x8b" else _Plain(file)
+            while chunks.more():
+                row = self._record(chunks)
+                if row is not None:
+                    yield row
+            chunks.close()
+
+    def _record(self, chunks: _Plain | _Member) -> tuple | None:
+        """The next record; None where it isn't wanted, or only blanks are left."""
+        raw = chunks.until(b"\r\n\r\n").lstrip(b"\r\n")
+        if not raw.strip():
+            return None
+        headers = {}
+        for line in raw.decode("utf-8", "replace").split("\r\n")[1:]:
+            key, _, value = line.partition(":")
+            headers[key.strip().lower()] = value.strip()
+        length = int(headers.get("content-length") or 0)
+        known = {c: headers.get(h) for c, h in HEADERS.items()}
+        known["payload_digest"] = (known["payload_digest"] or "").removeprefix("sha1:") or None
+        if not all(known[c] in values for c, values in self.wanted):
+            chunks.skip(length)
+            return None
+        payload, size = None, headers.get("x-payload-length")
+        if known["record_type"] != "revisit" and self.payload:
+            payload = chunks.read(length)
+            if headers.get("content-type", "").startswith("application/http"):
+                payload = payload.partition(b"\r\n\r\n")[2]
+            known["payload_digest"], size = digest(payload), len(payload)
+        else:
+            chunks.skip(length)
+        page = _PAGE_URN.fullmatch(known["record_id"] or "")
+        return known["record_id"], known["record_type"], known["target_uri"], int(page[1]) if page else None, known["refers_to"], int(size) if size is not None else None, known["payload_digest"], headers, payload
 
 
 class _Raw(io.RawIOBase):
@@ -253,24 +263,80 @@ class _Raw(io.RawIOBase):
         return self.file.tell()
 
 
-class _plain:
-    """A record in a plain archive."""
+class _Bytes:
+    """Plain bytes of records, with some read ahead; ``pull(n)`` gives up to ``n`` further ones, none at the end."""
+
+    def __init__(self) -> None:
+        self.ahead = b""
+
+    def pull(self, n: int) -> bytes:
+        raise NotImplementedError
+
+    def more(self) -> bool:
+        """Whether anything is left but the line breaks between records."""
+        self.ahead = self.ahead.lstrip(b"\r\n")
+        while not self.ahead:
+            if not (got := self.pull(1 << 11)):
+                return False
+            self.ahead = got.lstrip(b"\r\n")
+        return True
+
+    def until(self, mark: bytes) -> bytes:
+        """What comes before ``mark``, which is passed over; all that is left where there is none."""
+        at, seen = self.ahead.find(mark), 0
+        while at < 0:
+            seen = max(0, len(self.ahead) - len(mark))
+            if not (got := self.pull(1 << 11)):
+                out, self.ahead = self.ahead, b""
+                return out
+            self.ahead += got
+            at = self.ahead.find(mark, seen)
+        out, self.ahead = self.ahead[:at], self.ahead[at + len(mark) :]
+        return out
+
+    def read(self, n: int) -> bytes:
+        out, self.ahead = [self.ahead[:n]], self.ahead[n:]
+        n -= len(out[0])
+        while n and (got := self.pull(n)):
+            out.append(got)
+            n -= len(got)
+        return b"".join(out)
+
+    def skip(self, n: int) -> None:
+        while n and (got := self.read(min(n, 1 << 16))):
+            n -= len(got)
+
+
+class _Plain(_Bytes):
+    """The records of a plain archive."""
 
     def __init__(self, file: io.BufferedReader) -> None:
+        super().__init__()
         self.file = file
 
-    def read(self, n: int) -> bytes:
+    def pull(self, n: int) -> bytes:
         return self.file.read(n)
 
-    def skip(self, n: int = 0) -> None:
-        self.file.seek(n, 1)
+    def skip(self, n: int) -> None:
+        held = min(n, len(self.ahead))
+        self.ahead = self.ahead[held:]
+        self.file.seek(n - held, 1)
+
+    def close(self) -> None:
+        pass
+
 
+class _Member(_Bytes):
+    """The records of a gzip member, one or more.
 
-class _gzip:
-    """A record in a member of a gzip archive; ``skip`` goes to the next member, inflating only where its length isn't known."""
+    Where the extra field says how long the member and its plain bytes are, a skip that
+    reaches the plain end goes to the next member without inflating; what follows in the
+    member is then only the line breaks that end a record.
+    """
 
     def __init__(self, file: io.BufferedReader) -> None:
-        self.file, self.end, start = file, None, file.tell()
+        super().__init__()
+        self.file, self.end, self.left, start = file, None, None, file.tell()
         head = file.read(10)
         flags = head[3]
         if flags & 4:
@@ -278,7 +344,8 @@ class _gzip:
             while len(extra) >= 4:
                 n = struct.unpack("<H", extra[2:4])[0]
                 if extra[:2] == b"sl" and n == 8:
-                    self.end = start + struct.unpack("<I", extra[4:8])[0]
+                    whole, self.left = struct.unpack("<II", extra[4:12])
+                    self.end = start + whole
                 extra = extra[4 + n :]
         for bit in (8, 16):
             if flags & bit:
@@ -286,24 +353,32 @@ class _gzip:
                     pass
         if flags & 2:
             file.read(2)
-        self.inflate, self.held = zlib.decompressobj(-15), b""
+        self.inflate, self.held, self.passed = zlib.decompressobj(-15), b"", False
 
-    def read(self, n: int) -> bytes:
-        out = []
-        while n and not self.inflate.eof:
+    def pull(self, n: int) -> bytes:
+        while not self.passed and not self.inflate.eof:
             raw = self.held or self.file.read(1 << 14)
             if not raw:
                 break
-            out.append(self.inflate.decompress(raw, n))
-            n -= len(out[-1])
+            got = self.inflate.decompress(raw, n)
             self.held = self.inflate.unconsumed_tail
-        return b"".join(out)
+            if got:
+                if self.left is not None:
+                    self.left -= len(got)
+                return got
+        return b""
+
+    def skip(self, n: int) -> None:
+        if self.left is not None and n + len(RECORD_END) >= len(self.ahead) + self.left:
+            self.passed, self.ahead = True, b""
+        else:
+            super().skip(n)
 
-    def skip(self, n: int = 0) -> None:
+    def close(self) -> None:
         if self.end is not None:
             self.file.seek(self.end)
             return
-        while not self.inflate.eof and self.read(1 << 16):
+        while self.pull(1 << 16):
             pass
         self.file.seek(8 - len(self.inflate.unused_data), 1)
 
@@ -317,7 +392,11 @@ def _rows_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """The records of the archives in ``path``."""
+    """The records of the archives in ``path``.
+
+    Predicates reach the archives only while the session's filterPushdown setting for
+    Python sources is on; Spark reads it when a query is planned, so it stays on.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).load()
@@ -332,7 +411,7 @@ def archived(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFrame:
     """
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
-    write_pages(pages, path if "://" in path else f"file://{path}", least_revisit)
-    records = read_warc(spark, path if "://" in path else f"file://{path}")
+    write_pages(pages, path, least_revisit)
+    records = read_warc(spark, path)
     refers = F.regexp_extract("refers_to", r"<urn:page:(-?\d+)>", 1)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", F.when(refers != "", refers.cast("long")).alias("refers_to"))

@@ -257,3 +257,46 @@ def test_counts_over_32_bits(buckets, bucket):
         customers, tables, held = Y._unpack(first[3], 6).reshape(3, 2)
         assert customers.tolist() == [6_000_000_000, 4] and held.tolist() == [10_000_000_000, 2]
         assert json.loads(sums[4])["customers"] == 6_000_000_004 and 0 < tables[0] < customers[0]
+
+
+def test_warc_members_of_several_records(spark, tmp_path):
+    """Six records in one gzip member, and two members of three: none is lost, wanted or not, with payloads or without."""
+    records = [A.record(i, f"http://h/{i}", b"p\r\n\r\n" * i * 1000, None, False) for i in range(6)]
+    (tmp_path / "one.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "two.warc.gz").write_bytes(gzip.compress(b"".join(records[:3])) + gzip.compress(b"".join(records[3:])))
+    (tmp_path / "known.warc.gz").write_bytes(A._member(b"".join(records)) + A._member(b"".join(records)))
+    for name, times in (("one", 1), ("two", 1), ("known", 2)):
+        df = A.read_warc(spark, f"file:{tmp_path}/{name}.warc.gz")
+        assert sorted(len(r["payload"]) for r in df.collect()) == sorted([i * 5000 for i in range(6)] * times)
+        assert [r["page_id"] for r in df.where("target_uri = 'http://h/4'").collect()] == [4] * times
+        assert A.read_warc(spark, str(tmp_path / f"{name}.warc.gz"), payload=False).count() == 6 * times
+
+
+def test_members_beyond_32_bits_have_no_lengths(monkeypatch):
+    record = A.record(1, "http://h", b"p" * 5000, None, False)
+    monkeypatch.setattr(A, "MOST_KNOWN", 1000)
+    member = A._member(record)
+    assert b"sl" not in member[:24] and gzip.decompress(member) == record
+
+
+def test_paths():
+    from tessera.llm._store import uri
+
+    assert [uri(p) for p in ("file:/a/b", "/a/b", "file:///a/b", "hdfs:/a", "hdfs://n/a", "s3://b/k")] == ["file:///a/b", "file:///a/b", "file:///a/b", "hdfs:///a", "hdfs://n/a", "s3://b/k"]
+
+
+def test_nothing_is_left_behind(spark):
+    """Tables leave the catalog at once, and a scope's files are gone at its end."""
+    import os
+
+    from tessera.llm import _store as K
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    folder = K.shared_dir(spark).removeprefix("file://").removeprefix("file:") + "/tessera"
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    with K.scratch(spark):
+        Y.scores(docs).count()
+        A.archived(spark.read.parquet(f"{SF}/pages.parquet")).count()
+        assert set(os.listdir(folder)) - before
+    assert set(os.listdir(folder)) <= before
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tessera_")]
