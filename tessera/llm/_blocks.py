@@ -66,9 +66,15 @@ def from_bits(blob: bytes, n: int) -> np.ndarray:
 
 
 def bucket_ranges(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
-    """``(bucket, from, to)`` of the parts of sorted 64-bit keys, dealt by their high 32 bits; empty parts are left out."""
-    edges = np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
-    return [(b, int(edges[b]), int(edges[b + 1])) for b in range(buckets) if edges[b + 1] > edges[b]]
+    """``(bucket, from, to)`` of the parts of sorted 64-bit keys, dealt by their high 32 bits; empty parts are left out.
+
+    The work is that of the keys, however many buckets there are, and there are no more parts than keys.
+    """
+    if not len(keys):
+        return []
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    lead = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    return list(zip(bucket[lead].tolist(), lead.tolist(), [*lead[1:].tolist(), len(keys)]))
 
 
 def _pack(rows: list[pa.RecordBatch]) -> bytes:
@@ -85,10 +91,14 @@ def unpack(payload: bytes) -> pa.RecordBatch:
     return batches[0] if batches else pa.RecordBatch.from_pylist([], schema=table.schema)
 
 
-def write_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, column: str = "text") -> DataFrame:
-    """``docs`` as a table of (block long, n_bytes long, payload binary), bucketed by block.
+Rewrite = Callable[[pa.RecordBatch], pa.RecordBatch]
+
+
+def write_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, column: str = "text", rewrite: Rewrite | None = None) -> DataFrame:
+    """``docs`` as a table of (block long, n_bytes long, payload binary), bucketed by block; a payload is ``rewrite`` of a block's rows.
 
-    The rows are written where they are read: a block never leaves its task.
+    The rows are written where they are read: a block never leaves its task.  The
+    catalog knows the table only until its files and their bucketing are read from there.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -97,7 +107,8 @@ def write_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, column: str =
         held, size, count, block = [], 0, 0, TaskContext.get().partitionId() << 24
 
         def flush() -> pa.RecordBatch:
-            return pa.record_batch([pa.array([block], pa.int64()), pa.array([size], pa.int64()), pa.array([_pack(held)], pa.binary())], names=["block", "n_bytes", "payload"])
+            rows = held if rewrite is None else [rewrite(pa.Table.from_batches(held).combine_chunks().to_batches()[0])]
+            return pa.record_batch([pa.array([block], pa.int64()), pa.array([size], pa.int64()), pa.array([_pack(rows)], pa.binary())], names=["block", "n_bytes", "payload"])
 
         for batch in batches:
             for part in slices(batch, column, block_bytes, BLOCK_ROWS):
@@ -114,7 +125,9 @@ def write_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, column: str =
     packed = docs.mapInArrow(run, "block long, n_bytes long, payload binary")
     buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     packed.write.bucketBy(buckets, "block").option("path", fresh_path(spark, "blocks")).option("compression", "uncompressed").saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def row_ids(block: int, n: int) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._store import freeze
+from tessera.llm._store import discard, freeze
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -31,9 +31,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     with the logarithm of the longest path.
     """
     now = freeze(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("src"), F.least(a, b).alias("dst")).distinct(), "edges")
-    seen = None
+    seen, spark = None, edges.sparkSession
     while True:
-        now = freeze(_star(_star(now, True), False), "stars")
+        last, now = now, freeze(_star(_star(now, True), False), "stars")
+        discard(spark, last.frozen)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if mark == seen:
             break

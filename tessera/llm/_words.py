@@ -28,6 +28,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C13)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Bytes hashed at a time, so that scratch arrays stay small whatever a text's length.
 _STRIDE = 1 << 17
+#: Bytes of which words are sought at a time.
+_STRETCH = 1 << 22
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,6 +40,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_LOWER_CODES = _CODES[LOWER]
 
 
 @lru_cache(maxsize=1)
@@ -91,25 +94,30 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words(column: pa.Array, gaps: np.ndarray = BLANK, lower: bool = False) -> Words:
-    """The words of every text: longest runs of bytes that ``gaps`` doesn't hold, within one text."""
+    """The words of every text: longest runs of bytes that ``gaps`` doesn't hold, within one text; ``lower``: hashed in lower case.
+
+    Only their places and hashes take memory beside the texts; flags are made a stretch at a time.
+    """
     data, offsets = string_buffers(column)
-    n = len(data)
-    if lower:
-        data = LOWER[data]
-    inside = ~gaps[data]
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    before = np.zeros(n, bool)
-    before[1:] = inside[:-1]
-    start = np.flatnonzero(inside & (~before | edge[:n]))
-    after = np.zeros(n, bool)
-    after[:-1] = inside[1:]
-    end = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    n, starts, ends = len(data), [], []
+    gaps = gaps[LOWER] if lower else gaps
+    for lo in range(0, n, _STRETCH):
+        hi = min(n, lo + _STRETCH)
+        # One byte more on both sides, where there is one.
+        inside = np.zeros(hi - lo + 2, bool)
+        a, b = max(0, lo - 1), min(n, hi + 1)
+        inside[a - lo + 1 : b - lo + 1] = ~gaps[data[a:b]]
+        edge = np.zeros(hi - lo + 1, bool)
+        edge[offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi, side="right")] - lo] = True
+        own = inside[1:-1]
+        starts.append(np.flatnonzero(own & (~inside[:-2] | edge[:-1])) + lo)
+        ends.append(np.flatnonzero(own & (~inside[2:] | edge[1:])) + lo + 1)
+    start, end = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends))
     first = np.searchsorted(start, offsets)
-    return Words(data, offsets, start, end, first, _hashes(data, start, end))
+    return Words(data, offsets, start, end, first, _hashes(data, start, end, _LOWER_CODES if lower else _CODES))
 
 
-def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, codes: np.ndarray) -> np.ndarray:
     up, down = _powers()
     out = np.zeros(len(start), np.uint64)
     i = 0
@@ -121,11 +129,11 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
             h = np.uint64(0)
             for k in range(lo, hi, _STRIDE):
                 part = data[k : min(hi, k + _STRIDE)]
-                h = mix(np.array([h ^ np.sum(_CODES[part] * up[: len(part)], dtype=np.uint64)]))[0]
+                h = mix(np.array([h ^ np.sum(codes[part] * up[: len(part)], dtype=np.uint64)]))[0]
             out[i] = h
         else:
             sums = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum(_CODES[data[lo:hi]] * up[: hi - lo], out=sums[1:])
+            np.cumsum(codes[data[lo:hi]] * up[: hi - lo], out=sums[1:])
             a, b = start[i:j] - lo, end[i:j] - lo
             out[i:j] = (sums[b] - sums[a]) * down[a]
         i = j
