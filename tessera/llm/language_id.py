@@ -6,9 +6,10 @@ response is rectified and max-pooled over the window, and a softmax over the poo
 responses gives the window's language.  A text's prediction is the mean over all its
 windows, weighted by their bytes.
 
-Training is in numpy on the driver, on a bounded sample of labelled windows
-(``TEXTS_PER_LANGUAGE`` texts of each of the ``MOST_LANGUAGES`` most frequent labels,
-``WINDOWS_PER_TEXT`` windows spread evenly over each whole text).
+Training is in numpy on the driver, on a bounded sample of labelled windows: up to
+``TEXTS_PER_LANGUAGE`` texts of every label, ``SAMPLE_TEXTS`` in all where labels are so
+many (but one of each label at least), those with the least hashes;
+``WINDOWS_PER_TEXT`` windows spread evenly over each whole text.
 """
 
 from __future__ import annotations
@@ -22,36 +23,42 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tessera.llm._store import release, small_batches
+from tessera.llm._store import discard, freeze, release, small_batches
 from tessera.llm._words import LOWER, slices, string_buffers
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 TEXTS_PER_LANGUAGE = 600
-MOST_LANGUAGES = 128
+SAMPLE_TEXTS = 20_000
 WINDOWS_PER_TEXT = 6
 EPOCHS = 6
 UNKNOWN = "und"
-#: Below this mean probability ``keep_known`` rejects a text, if it has so many bytes; shorter ones say too little.
-LEAST_SCORE = 0.35
-SURE_BYTES = 64
+#: Windows that are held at a time.
+AT_ONCE = 128
+#: Below this mean probability ``keep_known`` rejects a text.
+LEAST_SCORE = 0.3
 
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def windows(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of all texts (padded with zeros), whose text each is, and its bytes."""
+def windows(offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where all windows of all texts start, whose text each is, and its bytes."""
     size = np.diff(offsets)
     each = -(-size // window)
     owner = np.repeat(np.arange(len(size)), each)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
     start = offsets[owner] + nth * window
-    length = np.minimum(offsets[owner + 1] - start, window)
-    at = start[:, None] + np.arange(window)
-    inside = np.arange(window) < length[:, None]
-    return np.where(inside, data[np.minimum(at, max(0, len(data) - 1))] if len(data) else 0, 0).astype(np.uint8), owner, length
+    return start, owner, np.minimum(offsets[owner + 1] - start, window)
+
+
+def window_bytes(data: np.ndarray, start: np.ndarray, length: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """The bytes of windows in lower case, padded with zeros."""
+    places = np.arange(window)
+    inside = places < length[:, None]
+    return np.where(inside, LOWER[data[np.where(inside, start[:, None] + places, 0)]] if len(data) else 0, 0).astype(np.uint8)
 
 
 @dataclass
@@ -146,38 +153,44 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = EPOCHS
     return net
 
 
-def train(labelled: DataFrame, texts_per_language: int = TEXTS_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, epochs: int = EPOCHS) -> Network | None:
-    """A network for the labels of ``labelled`` (text, lang); None where no row has both a text with letters and a label."""
-    # Rows are picked by a hash of their id where they have one, so that copies are not picked all together.
-    picks = F.xxhash64("doc_id" if "doc_id" in labelled.columns else "text")
-    rows = labelled.select(F.col("text").cast("string"), F.col("lang").cast("string"), (F.pmod(picks, F.lit(1 << 30)) / F.lit(1 << 30)).alias("chance")).where("text is not null and lang is not null and length(text) > 0")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
-    if not counts:
-        return None
-    share = F.create_map(*(c for r in counts for c in (F.lit(r["lang"]), F.lit(float(texts_per_language / r["n"])))))
-    picked = rows.where(F.col("chance") < F.element_at(share, F.col("lang")))
+def train(labelled: DataFrame, texts_per_language: int = TEXTS_PER_LANGUAGE, sample_texts: int = SAMPLE_TEXTS, epochs: int = EPOCHS) -> Network | None:
+    """A network for all labels of ``labelled`` (text, lang); None where no row has both a text and a label.
 
-    picked = picked.drop("chance")
+    Equal rows count once.  Which rows are taken depends on hashes of their text and (where
+    there is one) doc_id only, not on their order.
+    """
+    # With the id in the hash, copies of a text are not picked all together.
+    own = ["doc_id", "text"] if "doc_id" in labelled.columns else ["text"]
+    rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64(*own).alias("pick")).where("text is not null and lang is not null and length(text) > 0")
+    counts = freeze(rows.groupBy("lang").agg(F.approx_count_distinct("pick", 0.02).alias("n")), "labels")
+    n_labels = counts.count()
+    if not n_labels:
+        return None
+    bound = max(1, min(texts_per_language, sample_texts // n_labels))
+    # A share that leaves too few with no chance to speak of; the least hashes of these are taken.
+    share = F.least(F.lit(1.0), (2 * bound + 40) / F.col("n"))
+    picked = rows.join(counts, "lang").where((F.pmod("pick", F.lit(1 << 30)) + 0.0) / (1 << 30) < share)
+    least = Window.partitionBy("lang").orderBy(F.pmod("pick", F.lit(1 << 30)), "pick")
+    picked = picked.groupBy("lang", "pick").agg(F.min("text").alias("text")).withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= bound).select("lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                x, owner, _ = windows(*string_buffers(part.column("text")))
+                data, offsets = string_buffers(part.column("text"))
+                start, owner, length = windows(offsets)
                 keep = []
-                for d in np.unique(owner):
-                    own = np.flatnonzero(owner == d)
-                    keep += own[np.unique(np.linspace(0, len(own) - 1, WINDOWS_PER_TEXT).astype(int))].tolist()
-                yield pa.record_batch([part.column("lang").take(pa.array(owner[keep])), pa.array([r.tobytes() for r in x[keep]], pa.binary())], names=["lang", "bytes"])
-
-    bound = 2 * texts_per_language * WINDOWS_PER_TEXT * len(counts)
-    sample = picked.mapInArrow(cut, "lang string, bytes binary").limit(bound).collect()
-    sample.sort(key=lambda r: (r["lang"], bytes(r["bytes"])))
-    if not sample:
-        return None
-    languages = sorted({r["lang"] for r in sample})
-    number = {lang: i for i, lang in enumerate(languages)}
-    x = LOWER[np.frombuffer(b"".join(bytes(r["bytes"]) for r in sample), np.uint8).reshape(len(sample), WINDOW)]
-    return fit(x, np.array([number[r["lang"]] for r in sample]), languages, epochs)
+                for d in range(part.num_rows):
+                    lo, hi = np.searchsorted(owner, [d, d + 1])
+                    keep += np.unique(np.linspace(lo, hi - 1, WINDOWS_PER_TEXT).astype(int)).tolist()
+                x = window_bytes(data, start[keep], length[keep])
+                yield pa.record_batch([part.column("lang").take(pa.array(owner[keep])), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "bytes"])
+
+    sample = picked.mapInArrow(cut, "lang string, bytes binary").toArrow()
+    discard(labelled.sparkSession, counts.frozen)
+    sample = sample.sort_by([("lang", "ascending"), ("bytes", "ascending")])
+    coded = sample.column("lang").combine_chunks().dictionary_encode()
+    x = np.frombuffer(b"".join(b.as_py() for b in sample.column("bytes")), np.uint8).reshape(-1, WINDOW)
+    return fit(x, coded.indices.to_numpy(), coded.dictionary.to_pylist(), epochs)
 
 
 def predict_texts(net: Network | None, text: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -187,10 +200,11 @@ def predict_texts(net: Network | None, text: pa.Array) -> tuple[list[str], np.nd
         return lang, score
     coded = pc.dictionary_encode(pc.fill_null(text, ""))  # copies are judged once
     data, offsets = string_buffers(coded.dictionary)
-    x, owner, length = windows(LOWER[data], offsets)
+    start, owner, length = windows(offsets)
     total = np.zeros((len(coded.dictionary), len(net.languages)))
-    for lo in range(0, len(x), 128):
-        np.add.at(total, owner[lo : lo + 128], net.probabilities(x[lo : lo + 128]) * length[lo : lo + 128, None])
+    for lo in range(0, len(start), AT_ONCE):
+        own = slice(lo, lo + AT_ONCE)
+        np.add.at(total, owner[own], net.probabilities(window_bytes(data, start[own], length[own])) * length[own, None])
     total /= np.maximum(1, np.diff(offsets))[:, None]
     best = total.argmax(axis=1)
     letters = np.array([bool(_LETTER.search(t)) for t in coded.dictionary.to_pylist()], bool)
@@ -235,8 +249,11 @@ def predictions(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, net: Network | None, least_score: float = LEAST_SCORE) -> DataFrame:
-    """``docs`` without texts of no letter, and without texts of ``SURE_BYTES`` or more in which no language reaches ``least_score``; columns as they were."""
+    """``docs`` without texts of no letter (null and empty ones too), and without those in which no language reaches ``least_score``.
+
+    Columns stay as they were, whatever their names; repeated rows are judged each; without
+    a network no language is known and nothing is kept; no rows give no rows.
+    """
     columns = docs.columns
     wrapped = docs.select(F.struct(*columns).alias("kept"), F.col("text").cast("string").alias("text"))
-    sure = (F.col("score") >= least_score) | (F.octet_length("text") < SURE_BYTES)
-    return identify(wrapped, net).where((F.col("lang_pred") != UNKNOWN) & sure).select("kept.*")
+    return identify(wrapped, net).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("kept.*")

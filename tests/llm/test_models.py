@@ -54,17 +54,44 @@ def test_fast_and_plain_responses_agree():
 
 
 def test_windows_cover_whole_texts():
-    data = np.arange(700, dtype=np.int64).astype(np.uint8)
-    x, owner, length = I.windows(data, np.array([0, 0, 600, 700]))
-    assert owner.tolist() == [1, 1, 1, 2] and length.tolist() == [256, 256, 88, 100]
+    data = np.arange(700, dtype=np.int64).astype(np.uint8) | 0x80
+    start, owner, length = I.windows(np.array([0, 0, 600, 700]))
+    x = I.window_bytes(data, start, length)
+    assert owner.tolist() == [1, 1, 1, 2] and length.tolist() == [256, 256, 88, 100] and not x[2, 88:].any()
     assert np.concatenate([r[:n] for r, n in zip(x, length)]).tolist() == data.tolist()
 
 
-def test_keep_known(odd_docs, spark):
+def test_all_labels_are_learned_in_any_layout(spark):
+    """200 labels, a repeated row among them: each is learned, and the order of rows doesn't matter."""
+    rows = [(k, f"{'abcdefghijklmnopqrstuvwxyz'[k % 26]}{k % 200} " * 40, f"l{k % 200:03}") for k in range(800)] + [(5, "hot row", "l005")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = I.train(docs.repartition(3), epochs=1), I.train(docs.orderBy(F.desc("doc_id")).repartition(7), epochs=1)
+    assert one.languages == [f"l{k:03}" for k in range(200)]
+    assert np.array_equal(one.out, two.out) and all(np.array_equal(a, b) for a, b in zip(one.tables, two.tables))
+
+
+def test_a_very_long_text_in_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    net = I.fit(np.zeros((4, I.WINDOW), np.uint8), np.array([0, 1, 0, 1]), ["a", "b"], 1)
+    text = pa.array(["word " * 4_000_000])
+    net.probabilities(np.zeros((2, I.WINDOW), np.uint8))
+    tracemalloc.start()
+    I.predict_texts(net, text)
+    assert tracemalloc.get_traced_memory()[1] < 4 * 20_000_000
+
+
+@pytest.mark.parametrize("name", ["odd_docs", "no_docs"])
+def test_keep_known(request, spark, name):
+    docs = request.getfixturevalue(name)
     net = I.train(spark.read.parquet(f"{SF}/documents.parquet"))
-    kept = I.keep_known(odd_docs, net)
-    assert kept.columns == odd_docs.columns
+    clashing = docs.withColumn("lang_pred", F.lit(1)).withColumn("kept", F.lit(2))
+    kept = I.keep_known(clashing, net)
+    assert kept.columns == clashing.columns
     assert not {0, 1, 2, 4} & {r["doc_id"] for r in kept.collect()}
+    assert I.keep_known(docs, None).count() == 0
 
 
 def base_scores(docs):
