@@ -14,7 +14,7 @@ one of the rolling windows.  So:
 
 No pair of texts is ever formed: a passage in a third of all documents is one key a
 block in each step.  Anchors are a filter only (48-bit hashes, false hits do no harm);
-windows are compared by 64-bit hashes of 64-bit word hashes.
+windows are compared by 128 bits of hashes of 64-bit word hashes.
 """
 
 from __future__ import annotations
@@ -31,10 +31,11 @@ from pyspark.sql import types as T
 
 from tessera.llm import _blocks as B
 from tessera.llm._store import freeze
-from tessera.llm._words import Words, covered, run_starts, runs, words
+from tessera.llm._words import Words, covered, mix, run_starts, runs, words
 
 WINDOW = 13
 _LOW16 = np.uint64(16)
+_OTHER = np.uint64(0xA0761D6478BD642F)
 
 
 def _anchor_width(window: int) -> int:
@@ -77,32 +78,49 @@ def _anchors(w: Words, window: int, buckets: int, got: dict) -> np.ndarray:
     return keys[keep]
 
 
-def _windows(w: Words, ids: np.ndarray, anchors: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first word and doc_id of every window around an anchor."""
+def _windows(w: Words, ids: np.ndarray, anchors: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes, first word and doc_id of every window around an anchor."""
     h, at, _ = _rolling(w, window)
     place = np.minimum(np.searchsorted(anchors, h), max(0, len(anchors) - 1))
     hit = np.zeros(len(w.hash), np.int64)
     if len(anchors):
         hit[at[anchors[place] == h]] = 1
     sums = np.concatenate([[0], np.cumsum(hit)])
-    full = runs(w.hash, window)
-    width = _anchor_width(window)
     near = run_starts(w.first, window)
-    start = np.arange(len(full))
-    near &= sums[start + window - width + 1] > sums[start]
+    start = np.arange(len(near))
+    near &= sums[start + window - _anchor_width(window) + 1] > sums[start]
     start = start[near]
-    return full[start], start, ids[w.doc()[start]]
+    return runs(w.hash, window)[start], runs(mix(w.hash ^ _OTHER), window)[start], start, ids[w.doc()[start]]
 
 
-def _smallest(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes, rising, the smallest doc_id of each, and whether there are others."""
-    order = np.lexsort([ids, h])
-    h, ids = h[order], ids[order]
+def _grouped(h: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of pairs of hashes, and which are the first of their kind in it."""
+    order = np.argsort(h, kind="stable")
+    a, b = h[order], other[order]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
+        order = np.lexsort([other, h])
+        a, b = h[order], other[order]
+    lead = np.ones(len(h), bool)
+    lead[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order, lead
+
+
+def _numbered(h: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each pair of hashes among the distinct ones, and a place of each of these."""
+    order, lead = _grouped(h, other)
+    number = np.empty(len(h), np.int64)
+    number[order] = np.cumsum(lead) - 1
+    return number, order[lead]
+
+
+def _smallest(h: np.ndarray, other: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of hashes, rising, the smallest doc_id of each, and whether there are others."""
+    order, lead = _grouped(h, other)
     if not len(h):
-        return h, ids, np.zeros(0, bool)
-    lead = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    last = np.append(lead[1:], len(h)) - 1
-    return h[lead], ids[lead], ids[last] > ids[lead]
+        return h, other, ids, np.zeros(0, bool)
+    own, at = ids[order], np.flatnonzero(lead)
+    least = np.minimum.reduceat(own, at)
+    return h[order[at]], other[order[at]], least, np.maximum.reduceat(own, at) > least
 
 
 def _ids(rows: pa.RecordBatch) -> np.ndarray:
@@ -135,21 +153,22 @@ def _mark(docs: DataFrame, window: int, finish, schema) -> DataFrame:
 
     def widen(block: int, rows: pa.RecordBatch, got: dict) -> pa.RecordBatch:
         w = _text_words(rows)
-        h, _, ids = _windows(w, _ids(rows), _anchors(w, window, buckets, got), window)
-        h, first, several = _smallest(h, ids)
+        h, other, _, ids = _windows(w, _ids(rows), _anchors(w, window, buckets, got), window)
+        h, other, first, several = _smallest(h, other, ids)
         out = []
         for bucket, lo, hi in B.bucket_ranges(h, buckets):
             ids_blob = B.squeeze(first[lo:hi])
-            more = len(ids_blob).to_bytes(4, "little") + ids_blob + B.bits(several[lo:hi])
+            more = len(ids_blob).to_bytes(4, "little") + other[lo:hi].tobytes() + ids_blob + B.bits(several[lo:hi])
             out.append((bucket, block, hi - lo, B.squeeze_sorted(h[lo:hi]), more))
         return B.message_batch(out)
 
     def find_first(bucket: int, sent: list[B.Message]) -> Iterator[B.Message]:
-        parts = []
+        parts, others = [], []
         for _, block, n, keys, more in sent:
-            size = int.from_bytes(more[:4], "little")
-            parts.append((block, n, B.expand_sorted(keys, n, np.uint64), B.expand(more[4 : 4 + size], n, np.int64), B.from_bits(more[4 + size :], n)))
-        every, number = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
+            size, at = int.from_bytes(more[:4], "little"), 4 + 8 * n
+            others.append(np.frombuffer(more[4:at], np.uint64))
+            parts.append((block, n, B.expand_sorted(keys, n, np.uint64), B.expand(more[at : at + size], n, np.int64), B.from_bits(more[at + size :], n)))
+        number, every = _numbered(np.concatenate([p[2] for p in parts]), np.concatenate(others))
         best = np.full(len(every), np.iinfo(np.int64).max)
         np.minimum.at(best, number, np.concatenate([p[3] for p in parts]))
         at = 0
@@ -164,14 +183,15 @@ def _mark(docs: DataFrame, window: int, finish, schema) -> DataFrame:
         # The anchors' answers came once more, with the last ones under bucket numbers beyond theirs.
         w = _text_words(rows)
         first_got = {b - buckets: v for b, v in got.items() if b >= buckets}
-        h, start, ids = _windows(w, _ids(rows), _anchors(w, window, buckets, {b: v for b, v in got.items() if b < buckets}), window)
-        every = np.unique(h)
+        h, other, start, ids = _windows(w, _ids(rows), _anchors(w, window, buckets, {b: v for b, v in got.items() if b < buckets}), window)
+        number, places = _numbered(h, other)
+        every = h[places]
         best = np.full(len(every), np.iinfo(np.int64).max)
         for bucket, lo, hi in B.bucket_ranges(every, buckets):
             if bucket in first_got:
                 n, useful, values = first_got[bucket]
                 best[np.flatnonzero(B.from_bits(useful, hi - lo)) + lo] = B.expand(values, n, np.int64)
-        gone = best[np.searchsorted(every, h)] < ids
+        gone = best[number] < ids
         return finish(rows, w, covered(start[gone], window, len(w.hash)))
 
     anchors = freeze(B.meet(B.ask(blocks, probe), find_anchors), "anchors")
@@ -218,9 +238,10 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with every repeat of at least ``window`` words cut from all texts but that of the smallest doc_id.
 
-    All columns are kept; ``n_chars``, where there is one, is set to the new length.
-    Rows whose text is left without a word by this are dropped; other texts, null
-    included, are unchanged.
+    All columns are kept, whatever their names; ``n_chars``, where there is one, is set to
+    the new length.  Rows whose text is left without a word by this are dropped; other
+    texts, null and empty ones included, are unchanged.  A null doc_id counts as larger
+    than all others; repeated rows don't cut each other; no rows give no rows.
     """
     cast = docs.withColumn("text", F.col("text").cast("string")).withColumn("doc_id", F.col("doc_id").cast("long"))
     schema: T.StructType = cast.schema
