@@ -6,9 +6,10 @@
    fewest that reach the target recall at the threshold.  Representatives shuffle on
    band hashes, and each is linked to the least one of its band bucket, not to all.
 3. The components of these links are the candidate clusters.  All pairs of a cluster
-   are verified on the full sets, in tiles of bounded size: small clusters share a
-   task, a large one is cut into tiles whose pairs are dealt over many tasks.  Inside a
-   task, intersections come from matrix products over the tile's shingles; what leaves
+   that can be similar by their sizes are verified on the full sets, in tiles of bounded
+   size: small clusters share a task, a large one is cut by set size into tiles, and the
+   pairs of tiles whose sizes allow a link are dealt over many tasks.  Inside a task,
+   intersections come from matrix products over the tile's shingles; what leaves
    it is the number of links of each row and a forest of the links, never the pairs.
 4. The components of the verified links are the near-duplicate groups.
 """
@@ -38,6 +39,8 @@ TILE_ROWS = 256
 TILE_SHINGLES = 1_500_000
 
 _LAST = (1 << 63) - 1
+#: A row's cluster, whether that is cut, its size class and tile there, and the tiles of the class below, its own and the one above.
+_PLACE = ("cluster", "cut", "size_class", "tile", "below", "own", "above")
 _U16, _U48 = np.uint64(16), np.uint64(48)
 _MASK = np.uint64((1 << 48) - 1)
 
@@ -123,10 +126,11 @@ def _signatures(blocks: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
 def _sets(blocks: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """The shingle sets of the rows of ``wanted``, with its other columns; no text is moved."""
-    schema = "row long, cluster long, tiles int, tile int, n long, shingles binary"
+    names = ["row", *_PLACE]
+    schema = f"row long, cluster long, {', '.join(f'{c} int' for c in _PLACE[1:])}, n long, shingles binary"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = right.select(["row", "cluster", "tiles", "tile"])
+        own = right.select(names)
         found = []
         if own.num_rows:
             docs = B.unpack(left.column("payload")[0].as_py())
@@ -135,7 +139,7 @@ def _sets(blocks: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             found = [shingles[first[k] : first[k + 1]] for k in range(len(at))]
         size = pa.array([len(s) for s in found], pa.int64())
         blobs = pa.array([B.squeeze_sorted(s) for s in found], pa.binary())
-        return pa.table([*own.columns, size, blobs], names=["row", "cluster", "tiles", "tile", "n", "shingles"])
+        return pa.table([*own.columns, size, blobs], names=[*names, "n", "shingles"])
 
     return blocks.select("block", "payload").groupBy("block").cogroup(wanted.withColumn("block", F.shiftright("row", B.BLOCK_BITS)).groupBy("block")).applyInArrow(run, schema)
 
@@ -193,7 +197,7 @@ def _verify(table: pa.Table, threshold: float) -> pa.Table:
     cluster, side = table.column("cluster").to_numpy(), table.column("side").to_numpy()
     rows, sizes, blobs = table.column("row").to_numpy(), table.column("n").to_pylist(), table.column("shingles")
     # All rows of a task have one pair of tiles, though a tile may have no row.
-    across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+    across = any(table.column(x)[0].as_py() != table.column(y)[0].as_py() for x, y in (("a", "b"), ("i", "j")))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     order = np.lexsort([rows, side, cluster])
     for own in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
@@ -215,21 +219,19 @@ def _links(reps: DataFrame, blocks: DataFrame, n: int, threshold: float) -> Data
     keyed = reps.select("row", F.posexplode("bands").alias("band", "hash")).select("row", F.xxhash64("band", "hash").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("row").alias("hub"), F.count("*").alias("members")).where("members > 1")
     clusters = components(keyed.join(hubs, "key").select("row", "hub"), "row", "hub")
-    sized = clusters.join(reps.select(F.col("row").alias("node"), "n"), "node")
-    tiles = sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / F.lit(TILE_ROWS)), F.ceil(F.sum("n") / F.lit(TILE_SHINGLES))).cast("int").alias("tiles"))
-    wanted = freeze(
-        sized.join(tiles, "component").select(F.col("node").alias("row"), F.col("component").alias("cluster"), "tiles", F.pmod(F.xxhash64("node"), "tiles").cast("int").alias("tile"), "n"),
-        "clusters",
-    )
-    shared = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((wanted.where("tiles = 1").agg(F.sum("n")).first()[0] or 0) // TILE_SHINGLES) + 1)
+    sized = freeze(clusters.join(reps.select(F.col("row").alias("node"), "n"), "node").select(F.col("node").alias("row"), F.col("component").alias("cluster"), "n"), "clusters")
+    wanted = _tiled(sized, threshold)
+    shared = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((wanted.where("cut = 0").agg(F.sum("n")).first()[0] or 0) // TILE_SHINGLES) + 1)
     sets = _sets(blocks, wanted.drop("n"), n)
+    # Where a row meets others: all tiles of its own class, and those of the classes next to it.
+    meetings = F.expr("""concat(
+        transform(sequence(0, own - 1), x -> named_struct('a', size_class, 'b', size_class, 'i', least(tile, x), 'j', greatest(tile, x), 'side', if(tile > x, 1, 0))),
+        if(below > 0, transform(sequence(0, below - 1), x -> named_struct('a', size_class - 1, 'b', size_class, 'i', x, 'j', tile, 'side', 1)), array()),
+        if(above > 0, transform(sequence(0, above - 1), x -> named_struct('a', size_class, 'b', size_class + 1, 'i', tile, 'j', x, 'side', 0)), array()))""")
     dealt = (
-        sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .withColumn("i", F.least("tile", "other"))
-        .withColumn("j", F.greatest("tile", "other"))
-        .withColumn("side", F.when((F.col("i") != F.col("j")) & (F.col("tile") == F.col("j")), 1).otherwise(0))
-        .withColumn("task", F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("cluster"), F.lit(shared))).otherwise(F.xxhash64("cluster")))
-        .select("tiles", "task", "i", "j", "side", "cluster", "row", "n", "shingles")
+        sets.withColumn("at", F.explode(meetings))
+        .withColumn("task", F.when(F.col("cut") == 0, F.pmod(F.xxhash64("cluster"), F.lit(shared))).otherwise(F.xxhash64("cluster")))
+        .select("cut", "task", "at.*", "cluster", "row", "n", "shingles")
     )
 
     def verify(table: pa.Table) -> pa.Table:
@@ -237,8 +239,31 @@ def _links(reps: DataFrame, blocks: DataFrame, n: int, threshold: float) -> Data
         release()
         return out
 
-    alone = (F.col("tiles") > 1).alias("alone")
-    return dealt.groupBy(alone, "task", "i", "j").applyInArrow(verify, "row long, n_links long, root long")
+    return dealt.groupBy("cut", "task", "a", "b", "i", "j").applyInArrow(verify, "row long, n_links long, root long")
+
+
+def _tiled(sized: DataFrame, threshold: float) -> DataFrame:
+    """``sized`` (row, cluster, n) with the columns of ``_PLACE``.
+
+    Sizes fall into classes such that sets at or over the threshold are in one class or in
+    classes next to each other; a class of a cluster that is cut has tiles of bounded size.
+    """
+    pieces = F.greatest(F.ceil(F.count("*") / F.lit(TILE_ROWS)), F.ceil(F.sum("n") / F.lit(TILE_SHINGLES))).cast("int")
+    cut = freeze(sized.groupBy("cluster").agg(pieces.alias("tiles")).where("tiles > 1").select("cluster"), "cut")
+    # A little wider than the threshold's ratio, so that rounding can't part a pair by two classes.
+    size_class = (F.floor(F.log("n") / F.lit(-math.log(threshold) * (1 + 1e-9))) if threshold < 1 else F.col("n")).cast("int")
+    rows = sized.join(cut.withColumn("cut", F.lit(1)), "cluster", "left").withColumn("cut", F.coalesce("cut", F.lit(0))).withColumn("size_class", F.when(F.col("cut") == 1, size_class).otherwise(0))
+    rows = freeze(rows, "classed")
+    own = freeze(rows.where("cut = 1").groupBy("cluster", "size_class").agg(pieces.alias("own")), "tiles")
+    near = own
+    for name, by in (("below", 1), ("above", -1)):
+        near = near.join(own.select("cluster", (F.col("size_class") + by).alias("size_class"), F.col("own").alias(name)), ["cluster", "size_class"], "left")
+    near = freeze(near, "meetings")
+    known = rows.join(near, ["cluster", "size_class"], "left")
+    return freeze(
+        known.select("row", "n", "cluster", "cut", "size_class", F.coalesce(F.pmod(F.xxhash64("row"), "own"), F.lit(0)).cast("int").alias("tile"), *(F.coalesce(c, F.lit(int(c == "own"))).cast("int").alias(c) for c in ("below", "own", "above"))),
+        "wanted",
+    )
 
 
 def _grouped(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
@@ -287,7 +312,11 @@ def near_duplicates(docs: DataFrame, n: int = N_GRAM, threshold: float = THRESHO
 
 
 def keep_one(docs: DataFrame, n: int = N_GRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """``docs``, all columns, without near duplicates: of each group the row of the least doc_id stays; wordless texts all stay."""
+    """``docs``, all columns, without near duplicates: of each group the row of the least doc_id stays (of equal ids, the first read).
+
+    Null, empty and wordless texts all stay; repeated rows are copies of each other; a null
+    doc_id counts as the largest; columns may have any name; no rows give no rows.
+    """
     cast = docs.withColumn("text", F.col("text").cast("string"))
     blocks, rows = _grouped(cast, n, threshold, recall)
     kept = rows.where("row = kept").select("row", F.shiftright("row", B.BLOCK_BITS).alias("block"))
