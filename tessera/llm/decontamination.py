@@ -8,7 +8,8 @@ sampled position, and the hit words are merged into removal spans.  Nothing is
 shuffled, and a shard's index lives only while the shard is searched.
 
 The benchmark is the stated query set.  It reaches the tasks in blocks of at most
-``BLOCK_BYTES`` of text, one pass over the documents a block.
+``BLOCK_BYTES`` of text, one pass over the documents a block; a block's windows are
+arrays of word numbers, and neither driver nor tasks hold two blocks.
 """
 
 from __future__ import annotations
@@ -23,16 +24,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._store import release, small_batches
-from tessera.llm._words import NOT_ALNUM, slices, words
+from tessera.llm._store import discard, freeze, release, small_batches
+from tessera.llm._words import NOT_ALNUM, mix, run_starts, runs, slices, words
 
 WINDOW = 10
 #: Words of a shard.
 SHARD = 1 << 19
 #: Every so many positions of a shard are kept in its index.
 SAMPLE = 8
-#: Benchmark text that is sent to every task at a time.
-BLOCK_BYTES = 32 << 20
+#: Benchmark text that is sent to every task at a time; its windows take some ten times as much for a moment on the driver.
+BLOCK_BYTES = 8 << 20
+_OTHER = np.uint64(0xA0761D6478BD642F)
 #: Document text that a task holds at a time.
 TEXT_BYTES = 4 << 20
 #: Columns that travel between passes, by names that no table has.
@@ -41,28 +43,37 @@ SPANS, ITEMS = "_tessera_hit_spans", "_tessera_hit_items"
 
 @dataclass
 class Phrases:
-    """Distinct benchmark windows, by length: word numbers in ``vocabulary``, and the items that have each."""
+    """Distinct benchmark windows by length, as places in ``number``: the benchmark's words, numbered in ``vocabulary``."""
 
     vocabulary: np.ndarray
-    by_length: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]  # length, windows, first item of each, items
+    number: np.ndarray
+    by_length: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]  # length, a place of each window, first item of each, items
 
 
-def phrases(items: list[tuple[int, str | None]], window: int = WINDOW) -> Phrases:
-    """Windows of all items; an item of fewer words, but not none, is one window."""
-    w = words(pa.array([t for _, t in items], pa.string()), NOT_ALNUM, lower=True)
+def phrases(items: pa.Array, text: pa.Array, window: int = WINDOW) -> Phrases:
+    """Windows of all items; an item of fewer words, but not none, is one window.
+
+    Windows are told apart by 128 bits of hashes.
+    """
+    w = words(text, NOT_ALNUM, lower=True)
+    item, doc, counts = items.to_numpy(), w.doc(), w.counts
     vocabulary, number = np.unique(w.hash, return_inverse=True)
-    found: dict[int, dict[bytes, set[int]]] = {}
-    for k, (item, _) in enumerate(items):
-        own = number[w.first[k] : w.first[k + 1]].astype(np.int64)
-        n = min(window, len(own))
-        for at in range(len(own) - n + 1 if n else 0):
-            found.setdefault(n, {}).setdefault(own[at : at + n].tobytes(), set()).add(item)
     by_length = []
-    for n, own in sorted(found.items()):
-        rows = np.frombuffer(b"".join(own), np.int64).reshape(-1, n)
-        first = np.concatenate([[0], np.cumsum([len(x) for x in own.values()])])
-        by_length.append((n, rows, first, np.array([i for x in own.values() for i in sorted(x)], np.int64)))
-    return Phrases(vocabulary, by_length)
+    for n in range(1, window + 1):
+        at = np.flatnonzero(run_starts(w.first, n))
+        own = counts[doc[at]]
+        at = at[(own == n) if n < window else (own >= n)]
+        if not len(at):
+            continue
+        one, two = runs(w.hash, n)[at], runs(mix(w.hash ^ _OTHER), n)[at]
+        order = np.lexsort([item[doc[at]], two, one])
+        at, one, two = at[order], one[order], two[order]
+        own = item[doc[at]]
+        lead = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+        each = lead | np.concatenate([[True], own[1:] != own[:-1]])
+        first = np.append(np.flatnonzero(lead[each]), np.count_nonzero(each))
+        by_length.append((n, at[lead].astype(np.int32), first, own[each]))
+    return Phrases(vocabulary, number.astype(np.int32), by_length)
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -144,12 +155,15 @@ class FMIndex:
         self.kept_rank = np.concatenate([[0], np.cumsum(self.kept)])
         self.positions = sa[self.kept]
 
-    def search(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(window, position)`` of every occurrence of the rows of ``windows``."""
-        alive = np.flatnonzero(self.there[windows].all(axis=1))
+    def search(self, number: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """``(window, position)`` of every occurrence of the ``length`` words of ``number`` from each of ``places``."""
+        there = self.there[number]
+        alive = np.arange(len(places))
+        for j in range(length):
+            alive = alive[there[places[alive] + j]]
         low, high = np.zeros(len(alive), np.int64), np.full(len(alive), self.n, np.int64)
-        for j in range(windows.shape[1] - 1, -1, -1):
-            symbol = windows[alive, j]
+        for j in range(length - 1, -1, -1):
+            symbol = number[places[alive] + j]
             low = self.starts[symbol] + self.tree.rank(symbol, low)
             high = self.starts[symbol] + self.tree.rank(symbol, high)
             some = high > low
@@ -174,19 +188,15 @@ class FMIndex:
 def hits(text: pa.Array, known: Phrases, shard: int = SHARD) -> tuple:
     """Words of the texts, which of them are hit, and the distinct ``(text, item)`` pairs of occurring windows."""
     w = words(text, NOT_ALNUM, lower=True)
-    total, hit, pairs = int(w.first[-1]), np.zeros(int(w.first[-1]) + 1, np.int64), []
+    hit, pairs = np.zeros(int(w.first[-1]) + 1, np.int32), []
     # A separator, which no phrase has, follows each text; a text's words thus shift by its number.
-    doc = w.doc()
-    sequence = np.zeros(total + w.n_docs, np.uint64)
-    place = np.arange(total) + doc
-    sequence[place] = w.hash
-    sequence[w.first[1:] + np.arange(w.n_docs)] = np.uint64(0)
+    sequence = np.insert(w.hash, w.first[1:], np.uint64(0))
     longest = max((n for n, *_ in known.by_length), default=1)
     for lo in range(0, len(sequence), shard):
         part = sequence[lo : lo + shard + longest - 1]
         index = FMIndex(part, known.vocabulary)
-        for n, windows, first, items in known.by_length:
-            window, at = index.search(windows)
+        for n, places, first, items in known.by_length:
+            window, at = index.search(known.number, places, n)
             if not len(window):
                 continue
             at = at + lo
@@ -200,36 +210,46 @@ def hits(text: pa.Array, known: Phrases, shard: int = SHARD) -> tuple:
     return w, np.cumsum(hit[:-1]) > 0, both
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str | None]]]:
-    """Items in blocks of at most ``block_bytes`` of text, dealt by a hash; an item with a null id is left out."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null")
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[pa.Table]:
+    """Distinct items in blocks of about ``block_bytes`` of text at most, dealt by a hash; an item with a null id is left out."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("item_id is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-2 * size // block_bytes) if size > block_bytes else 1
     for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        yield [tuple(r) for r in part.collect()]
+        yield (items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)).toArrow().combine_chunks()
 
 
 def _search(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, finish: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
     """``finish`` of every slice of ``docs`` with the 0-based word spans that are hit (starts and ends in turn) and the items found.
 
-    A pass for each block of the benchmark; the last one finishes, so that one block needs one pass.
+    A pass for each block of the benchmark.  All but the last write the documents with
+    their hits, so that one block at a time is with the tasks; the last one finishes, so
+    that one block needs one pass.
     """
     small_batches(docs.sparkSession)
     out = docs.select("*", F.expr("cast(array() as array<bigint>)").alias(SPANS), F.expr("cast(array() as array<bigint>)").alias(ITEMS))
     waiting: Phrases | None = None
     for block in _blocks(benchmark, block_bytes):
-        known = phrases(block, window)
+        known = phrases(block.column("item_id").combine_chunks(), block.column("text").combine_chunks(), window)
         if known.by_length:
             if waiting is not None:
-                out = out.mapInArrow(_searcher(docs, waiting, out.columns, None), out.schema)
+                out = _pass(docs, out, waiting)
             waiting = known
-    return out.mapInArrow(_searcher(docs, waiting, out.columns, finish), schema)
+    sent = docs.sparkSession.sparkContext.broadcast(waiting)
+    return out.mapInArrow(_searcher(sent, out.columns, finish), schema)
 
 
-def _searcher(docs: DataFrame, known: Phrases | None, columns: list[str], finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None) -> Callable:
+def _pass(docs: DataFrame, rows: DataFrame, known: Phrases) -> DataFrame:
+    """``rows`` with the hits of one block of the benchmark, frozen."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
+    out = freeze(rows.mapInArrow(_searcher(sent, rows.columns, None), rows.schema), "hits")
+    sent.destroy()
+    if hasattr(rows, "frozen"):
+        discard(docs.sparkSession, rows.frozen)
+    return out
+
 
+def _searcher(sent, columns: list[str], finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", TEXT_BYTES):
@@ -302,7 +322,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     All columns are kept; ``n_chars``, where there is one, is set to the new length.
     Rows whose text is left without a word are dropped, others stay; a clean text, null
-    included, is unchanged.
+    included, is unchanged.  Items with a null id or no words match nothing; an empty
+    benchmark leaves all as it was; repeated rows stay as often as they are; further
+    columns may have any name; no documents give no rows.
     """
     columns = docs.columns
     cast = docs.withColumn("text", F.col("text").cast("string"))
