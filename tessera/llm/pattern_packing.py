@@ -2,8 +2,8 @@
 
 Documents are tokenised once; after that only their lengths matter.  The length
 histogram has at most ``seq_len`` rows whatever the corpus size, so the plan is made
-on the driver: patterns of two or three lengths that fill a sequence are enumerated,
-non-negative least squares fits how often each repeats, the counts are rounded down,
+on the driver: all patterns of one to three lengths that fill a sequence are enumerated,
+non-negative least squares fits how often each repeats, the counts are rounded,
 and what is left over is packed best-fit-decreasing on the histogram.  The plan says,
 for each length, which rank goes to which pattern slot; ranks are handed out by
 prefix sums over the tasks that tokenised, so no group of equal lengths meets in a task.
@@ -69,12 +69,8 @@ def pieces(docs: DataFrame, seq_len: int = SEQ_LEN, end_id: int = END_ID, tokeni
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _PIECES)
 
 
-def enumerate_patterns(lengths: np.ndarray, seq_len: int, widest: int = 400) -> list[np.ndarray]:
-    """Patterns that fill a sequence exactly: single lengths, all pairs, and triples.
-
-    Triples take their first two members from all lengths where there are at most
-    ``widest``, else from that many evenly spaced ones; the third is then given.
-    """
+def enumerate_patterns(lengths: np.ndarray, seq_len: int) -> list[np.ndarray]:
+    """All patterns of one, two or three of ``lengths`` that fill a sequence exactly, longest first: at most about seq_len**2 / 12."""
     have = np.zeros(seq_len + 1, bool)
     have[lengths] = True
     out = [np.array([[seq_len]])] if have[seq_len] else []
@@ -82,21 +78,17 @@ def enumerate_patterns(lengths: np.ndarray, seq_len: int, widest: int = 400) ->
     a = a[have[a] & have[seq_len - a]]
     if len(a):
         out.append(np.stack([seq_len - a, a], 1))
-    some = np.sort(lengths[lengths < seq_len])
-    if len(some) > widest:
-        some = some[np.unique(np.linspace(0, len(some) - 1, widest).astype(int))]
-    if len(some):
-        x, y = np.meshgrid(some, some, indexing="ij")
-        z = seq_len - x - y
-        ok = (x >= y) & (z >= 1)
-        ok[ok] = have[z[ok]]
-        if ok.any():
-            rows = np.unique(np.sort(np.stack([x[ok], y[ok], z[ok]], 1), axis=1)[:, ::-1], axis=0)
-            out.append(rows)
-    return out
-
-
-def nonnegative_fit(patterns: list[np.ndarray], counts: np.ndarray, steps: int = 400) -> list[np.ndarray]:
+    triples = []
+    for x in np.flatnonzero(have[: seq_len - 1]).tolist():
+        # The second is no longer than the first, and the third no longer than the second.
+        y = np.arange(-(-(seq_len - x) // 2), min(x, seq_len - x - 1) + 1)
+        y = y[have[y] & have[seq_len - x - y]]
+        if len(y):
+            triples.append(np.stack([np.full(len(y), x), y, seq_len - x - y], 1))
+    return [*out, np.concatenate(triples)] if triples else out
+
+
+def nonnegative_fit(patterns: list[np.ndarray], counts: np.ndarray, steps: int = 200) -> list[np.ndarray]:
     """Repeat counts ``x >= 0`` that minimise ``|A x - counts|`` weighted to relative error, by accelerated projected gradients."""
     if not patterns:
         return []
@@ -157,22 +149,31 @@ def best_fit_decreasing(counts: dict[int, int], seq_len: int) -> list[tuple[tupl
     return [x for runs in open_bins.values() for x in runs]
 
 
-def plan(histogram: dict[int, int], seq_len: int = SEQ_LEN) -> list[tuple[tuple[int, ...], int]]:
-    """``[(lengths of a sequence, how many such sequences)]`` covering the histogram exactly."""
-    left = np.zeros(seq_len + 1, np.int64)
+def _fitted(histogram: dict[int, int], seq_len: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan of fitted patterns; what they leave is packed best-fit-decreasing."""
+    counts = np.zeros(seq_len + 1, np.int64)
     for length, n in histogram.items():
-        left[length] = n
-    groups = enumerate_patterns(np.flatnonzero(left), seq_len)
-    out: list[tuple[tuple[int, ...], int]] = []
-    for group, repeats in zip(groups, nonnegative_fit(groups, left.astype(float))):
-        whole = np.floor(repeats + 1e-6).astype(np.int64)
-        for k in np.flatnonzero(whole)[np.argsort(-whole[np.flatnonzero(whole)], kind="stable")]:
-            lengths, each = np.unique(group[k], return_counts=True)
-            n = int(min(whole[k], *(left[lengths] // each)))
+        counts[length] = n
+    groups = enumerate_patterns(np.flatnonzero(counts), seq_len)
+    left, out, sums = counts.tolist(), [], 0.0
+    for group, repeats in zip(groups, nonnegative_fit(groups, counts.astype(float))):
+        # Running sums are rounded, so that many small counts don't all round to none.
+        steps = np.floor(sums + np.concatenate([[0.0], np.cumsum(repeats)]) + 0.5).astype(np.int64)
+        whole = np.diff(steps)
+        sums += float(repeats.sum())
+        some = np.flatnonzero(whole)
+        for lengths, n in zip(group[some].tolist(), whole[some].tolist()):
+            n = min(n, *(left[v] // lengths.count(v) for v in lengths))
             if n > 0:
-                left[lengths] -= n * each
-                out.append((tuple(int(v) for v in group[k]), n))
-    return out + best_fit_decreasing({int(v): int(left[v]) for v in np.flatnonzero(left)}, seq_len)
+                for v in lengths:
+                    left[v] -= n
+                out.append((tuple(lengths), n))
+    return out + best_fit_decreasing({v: n for v, n in enumerate(left) if n}, seq_len)
+
+
+def plan(histogram: dict[int, int], seq_len: int = SEQ_LEN) -> list[tuple[tuple[int, ...], int]]:
+    """``[(lengths of a sequence, how many such sequences)]`` covering the histogram exactly: by fitted patterns, or by best fit alone where that takes fewer."""
+    return min(_fitted(histogram, seq_len), best_fit_decreasing(histogram, seq_len), key=lambda found: sum(n for _, n in found))
 
 
 def _slots(planned: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
