@@ -17,12 +17,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._store import freeze
+from tessera.llm._store import discard, freeze
 
-#: Quantile bins of each statistic, rules of a list, conditions of a rule.
+#: Quantile bins of each statistic.
 BINS = 24
-MOST_RULES = 8
-MOST_CONDITIONS = 3
 #: A rule must be this precise for the rejected class, on the growing and the pruning rows, and cover so many.
 LEAST_PRECISION = 0.9
 LEAST_ROWS = 5
@@ -36,9 +34,12 @@ def statistics(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text and more) with n_words, the base counts and the features; the text and its parts are dropped.
 
     Every column comes from expressions inside the JVM.  Work that is used more than once
-    is given a projection of its own, so that no lambda evaluates it anew.
+    is given a projection of its own, so that no lambda evaluates it anew; the result is
+    frozen, so that what is built on it can't merge these projections again.  A null text
+    has no words; further columns stay (but for those of the names added, which are
+    replaced); no rows give no rows.
     """
-    kept = [c for c in docs.columns if c != "text"]
+    kept = [c for c in docs.columns if c not in ("text", "n_words", *BASE, *FEATURES)]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = docs.select(*kept, text.alias("text")).select(
         *kept,
@@ -75,7 +76,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     covered = again.withColumn("n_repeat_words", F.coalesce(F.expr("aggregate(a, struct(0L as n, -5 as last), (s, i) -> struct(s.n + least(5, i - s.last) as n, i as last), s -> s.n)"), F.lit(0).cast("long"))).drop("a")
     whole = F.greatest(F.col("n_words"), F.lit(1))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
-    return covered.select(
+    found = covered.select(
         *kept,
         "n_words",
         *BASE,
@@ -86,6 +87,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         (F.col("n_repeat_words") / whole).alias("repeat_share"),
         (F.col("n_distinct") / whole).alias("distinct_share"),
     )
+    return freeze(found, "statistics")
 
 
 def base_failed() -> Column:
@@ -166,21 +168,26 @@ def _prune(rule: Rule, rows: DataFrame) -> Rule:
 
 
 def learn(labelled: DataFrame) -> list[Rule]:
-    """An ordered list of rejecting rules from ``labelled``: the features and ``bad`` (1: to be rejected, 0: to be kept)."""
+    """An ordered list of rejecting rules from ``labelled``: the features and ``bad`` (1: to be rejected, 0: to be kept).
+
+    A rule grows until it covers rejected rows only or nothing gains; the list ends with
+    the first rule that is too small or not precise enough.  No rows, or none to be
+    rejected, give no rules; rows with a null ``bad`` count as kept.
+    """
     split = F.pmod(F.xxhash64(*FEATURES), F.lit(3)) == 0
-    rows = freeze(labelled.select(*FEATURES, F.col("bad").cast("int").alias("bad"), split.alias("pruning")), "labelled")
+    rows = freeze(labelled.select(*FEATURES, F.coalesce(F.col("bad").cast("int"), F.lit(0)).alias("bad"), split.alias("pruning")), "labelled")
     share = [k / BINS for k in range(1, BINS)]
     found = rows.agg(*(F.percentile_approx(f, share, 1000).alias(f) for f in FEATURES), *(F.percentile_approx(F.when(F.col("bad") == 1, F.col(f)), share, 1000).alias(f"bad_{f}") for f in FEATURES), *(F.max(F.when(F.col("bad") == 0, F.col(f))).alias(f"most_{f}") for f in FEATURES)).first()
     edges = {f: sorted({*(found[f] or []), *(found[f"bad_{f}"] or []), *([found[f"most_{f}"]] if found[f"most_{f}"] is not None else [])}) for f in FEATURES}
     rules: list[Rule] = []
-    while len(rules) < MOST_RULES:
+    while True:
         left = rows.where(~F.coalesce(_either(rules), F.lit(False)))
         growing, pruning = left.where("not pruning"), left.where("pruning")
         before = _counts(growing)
         if before[0] < LEAST_ROWS:
             break
         rule: Rule = ()
-        while len(rule) < MOST_CONDITIONS and before[0] < before[1]:
+        while before[0] < before[1]:
             best = _best_condition(growing, rule, edges, before)
             if best is None or best[0] <= 0:
                 break
@@ -193,6 +200,7 @@ def learn(labelled: DataFrame) -> list[Rule]:
         if n < LEAST_ROWS or bad < LEAST_PRECISION * n or held_bad < LEAST_PRECISION * held:
             break
         rules.append(rule)
+    discard(labelled.sparkSession, rows.frozen)
     return rules
 
 
@@ -223,7 +231,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     several labels the least quality counts; no labels give no rules, and what passes the
     base rules is kept.  Further columns are ignored; repeated rows get a row each.
     """
-    stats = freeze(statistics(docs.select(F.col("doc_id").cast("long"), "text")), "statistics")
+    stats = statistics(docs.select(F.col("doc_id").cast("long"), "text"))
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     labelled = stats.where(~base_failed()).join(known, "doc_id").withColumn("bad", (F.col("quality") == 0).cast("int"))
     rules = learn(labelled)
