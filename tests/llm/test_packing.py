@@ -113,3 +113,39 @@ def test_plan_covers_the_histogram(histogram):
     assert placed == Counter(histogram)
     lower = max(-(-sum(k * v for k, v in histogram.items()) // 100), sum(v for k, v in histogram.items() if k > 50))
     assert sum(n for _, n in plan) <= 1.25 * lower + 2
+
+
+@pytest.mark.parametrize("most", [300, 700, 2048])
+def test_plan_is_never_worse_than_best_fit(most):
+    """Few and many distinct lengths: no more sequences than best fit alone, and near the least that lengths allow."""
+    rng = np.random.default_rng(most)
+    histogram = Counter(rng.integers(1, most + 1, 60_000).tolist())
+    count = lambda found: sum(n for _, n in found)
+    used = count(P.plan(histogram))
+    assert used <= count(P.best_fit_decreasing(histogram, P.SEQ_LEN))
+    assert used <= -(-sum(k * v for k, v in histogram.items()) // P.SEQ_LEN) * 1.002 + 1
+
+
+def test_all_exact_patterns():
+    found = P.enumerate_patterns(np.array([1, 2, 3, 4, 5, 6, 10]), 10)
+    want = {c for n in (1, 2, 3) for c in __import__("itertools").combinations_with_replacement((10, 6, 5, 4, 3, 2, 1), n) if sum(c) == 10}
+    assert {tuple(r) for g in found for r in g.tolist()} == want and sum(map(len, found)) == len(want)
+
+
+def test_written_token_rows(spark, odd_docs, tmp_path):
+    R.write_token_rows(odd_docs, f"file://{tmp_path}/rows", seq_len=128)
+    back = spark.read.parquet(f"file://{tmp_path}/rows")
+    assert Counter(map(str, back.collect())) == Counter(map(str, R.token_rows(odd_docs, 128).collect()))
+    assert R.unpack(back).agg({"start": "count"}).first()[0] == R.unpack(R.token_rows(odd_docs, 128)).count()
+
+
+def test_groups_pack_like_best_fit_decreasing():
+    """Groups with open rows between them need hardly more rows than one best fit of everything."""
+    rng = np.random.default_rng(5)
+    lengths = np.minimum(2048, rng.lognormal(5.5, 1.0, 30_000).astype(int) + 1)
+    packer, rows = R.Packer(), 0
+    for k, n in enumerate(lengths.tolist()):
+        rows += len(packer.add(k, np.zeros(n, np.uint16)))
+    rows += len(packer.finish())
+    best = sum(n for _, n in P.best_fit_decreasing(Counter(lengths.tolist()), 2048))
+    assert best <= rows <= 1.01 * best

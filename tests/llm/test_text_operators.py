@@ -147,6 +147,15 @@ def test_more_tiles_than_rows(spark, monkeypatch):
     assert Counter((r["doc_id"], r["class_id"], r["copy_of"], r["n_copies"], r["n_links"]) for r in got) == expected_groups(rows)
 
 
+def test_cut_cluster_of_many_sizes(spark, monkeypatch):
+    """Chains of texts that shrink step by step: links within and across size classes, in any tiles."""
+    monkeypatch.setattr(J, "TILE_ROWS", 4)
+    base = [f"w{i}" for i in range(90)]
+    rows = [(i, " ".join(base[: 90 - i])) for i in range(70)] + [(100 + i, " ".join(base[i:])) for i in range(1, 40)]
+    got = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["copy_of"], r["n_copies"], r["n_links"]) for r in got) == expected_groups(rows)
+
+
 def test_keep_one(copied_docs):
     kept = J.keep_one(copied_docs)
     assert kept.columns == copied_docs.columns
@@ -179,7 +188,7 @@ def test_suffix_array(values):
 def test_index_finds_every_occurrence(shard, windows):
     vocabulary = np.array(sorted({x for w in windows for x in w}), np.uint64)
     rows = np.searchsorted(vocabulary, np.array(windows, np.uint64))
-    window, at = D.FMIndex(np.array(shard, np.uint64), vocabulary, 3).search(rows)
+    window, at = D.FMIndex(np.array(shard, np.uint64), vocabulary, 3).search(rows.ravel(), 2 * np.arange(len(rows)), 2)
     want = sorted((k, i) for k, w in enumerate(windows) for i in range(len(shard) - 1) if shard[i : i + 2] == w)
     assert sorted(zip(window.tolist(), at.tolist())) == want
 
@@ -221,12 +230,63 @@ def test_contamination(request, spark, name, block_bytes):
 
 def test_small_shards_find_hits_across_their_edges():
     text = pa.array(["a b c d e f g h i j k l", "x a b c y"])
-    known = D.phrases([(1, "c d e f g h i j k l"), (2, "a b c")])
+    known = D.phrases(pa.array([1, 2, 2, 3]), pa.array(["c d e f g h i j k l", "a b c", "A b C", ""]))
     for shard in (1, 2, 3, 5, 100):
         w, hit, pairs = D.hits(text, known, shard)
         assert hit.tolist() == [True] * 12 + [False, True, True, True, False] and pairs.tolist() == [[0, 1], [0, 2], [1, 2]]
 
 
+def test_windows_of_a_large_block_take_little_memory():
+    import random
+    import tracemalloc
+
+    rng = random.Random(2)
+    text = [" ".join(f"{rng.randrange(1 << 20):x}" for _ in range(40)) for _ in range(10_000)]
+    tracemalloc.start()
+    known = D.phrases(pa.array(range(len(text))), pa.array(text))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * sum(map(len, text)) and len(known.by_length[0][1]) == 31 * len(text)
+
+
+@pytest.mark.parametrize("name", ["odd_docs", "no_docs"])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 40])
+def test_decontaminate_odd_texts(request, spark, name, block_bytes):
+    docs = request.getfixturevalue(name).withColumn("_hits", F.lit(1))
+    bench = spark.createDataFrame([(1, "naïve café Ünïcode 漢字 текст"), (None, "a b c d e f g h i j"), (2, None), (3, "one"), (3, "x" * 5000)], "item_id long, text string")
+    out = D.decontaminate(docs, bench, block_bytes=block_bytes)
+    assert out.columns == docs.columns
+    gone = ("one", "naïve café Ünïcode 漢字 текст", "x" * 5000)
+    want = [r for r in docs.collect() if r["text"] not in gone]
+    assert sorted(map(str, (r for r in out.collect() if r["doc_id"] is not None))) == sorted(map(str, (r for r in want if r["doc_id"] is not None)))
+
+
+@pytest.mark.parametrize("name", ["odd_docs", "no_docs"])
+def test_dedup_and_keep_one_of_odd_texts(request, name):
+    """Nulls, a null id, repeated rows, no rows, columns of any name: nothing but copies and repeats goes."""
+    docs = request.getfixturevalue(name).withColumnRenamed("n", "low").withColumn("copy_of", F.lit("x"))
+    cut, one = S.dedup_substrings(docs), J.keep_one(docs)
+    assert cut.columns == one.columns == docs.columns
+    rows = docs.collect()
+    # A repeated row is no repeat of a smaller id; equal texts are near duplicates, texts without words are not.
+    assert sorted(map(str, cut.collect())) == sorted(map(str, rows))
+    wordless = [r for r in rows if not WORD.findall(r["text"] or "")]
+    texts = {tuple(WORD.findall(r["text"])) for r in rows if WORD.findall(r["text"] or "")}
+    assert one.count() == len(wordless) + len(texts)
+
+
+def test_messages_are_no_more_than_keys():
+    """However many buckets the corpus needs, a block sends no more messages than it has keys, in time of its keys."""
+    from tessera.llm import _blocks as B
+
+    keys = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
+    for buckets in (1, 100, 100_000_000):
+        found = B.bucket_ranges(keys, buckets)
+        assert [lo for _, lo, _ in found] == [0, *(hi for _, _, hi in found[:-1])] and found[-1][2] == len(keys)
+        assert all(int(keys[i]) >> 32 << 0 and (int(keys[i]) >> 32) * buckets >> 32 == b for b, lo, hi in found for i in (lo, hi - 1))
+        assert len(found) <= min(buckets, len(keys))
+
+
 def test_decontaminate(spark, copied_docs):
     text = next(r["text"] for r in copied_docs.orderBy("doc_id").collect() if len(r["text"].split()) > 60)
     bench = spark.createDataFrame([(1, " ".join(text.split()[20:40]))], "item_id long, text string")
