@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontamination, jaccard_join, language_id, pattern_packing, substring_dedup
-from tessera.llm._store import freeze
+from tessera.llm._store import discard, freeze, fresh_path, scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +54,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = freeze(stage(spark, docs, sf_dir), name)
+        path = fresh_path(spark, name)
+        # What a stage has frozen for itself goes with it, and its input too.
+        with scratch(spark):
+            kept = freeze(stage(spark, docs, sf_dir), name, path)
+        if hasattr(docs, "frozen"):
+            discard(spark, docs.frozen)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
