@@ -4,9 +4,15 @@ A word is drawn in the restaurant of the word before it; all context restaurants
 the parent restaurant of single words, whose base is uniform over the known words and
 one unknown.  Customers of one dish in one restaurant are a cell; their number of tables
 is what the parent sees.  A Gibbs sweep draws every cell's number of tables from its
-conditional given the parent and the restaurant's other tables (sweeps run over all
-cells at once, with the restaurants' totals of the sweep before), then the parent's.
-The predictive probabilities of all sweeps are averaged.
+conditional given the parent and the restaurant's tables (sweeps run over all cells at
+once, with the restaurants' totals of the sweep before), then the parent's.  The first
+sweeps are left out; the predictive probabilities of the others are averaged.
+
+A cell of c customers has t tables with a chance in proportion to S(c, t) w**t, where S
+is the generalised Stirling number of the discount and w what a new table weighs.  S
+comes from its recurrence for small cells, and for larger ones from its alternating sum
+or, where that loses digits, a saddle point with its next term: logarithms of S within
+0.03, mostly within 0.007.
 
 Counts are made over all training texts.  Each block of documents sends its distinct
 words and word pairs to hash buckets and gets back their corpus counts; one block owns
@@ -19,6 +25,7 @@ corpus is one entry a block.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,13 +38,16 @@ from tessera.llm import _blocks as B
 from tessera.llm._store import freeze
 from tessera.llm._words import mix, words
 
-#: Gibbs sweeps; the predictive probabilities of each are averaged.
-SWEEPS = 2
+#: Gibbs sweeps, and how many of them come before those that are averaged.
+SWEEPS = 3
+BURN_IN = 1
 #: Concentrations of the context restaurants and of their parent; discounts are set from the counts of ones and twos.
 STRENGTH = 0.5
 PARENT_STRENGTH = 1.0
-#: Cells of up to so many customers are drawn from exact weights; later customers of larger ones sit down in growing groups.
+#: Stirling numbers of cells of up to so many customers come from their recurrence.
 EXACT = 48
+#: Table numbers that are weighed for a larger cell; where its law is wider, they stand for equal stretches of it.
+POINTS = 64
 BLOCK_BYTES = 8 << 20
 
 #: Hashes that stand for the start (a context) and the end (a token) of every text.
@@ -66,64 +76,178 @@ def _uniform(seed: np.ndarray, salt: int) -> np.ndarray:
 def draw_tables(customers: np.ndarray, weight: np.ndarray, discount: float, seed: np.ndarray, sweep: int) -> np.ndarray:
     """Tables of cells with ``customers``, where a new table weighs ``weight`` and an old one its customers less the discount."""
     tables = np.minimum(customers, 1).astype(np.int64)
-    several = np.flatnonzero(customers > 1)
-    if not len(several):
-        return tables
-    stirling, exact = _stirling(discount), np.minimum(customers[several], EXACT)
-    u, log_weight = _uniform(seed[several], sweep), np.log(np.maximum(weight[several], 1e-300))
-    order = np.argsort(exact, kind="stable")
-    for own in np.split(order, np.flatnonzero(np.diff(exact[order])) + 1):
-        c = int(exact[own[0]])
-        t = np.arange(1, c + 1)
-        for part in np.array_split(own, max(1, len(own) * c >> 20)):
-            p = stirling[c, 1 : c + 1] + t * log_weight[part, None]
-            p = np.cumsum(np.exp(p - p.max(axis=1, keepdims=True)), axis=1)
-            tables[several[part]] = 1 + (u[part, None] * p[:, -1:] > p).sum(axis=1)
-    large = several[customers[several] > EXACT]
-    seated, turn = np.full(len(large), EXACT, np.int64), 0
-    while len(large):
-        group = np.minimum(np.maximum(1, seated // 8), customers[large] - seated)
-        new = weight[large] / (seated - discount * tables[large] + weight[large])
-        turn += 1
-        tables[large] += np.minimum(group, np.floor(group * new + _uniform(seed[large], 1000 * sweep + turn))).astype(np.int64)
-        seated = seated + group
-        left = seated < customers[large]
-        large, seated = large[left], seated[left]
+    small = np.flatnonzero((customers > 1) & (customers <= EXACT))
+    if len(small):
+        stirling, own_customers = _stirling(discount), customers[small]
+        u, log_weight = _uniform(seed[small], sweep), np.log(np.maximum(weight[small], 1e-300))
+        order = np.argsort(own_customers, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(own_customers[order])) + 1):
+            c = int(own_customers[own[0]])
+            t = np.arange(1, c + 1)
+            for part in np.array_split(own, max(1, len(own) * c >> 20)):
+                p = stirling[c, 1 : c + 1] + t * log_weight[part, None]
+                p = np.cumsum(np.exp(p - p.max(axis=1, keepdims=True)), axis=1)
+                tables[small[part]] = 1 + (u[part, None] * p[:, -1:] > p).sum(axis=1)
+    large = np.flatnonzero(customers > EXACT)
+    if len(large):
+        tables[large] = _draw_large(customers[large].astype(float), np.maximum(weight[large], 1e-300), discount, _uniform(seed[large], sweep))
     return tables
 
 
+def _draw_large(c: np.ndarray, w: np.ndarray, d: float, u: np.ndarray) -> np.ndarray:
+    """Tables of cells beyond the recurrence, from the weights of up to ``POINTS`` table numbers around the likely ones."""
+    middle, spread = _likely_tables(c, w, d)
+    half = 6 * spread + 7
+    low = np.maximum(1, np.floor(middle + 1 - half))
+    stride = np.maximum(1, np.ceil((np.minimum(c, np.ceil(middle + 1 + half)) - low + 1) / POINTS))
+    number = np.ceil((np.minimum(c, np.ceil(middle + 1 + half)) - low + 1) / stride)
+    out = np.zeros(len(c), np.int64)
+    order = np.argsort(number, kind="stable")
+    for own in np.array_split(order, -(-len(order) * POINTS >> 18)):
+        k = np.arange(int(number[own].max()))
+        step = stride[own, None]
+        # The middle of each stretch of table numbers weighs for all of it.
+        first = low[own, None] + k * step
+        t = np.minimum(first + (step - 1) / 2, c[own, None])
+        p = t * np.log(w[own, None]) + log_stirling(c[own], t, d)
+        p = np.where((k < number[own, None]) & (first <= c[own, None]), p, -np.inf)
+        p = np.cumsum(np.exp(p - p.max(axis=1, keepdims=True)), axis=1)
+        goal = u[own, None] * p[:, -1:]
+        at = np.minimum((goal > p).sum(axis=1), len(k) - 1)
+        rows = np.arange(len(own))
+        below = np.where(at > 0, p[rows, at - 1], 0.0)
+        inside = (goal[:, 0] - below) / np.maximum(p[rows, at] - below, 1e-300)
+        out[own] = np.clip(first[rows, at] + np.floor(inside * step[:, 0]), 1, c[own]).astype(np.int64)
+    return out
+
+
+def _likely_tables(c: np.ndarray, w: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """About the mean (less one) and the deviation of the number of tables: Poisson tables of random sizes, given the sum of their sizes."""
+    goal = np.log(c / w)
+    y = np.maximum(goal / (1 - d), 0.4 * np.exp(np.minimum(goal, 0)))
+    for _ in range(7):
+        y = np.clip(y - (np.log(-np.expm1(-y)) + (1 - d) * y - goal) / (1 / np.expm1(y) + 1 - d), 1e-9, 600.0)
+    phi, mean, step, _, _ = _tilted(y, d)
+    rate = w * phi
+    square = np.expm1(y) * step / mean  # variance over squared mean of a table's customers
+    return np.minimum(rate, c), np.sqrt(np.minimum(rate, c) * square / (1 + square))
+
+
+def _tilted(y: np.ndarray, d: float) -> tuple[np.ndarray, ...]:
+    """Of the law of a table's customers, tilted by 1 - exp(-y): its sum, mean, and the steps of the mean's logarithm (first to third)."""
+    phi = -np.expm1(-d * y) / d
+    mean = np.exp(np.log(-np.expm1(-y)) + (1 - d) * y - np.log(phi))
+    near = y < 0.02
+    z = np.maximum(y, 0.01)
+    e, f = np.expm1(z), np.expm1(d * z)
+    a, b = (e + 1) / e / e, d * d * (f + 1) / f / f
+    step = np.where(near, (1 - d) / 2 + (1 - d**2) * y / 12 - (1 - d**4) * y**3 / 720, 1 / e + 1 - d - d / f)
+    second = np.where(near, (1 - d**2) / 12 - (1 - d**4) * y**2 / 240, b - a)
+    third = np.where(near, -(1 - d**4) * y / 120, a * (2 * (e + 1) / e - 1) + d * b * (1 - 2 * (f + 1) / f))
+    return phi, mean, step, second, third
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """The logarithm of the gamma function of numbers over 0, by Stirling's series seven steps on."""
+    x = np.asarray(x, float)
+    z = x + 7
+    inverse = 1 / z
+    back = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6)
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + inverse * (1 / 12 - inverse**2 * (1 / 360 - inverse**2 / 1260)) - np.log(back)
+
+
+def log_stirling(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """Logarithms of generalised Stirling numbers S(c, t); a row of ``t`` (real numbers from 1 to c) for each of ``c``."""
+    # Where the alternating sum keeps enough digits: a bound on the logarithm of what its terms lose.
+    most = 12.0 if d < 0.5 else 25.0
+    inside = most ** (1 - d) * c**d
+    few, many = np.flatnonzero(t.min(axis=1) <= inside), np.flatnonzero(t.max(axis=1) > inside)
+    out = np.empty(t.shape)
+    if len(many):
+        out[many] = _saddle_point(c[many, None], t[many], d)
+    if len(few):
+        own = t[few] <= inside[few, None]
+        out[few] = np.where(own, _alternating_sum(c[few], np.where(own, t[few], 1.0), d), out[few])
+    return out
+
+
+def _alternating_sum(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """By inclusion and exclusion: the sum over j of (-1)**j binomial(t, j) Gamma(c - dj) / Gamma(-dj), over d**t t!."""
+    base, sums, choose = log_gamma(c - d), np.zeros(t.shape), np.ones(t.shape)
+    for j in range(1, 600):
+        choose = choose * ((t - j + 1) / j)
+        # 1 / Gamma(-dj) is -sin(pi d j) Gamma(1 + dj) / pi.
+        size = choose * np.exp(math.lgamma(1 + d * j) + log_gamma(np.maximum(c - d * j, 0.01)) - base)[:, None]
+        sums += (-1) ** (j + 1) * math.sin(math.pi * d * j) / math.pi * size
+        if j > 2 and (np.abs(size) <= 1e-9 * np.abs(sums)).all():
+            break
+    return np.log(np.maximum(sums, 1e-300)) + base[:, None] - log_gamma(t + 1) - t * math.log(d)
+
+
+def _saddle_point(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """S is c! / t! times the coefficient of z**c in the t-th power of (1 - (1 - z)**d) / d: Daniels' approximation of it, with the next term."""
+    goal = np.log(c / t)
+    y = np.clip(2 * goal / (1 - d), 1e-9, 600.0)
+    for _ in range(9):
+        phi, mean, step, _, _ = _tilted(y, d)
+        y = np.clip(y - (np.log(mean) - goal) / step, 1e-9, 600.0)
+    phi, mean, step, second, third = _tilted(y, d)
+    e = np.expm1(y)
+    r = (e + 1) / e + step + second / step
+    r_step = -(e + 1) / e / e + second + (third * step - second**2) / step**2
+    skew, tail = e * r * r / (mean * step), e * r * ((e + 1) / e + r + r_step / r) / (mean * step)
+    more = np.clip((tail / 8 - 5 * skew / 24) / t, -0.5, 0.5)
+    out = log_gamma(c + 1) - log_gamma(t + 1) + t * np.log(phi) - c * np.log(-np.expm1(-y)) - 0.5 * np.log(2 * math.pi * t * e * mean * step) + np.log1p(more)
+    return np.where(t >= c, 0.0, out)
+
+
+def tokenised(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """A block's rows as numbers of tokens (words and one end a text); its distinct words and its tokens are in the first row."""
+    w = words(rows.column("text"), lower=True)
+    size = w.counts + 1
+    token = np.full(int(size.sum()), END)
+    token[np.arange(len(w.hash)) + w.doc()] = w.hash
+    every, number = np.unique(np.concatenate([token, np.array([START])]), return_inverse=True)
+    blob = len(every).to_bytes(8, "little") + len(token).to_bytes(8, "little")
+    columns = [B.squeeze_sorted(every), blob + B.squeeze(number[:-1].astype(np.uint32))]
+    rest = [None] * (rows.num_rows - 1)
+    return pa.record_batch(
+        [rows.column("doc_id"), rows.column("held_out"), pa.array(size, pa.int64()), *(pa.array([c, *rest], pa.binary()) for c in columns)],
+        names=["doc_id", "held_out", "n", "words", "tokens"],
+    )
+
+
 class _Tokens:
-    """A block's tokens (words and one end a text), its distinct words and pairs, and their training counts."""
+    """A block's tokens, its distinct words and pairs, from ``tokenised`` rows."""
 
     def __init__(self, rows: pa.RecordBatch) -> None:
-        w = words(rows.column("text"), lower=True)
-        self.size = w.counts + 1
-        first = np.concatenate([[0], np.cumsum(self.size)])
-        self.doc = np.repeat(np.arange(w.n_docs), self.size)
-        token = np.full(int(first[-1]), END)
-        token[np.arange(len(w.hash)) + w.doc()] = w.hash
-        context = np.full(len(token), START)
-        context[1:] = token[:-1]
-        context[first[:-1]] = START
+        self.size = rows.column("n").to_numpy()
+        blob = rows.column("tokens")[0].as_py()
+        n_words, n = int.from_bytes(blob[:8], "little"), int.from_bytes(blob[8:16], "little")
+        self.words = B.expand_sorted(rows.column("words")[0].as_py(), n_words, np.uint64)
+        self.token = B.expand(blob[16:], n, np.uint32)
+        self.doc = np.repeat(np.arange(len(self.size)), self.size)
         held_out = rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-        self.train = ~held_out[self.doc]
-        every, number = np.unique(np.concatenate([token, np.array([START])]), return_inverse=True)
-        self.words, self.token = every, number[: len(token)]
-        start = number[-1]
-        self.context = np.full(len(token), start)
-        self.context[1:] = self.token[:-1]
-        self.context[first[:-1]] = start
-        self.word_count = np.bincount(self.token[self.train], minlength=len(every))
-        self.word_count[start] = int((~held_out).sum())
-        pair = mix(mix(token ^ _PAIR) + context)
+        self.n_train, self.train = int((~held_out).sum()), ~held_out[self.doc]
+        self.start = int(np.searchsorted(self.words, START))
+        context = np.full(n, self.start, np.uint32)
+        context[1:] = self.token[:-1]
+        context[np.cumsum(self.size)[:-1]] = self.start
+        pair = mix(mix(self.words ^ _PAIR)[self.token] + self.words[context])
         order = np.argsort(pair)
-        lead = np.concatenate([[True], pair[order[1:]] != pair[order[:-1]]]) if len(pair) else np.zeros(0, bool)
-        self.pairs = pair[order[lead]]
-        self.pair = np.empty(len(pair), np.int64)
+        pair = pair[order]
+        lead = np.concatenate([[True], pair[1:] != pair[:-1]])
+        self.pairs = pair[lead]
+        self.pair = np.empty(n, np.uint32)
         self.pair[order] = np.cumsum(lead) - 1
-        self.pair_count = np.bincount(self.pair[self.train], minlength=len(self.pairs))
         # The dish and the context of each pair.
-        self.dish, self.place = self.token[order[lead]], self.context[order[lead]]
+        self.dish, self.place = self.token[order[lead]], context[order[lead]]
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often training has each word, and each pair."""
+        word_count = np.bincount(self.token[self.train], minlength=len(self.words))
+        word_count[self.start] = self.n_train
+        return word_count, np.bincount(self.pair[self.train], minlength=len(self.pairs))
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -156,7 +280,8 @@ class _Model:
     # Step 1: counts.
     def ask(self, block: int, rows: pa.RecordBatch) -> Iterator[B.Message]:
         t = _Tokens(rows)
-        for keys, counts, buckets, shift in ((t.words, t.word_count, self.word_buckets, 0), (t.pairs, t.pair_count, self.pair_buckets, self.word_buckets)):
+        word_count, pair_count = t.counts()
+        for keys, counts, buckets, shift in ((t.words, word_count, self.word_buckets, 0), (t.pairs, pair_count, self.pair_buckets, self.word_buckets)):
             for bucket, lo, hi in B.bucket_ranges(keys, buckets):
                 yield bucket + shift, block, hi - lo, B.squeeze_sorted(keys[lo:hi]), _pack(counts[lo:hi])
 
@@ -202,20 +327,21 @@ class _Model:
         rest = (PARENT_STRENGTH + d * whole["tables"]) / (known["v"] + 1)
         return (np.maximum(0, customers - d * tables) + rest) / (PARENT_STRENGTH + whole["customers"]), held
 
-    def _draw(self, t: _Tokens, got: dict, sweep: int, count: np.ndarray, pair_count: np.ndarray) -> np.ndarray:
-        """Tables of each pair in ``sweep`` (from 1), given what the sweep before has left."""
+    def _draw(self, t: _Tokens, got: dict, sweep: int, count: np.ndarray, pair_count: np.ndarray, own: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Tables of each pair (or of ``own`` ones) in ``sweep`` (from 1), given what the sweep before has left."""
         p, held = self._parent(t, got, sweep - 1, count)
-        weight = (STRENGTH + self.totals["discount"] * held[t.place]) * p[t.dish]
-        return draw_tables(pair_count, weight, self.totals["discount"], t.pairs, sweep)
+        weight = (STRENGTH + self.totals["discount"] * held[t.place[own]]) * p[t.dish[own]]
+        return draw_tables(pair_count[own], weight, self.totals["discount"], t.pairs[own], sweep)
 
     # Steps of a sweep: blocks send tables by word, buckets seat them in the parent.
     def seat(self, sweep: int):
         def act(block: int, rows: pa.RecordBatch, got: dict) -> pa.RecordBatch:
             t = _Tokens(rows)
             count, pair_count, owned = self._known(t, got)
-            tables = np.where(owned, self._draw(t, got, sweep, count, pair_count), 0)
-            by_dish = np.bincount(t.dish, weights=tables, minlength=len(t.words)).astype(np.int64)
-            by_context = np.bincount(t.place, weights=tables, minlength=len(t.words)).astype(np.int64)
+            own = np.flatnonzero(owned)
+            tables = self._draw(t, got, sweep, count, pair_count, own)
+            by_dish = np.bincount(t.dish[own], weights=tables, minlength=len(t.words)).astype(np.int64)
+            by_context = np.bincount(t.place[own], weights=tables, minlength=len(t.words)).astype(np.int64)
             often = np.flatnonzero(count > 1)
             keys, by_dish, by_context = t.words[often], by_dish[often], by_context[often]
             out = []
@@ -247,20 +373,20 @@ class _Model:
         count, pair_count, _ = self._known(t, got)
         p = np.zeros(len(t.pairs))
         d = self.totals["discount"]
-        for sweep in range(1, SWEEPS + 1):
+        for sweep in range(BURN_IN + 1, SWEEPS + 1):
             parent, held = self._parent(t, got, sweep, count)
             tables = self._draw(t, got, sweep, count, pair_count)
             customers = count[t.place]
             p += (np.maximum(0, pair_count - d * tables) + (STRENGTH + d * held[t.place]) * parent[t.dish]) / (STRENGTH + customers)
         n_docs = len(t.size)
-        by_token = np.log10(p / SWEEPS)[t.pair]
+        by_token = np.log10(p / (SWEEPS - BURN_IN))[t.pair]
         c = count[t.token]
         base = np.log10((c + 1) / (self.totals["n"] + self.totals["v"] + 1))
         sums = (np.bincount(t.doc, weights=x, minlength=n_docs) for x in (c > 0, base, by_token))
         known, base_score, score = sums
         return pa.record_batch(
-            [rows.column("doc_id"), rows.column("held_out"), pa.array(t.size, pa.int64()), pa.array(known.astype(np.int64)), pa.array(np.full(n_docs, self.totals["n"], np.int64)), pa.array(base_score), pa.array(score)],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            [rows.column("doc_id"), rows.column("held_out"), pa.array(t.size, pa.int64()), pa.array(known.astype(np.int64)), pa.array(np.full(n_docs, self.totals["n"], np.int64)), pa.array(base_score), pa.array(score), pa.array(10 ** (-score / t.size))],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
         )
 
 
@@ -279,21 +405,22 @@ def _sums(answers: DataFrame, names: str, where: str = "true") -> dict[str, int]
 
 
 def _discount(ones: int, twos: int) -> float:
-    """The usual estimate, kept inside 0.1 and 0.95."""
-    return min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
+    """The usual estimate, kept inside 0.1 and 0.9."""
+    return min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
 
 
 def scores(docs: DataFrame) -> DataFrame:
     """The model's score of each row of ``docs`` (doc_id, text), learned from the rows outside the held-out fold.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (both
-    log10 of the text's probability, by single words and by the model).  A null or empty
+    log10 of the text's probability, by single words and by the model) and perplexity (the
+    inverse of the model's mean probability of a token).  A null or empty
     text is the end token alone; repeated rows count each; a null doc_id is in training;
     further columns are ignored; no rows give no rows, and where nothing is in training
     every token is unknown.
     """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    blocks = B.write_blocks(docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held_out.alias("held_out")), BLOCK_BYTES)
+    blocks = B.write_blocks(docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held_out.alias("held_out")), BLOCK_BYTES, rewrite=tokenised)
     model = _Model(B.n_buckets(blocks, 30.0), B.n_buckets(blocks, 9.0))
     answers = freeze(B.meet(B.ask(blocks, model.ask), model.count), "counts")
     single, pair = _sums(answers, "n v ones twos", f"bucket < {model.word_buckets}"), _sums(answers, "ones twos", f"bucket >= {model.word_buckets}")
@@ -304,5 +431,5 @@ def scores(docs: DataFrame) -> DataFrame:
         sums = _sums(seated, "customers tables")
         model.parents = [*model.parents, {k: v + single["ones"] for k, v in sums.items()}]
         answers = answers.where("block >= 0").unionByName(seated.where("block >= 0").withColumn("bucket", F.col("bucket") + model.offset * sweep))
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
     return B.told(blocks, answers.where("block >= 0"), model.score, schema)
