@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import authority
 from tessera.functions import text as T
+from tessera.functions.urls import clean_domains
 
 # Patterns that decide a plan, and the limits of the three modes.
 COMPLEX = (
@@ -16,6 +18,11 @@ MAX = r"\b(deep research|comprehensive|multi[- ]?step|long[- ]?horizon|formal pr
 API = r"\b(api|sdk|endpoint|json|curl|python|javascript|typescript)\b|接口|代码|报错|实现"
 RECOMMEND = r"\b(best|recommend|choose|which|should I)\b|推荐|选择|哪个好|应该"
 COMPARE = r"\b(compare|versus|vs\.?|difference|trade[- ]?off)\b|比较|区别|权衡"
+PROVIDER = r"\b(?:openai|chatgpt)\b"
+PROVIDER_SITES = ["help.openai.com", "openai.com"]
+PROVIDER_SITES_DEEPER = ["developers.openai.com"]
+LATEST = "latest|today|current|now|recent|new|最新|今天|当前|最近|今年"
+RECENCY = "any day week month year".split()
 QUERY_LIMIT = {"fast": 3, "pro": 4, "deep": 5}
 DEPTHS = ["fast", "pro", "deep"]
 STYLES = {"comparison": "tradeoff_summary", "recommendation": "ranked_recommendation", "api_or_code": "implementation_guidance", "analysis": "structured_explanation", "lookup": "concise_answer"}
@@ -68,18 +75,31 @@ def distinct_ignoring_case(items: Column) -> Column:
     return F.filter(items, lambda x, i: (x != "") & (F.array_position(low, F.lower(x)) == i + 1))
 
 
+def search_filters(include: Column, exclude: Column, recency: Column, country: Column, language: Column, lens: Column) -> Column:
+    """A struct of clean filter values: up to 20 domains a list, none both included and excluded; what is unknown becomes the default."""
+    allowed, denied = (F.slice(clean_domains(F.coalesce(x, F.array().cast("array<string>"))), 1, 20) for x in (include, exclude))
+    one_of = lambda value, known, default: F.when(F.trim(F.lower(value)).isin(*known), F.trim(F.lower(value))).otherwise(default)
+    code = lambda value: F.substring(F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), "[^a-z]", ""), 1, 2)
+    return F.struct(
+        F.array_except(allowed, denied).alias("include_domains"), denied.alias("exclude_domains"), one_of(recency, RECENCY, "any").alias("recency"), code(country).alias("country"), code(language).alias("language"), one_of(lens, LENSES, "web").alias("lens")
+    )
+
+
 def rewrite_queries(query: Column, mode: str, lens: str = "web", include: list[str] = (), exclude: list[str] = ()) -> Column:
-    """Lens, site, plain, keyword, dated and source queries in order; deduplicated, cut at the mode's limit."""
+    """Provider, lens, site, plain, keyword, authority, dated and source queries in order; deduplicated, cut at the mode's limit."""
     keyword = T.keyword_query(query)
-    parts = [F.concat(*(query if x is None else F.lit(x) for x in _template(t))) for t in LENSES[lens]]
-    parts += [F.concat(F.lit(f"site:{d} "), query) for d in list(include)[:4]]
+    site = lambda d: F.concat(F.lit(f"site:{d} "), query)
+    hinted = PROVIDER_SITES + (PROVIDER_SITES_DEEPER if mode in ("pro", "deep") else [])
+    parts = [F.when(_says(query, PROVIDER), site(d)) for d in hinted]
+    parts += [F.concat(*(query if x is None else F.lit(x) for x in _template(t))) for t in LENSES[lens]]
+    parts += [site(d) for d in list(include)[:4]]
     parts += [query, F.when((keyword != "") & (F.lower(keyword) != F.lower(query)), keyword)]
-    parts.append(F.when(query.rlike(r"(?i)\b(latest|today|current|now|recent|new)\b") & ~query.rlike(r"\b20\d{2}\b"), F.concat(query, F.lit(" 2026"))))
+    later = [F.when(_says(query, LATEST) & ~query.rlike(r"\b20\d{2}\b"), F.concat(query, F.lit(" 2026")))]
     if mode in ("pro", "deep"):
-        parts.append(F.concat(query, F.lit(" official source")))
+        later.append(F.concat(query, F.lit(" official source")))
     if mode == "deep":
-        parts.append(F.concat(query, F.lit(" explained")))
-    every = F.array_compact(F.array(*parts))
+        later.append(F.concat(query, F.lit(" explained")))
+    every = F.array_compact(F.concat(F.array(*parts), authority.authority_queries(query), F.array(*later)))
     if exclude:
         denied = " ".join(f"-site:{d}" for d in list(exclude)[:8])
         every = F.transform(every, lambda q: F.trim(F.concat(q, F.lit(f" {denied}"))))
@@ -112,8 +132,18 @@ def research_steps(query: Column, p: Column) -> Column:
     )
 
 
+# Words of each kind of question about code; the first kind with one of its words counts.
+QUESTION_WORDS = {
+    "impact": "impact, change, break, affect, blast, radius, modify, refactor, 影响, 修改, 重构, 改动".split(", "),
+    "flow": "how does, flow, trace, path, happen, process, handle, work, step, execute, 怎么, 流程, 处理".split(", "),
+    "relationship": "connect, between, depend, relationship, 关系, 路径".split(", "),
+    "global": "architecture, overview, structure, module, all, 架构, 概览, 总体, overall".split(", "),
+}
+
+
 def question_type(question: Column) -> Column:
     """Impact, flow, relationship, global or local, by the first group with a word in the question (substrings count)."""
-    low = F.lower(question)
-    has = lambda *words: low.rlike("|".join(words))
-    return F.when(has("impact", "break", "affect"), "impact").when(has("flow", "trace", "path"), "flow").when(has("relate", "connect", "between"), "relationship").when(has("overview", "architecture", "all"), "global").otherwise("local")
+    low, out = F.lower(question), F.lit("local")
+    for kind, words in reversed(QUESTION_WORDS.items()):
+        out = F.when(low.rlike("|".join(words)), kind).otherwise(out)
+    return out

@@ -240,4 +240,4 @@ def support_tokens(text: Column) -> Column:
 
 
 def answer_language(query: Column) -> Column:
-    return F.when(query.rlike(CJK), "Chinese").otherwise("the same language as the question")
+    return F.when(query.rlike(CJK), "Chinese").otherwise("the same language as the user query")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
+#: Supported claims of less support than this are judged again.
+JUDGE_BELOW = 0.34
+
 
 def split_answers(answers: DataFrame) -> DataFrame:
     """Claims of ``answers`` (qid, answer): qid, pos, claim, citation_ids; a part without citations takes its line's."""
@@ -39,7 +42,7 @@ def verify(claims: DataFrame, evidence: DataFrame) -> DataFrame:
         .otherwise("needs_review")
     )
     scored = out.withColumn("status", status).withColumn("support", F.coalesce("support", F.lit(0.0)))
-    return scored.withColumn("needs_judge", (F.col("status") != "supported") | (F.col("support") < 0.34))
+    return scored.withColumn("needs_judge", needs_judge(F.col("status"), F.col("support")))
 
 
 def merge_judgements(claims: DataFrame, judgements: DataFrame) -> DataFrame:
@@ -54,3 +57,8 @@ def merge_judgements(claims: DataFrame, judgements: DataFrame) -> DataFrame:
         F.when(F.col("confidence").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence")))).otherwise(F.col("support")).alias("support"),
         F.when(judged, "judge").otherwise("lexical").alias("verifier"),
     )
+
+
+def needs_judge(status: Column, support: Column) -> Column:
+    """Whether a claim's support is to be judged again: it isn't called supported, or not by much."""
+    return (status != "supported") | (support < JUDGE_BELOW)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -79,15 +84,40 @@ def resolve_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return j.select("src", "target", "kind", F.coalesce("by_id", "by_name", "by_last", "target").alias("dst"), F.coalesce("by_id", "by_name", "by_last").isNull().alias("phantom"))
 
 
+#: Queries sent to every task at a time; more are searched in further passes.
+QUERY_BLOCK = 4096
+
+
 def keyword_search(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, id, score): share of a query's words that a node's text contains; best ``k``."""
-    q = queries.select("qid", F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("words"))
-    known = [(r["qid"], r["words"]) for r in q.collect()]
-    wanted = F.array(*(F.struct(F.lit(i).cast("long").alias("qid"), F.array(*map(F.lit, w)).cast("array<string>").alias("words")) for i, w in known))
-    low = F.lower("text")
-    hits = F.transform(wanted, lambda w: F.struct(w["qid"].alias("qid"), (F.size(F.filter(w["words"], lambda x: F.contains(low, x))) / F.greatest(F.size(w["words"]), F.lit(1))).alias("score")))
-    scored = nodes.select("id", F.explode(F.filter(hits, lambda h: h["score"] > 0)).alias("h")).select("h.qid", "id", "h.score")
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.round("score", 8).desc(), "id")).cast("long")).where(F.col("rank") <= k)
+    """(qid, id, score): share of a query's words that a node's text contains; best ``k``.
+
+    The stated query set is sent in blocks, a pass over the nodes each; a task keeps its own
+    best ``k`` a query.  Ids are longs.
+    """
+    q = queries.select(F.col("qid").cast("long").alias("qid"), F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("words"))
+    passes, found = max(1, -(-q.count() // QUERY_BLOCK)), None
+    for turn in range(passes):
+        own = [(r["qid"], r["words"]) for r in q.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == turn).collect() if r["words"]]
+        sent = nodes.sparkSession.sparkContext.broadcast((sorted({w for _, ws in own for w in ws}), own))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            words, asked = sent.value
+            best: dict[int, list[tuple[float, int]]] = {}
+            for batch in batches:
+                ids, low = batch.column("id").to_numpy(), batch.column("low")
+                has = {w: pc.fill_null(pc.match_substring(low, w), False).to_numpy(zero_copy_only=False) for w in words}
+                for qid, own_words in asked:
+                    share = sum(has[w].astype(np.int64) for w in own_words) / len(own_words)
+                    some = np.flatnonzero(share > 0)
+                    top = some[np.lexsort([ids[some], -share[some]])[:k]]
+                    best[qid] = sorted([*best.get(qid, []), *zip((-share[top]).tolist(), ids[top].tolist())])[:k]
+            rows = [(qid, i, -s) for qid, found in best.items() for s, i in found]
+            columns = list(zip(*rows)) or [(), (), ()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["qid", "id", "score"])
+
+        part = nodes.select(F.col("id").cast("long").alias("id"), F.lower("text").alias("low")).mapInArrow(run, "qid long, id long, score double")
+        found = part if found is None else found.unionByName(part)
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.round("score", 8).desc(), "id")).cast("long")).where(F.col("rank") <= k)
 
 
 def expand(seeds: DataFrame, edges: DataFrame, hops: int, neighbour_score: float, k: int) -> DataFrame:

@@ -24,6 +24,12 @@ def run_metrics(run: DataFrame, relevant: DataFrame, queries: DataFrame, k: int
     """
     good = relevant.select("qid", "did").distinct()
     hits = run.where(F.col("rank") <= k).join(good.withColumn("hit", F.lit(1)), ["qid", "did"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    return judged_metrics(hits, good.groupBy("qid").agg(F.count("*").alias("n")), queries, k)
+
+
+def judged_metrics(judged: DataFrame, sizes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """The same from a run whose rows are judged, ``judged`` (qid, rank, hit), and the number of relevant documents of each query, ``sizes`` (qid, n)."""
+    hits = judged.where(F.col("rank") <= k)
     so_far = F.sum("hit").over(Window.partitionBy("qid").orderBy("rank"))
     by_query = hits.withColumn("found", so_far).groupBy("qid").agg(
         F.sum(F.when(F.col("hit") == 1, _gain(F.col("rank"))).otherwise(0.0)).alias("dcg"),
@@ -31,7 +37,6 @@ def run_metrics(run: DataFrame, relevant: DataFrame, queries: DataFrame, k: int
         F.max(F.when(F.col("hit") == 1, 1.0 / F.col("rank")).otherwise(0.0)).alias("mrr"),
         F.sum("hit").alias("hits"),
     )
-    sizes = good.groupBy("qid").agg(F.count("*").alias("n"))
     all_rows = queries.select("qid").join(by_query, "qid", "left").join(sizes, "qid", "left").withColumn("missing", F.col("hits").isNull()).na.fill(0)
     some = F.col("n") > 0
     return all_rows.select(

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -70,6 +71,30 @@ def dense_top_k(queries: DataFrame, docs: DataFrame, k: int, block: int = QUERY_
     return top_k(found, k)
 
 
+def containing(queries: DataFrame, docs: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
+    """(qid, did) of documents whose text contains a query's text.
+
+    ``queries`` (qid, text), ``docs`` (did, text).  The stated query set is sent in blocks
+    of ``block`` texts; a task looks for each of a block in its own documents.
+    """
+    passes, found = max(1, -(-queries.count() // block)), None
+    for turn in range(passes):
+        own = queries.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("qid"), F.lit(passes)) == turn)).select(F.col("qid").cast("long"), "text").collect()
+        sent = docs.sparkSession.sparkContext.broadcast([(r["qid"], r["text"]) for r in own])
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                text = batch.column("text")
+                for qid, wanted in sent.value:
+                    there = batch.column("did").filter(pc.fill_null(pc.match_substring(text, wanted), False))
+                    if len(there):
+                        yield pa.record_batch([pa.array([qid] * len(there), pa.int64()), there], names=["qid", "did"])
+
+        part = docs.select(F.col("did").cast("long"), "text").mapInArrow(run, "qid long, did long")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def late_interaction_top_k(queries: DataFrame, docs: DataFrame, k: int, width: int, block: int = QUERY_BLOCK) -> DataFrame:
     """``dense_top_k`` by ``late_interaction`` with every document; ``v`` holds a row's token vectors of ``width`` end to end, as many in each row."""
     return dense_top_k(queries.withColumn("v", F.slice("v", width + 1, F.size("v") - width)), docs, k, block, width)

@@ -6,7 +6,7 @@ import importlib
 
 from tessera.plans.registry import QUERIES, SQL, Query
 
-MODULES = ("text_queries", "retrieval_queries", "evidence_queries", "lab_queries", "graph_queries", "cache_queries", "other_queries", "more_queries")
+MODULES = ("text_queries", "retrieval_queries", "evidence_queries", "lab_queries", "graph_queries", "cache_queries", "other_queries", "more_queries", "web_queries", "eval_queries", "file_queries")
 
 
 def _load() -> None:

@@ -33,15 +33,8 @@ _FRESH = r"regexp_matches(q, '(?i)\b(latest|today|current|now|recent|new|202[5-9
 _ASK = "CASE item_id % 5 WHEN 0 THEN 'latest ' WHEN 1 THEN 'in 2026 ' ELSE '' END || text"
 
 
-@query(f"SELECT item_id, item_id % 7 < 2 OR {_FRESH} AS fresh, CASE WHEN item_id % 7 < 2 OR {_FRESH} THEN 300 ELSE 3600 END AS ttl, sha256('{{\"lens\":\"web\",\"mode\":\"fast\",\"query\":\"' || q || '\"}}') AS key FROM (SELECT item_id, {_ASK.replace('text', 'item_id')} AS q FROM benchmark)")
+@query(f"SELECT item_id, item_id % 7 < 2 OR {_FRESH} AS fresh, CASE WHEN item_id % 7 < 2 OR {_FRESH} THEN 300 ELSE 3600 END AS ttl, sha256('{{\"lens\":\"web\",\"mode\":\"fast\",\"query\":' || to_json(q)::VARCHAR || '}}') AS key FROM (SELECT item_id, {_ASK} AS q FROM benchmark)")
 def f16_f17_request_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.expr(_ASK.replace("text", "cast(item_id as string)")).alias("q"), F.expr("CASE item_id % 7 WHEN 0 THEN 'day' WHEN 1 THEN 'week' ELSE 'any' END").alias("recency"))
-    key = K.request_key({"query": F.col("q"), "mode": F.lit("fast"), "lens": F.lit("web")})
-    return rows.select("item_id", K.fresh_only(F.col("q"), F.col("recency")).alias("fresh"), K.ttl(F.col("q"), F.col("recency")).alias("ttl"), key.alias("key"))
-
-
-@query()
-def f16_f17_request_keys_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "benchmark").select("item_id", F.expr(_ASK).alias("q"), F.expr("CASE item_id % 7 WHEN 0 THEN 'day' WHEN 1 THEN 'week' ELSE 'any' END").alias("recency"))
     key = K.request_key({"query": F.col("q"), "mode": F.lit("fast"), "lens": F.lit("web")})
     return rows.select("item_id", K.fresh_only(F.col("q"), F.col("recency")).alias("fresh"), K.ttl(F.col("q"), F.col("recency")).alias("ttl"), key.alias("key"))
@@ -70,51 +63,62 @@ def j10_near_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.near_matches(rows.select(F.col("item_id").alias("rid"), *prepared("asked")), cached, NOW).select("rid", F.col("query").cast("long").alias("cid"), F.round("score", 6).alias("score"))
 
 
-@query("SELECT item_id AS rid, item_id::VARCHAR AS query, (item_id * 200)::BIGINT AS age FROM benchmark WHERE item_id * 200 <= 3600 AND item_id % 3 <> 2")
-def j11_exact_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark")
-    key = K.request_key({"q": F.col("text")})
-    cached = b.select(key.alias("cache_key"), F.col("item_id").cast("string").alias("query"), (F.lit(NOW) - F.col("item_id") * 200).alias("created_at"))
-    asked = b.where("item_id % 3 != 2").select(F.col("item_id").alias("rid"), key.alias("cache_key"))
-    return K.exact_matches(asked, cached, NOW).select("rid", "query", "age")
+# Entries have keys that up to three items share, and different ages; of equal requests each gets all live entries of its key.
+_REQ = "CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN 'again' ELSE left(text, 1) END"
 
 
-@query("SELECT item_id AS rid, item_id::VARCHAR AS query, (item_id * 200)::BIGINT AS age FROM benchmark WHERE item_id * 200 <= 3600")
-def j11_exact_matches_all_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").withColumn("cache_key", K.request_key({"q": F.col("text")}))
+@query(f"WITH c AS (SELECT item_id, {_REQ} AS k, (item_id * 200)::BIGINT AS age FROM benchmark) SELECT r.item_id AS rid, e.item_id::VARCHAR AS query, e.age FROM c r JOIN c e USING (k) WHERE e.age <= 3600")
+def j11_exact_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark").withColumn("cache_key", K.request_key({"q": F.expr(_REQ)}))
     cached = b.select("cache_key", F.col("item_id").cast("string").alias("query"), (F.lit(NOW) - F.col("item_id") * 200).alias("created_at"))
     return K.exact_matches(b.select(F.col("item_id").alias("rid"), "cache_key"), cached, NOW).select("rid", "query", "age")
 
 
-_ANSWER = "CASE o_orderkey % 5 WHEN 0 THEN 'We get 3 then 4. #### ' || o_custkey || ' apples' WHEN 1 THEN 'First 12. The answer is ' || o_custkey || '.' WHEN 2 THEN 'So 7 and ' || o_custkey WHEN 3 THEN 'none' ELSE '#### none 5' || o_custkey END"
+# Worked answers: marks, phrases, plain endings and none, with numbers from the rows.
+_WORKED = """CASE o_orderkey % 8 WHEN 0 THEN 'We get 3 then 4. #### ' || o_custkey || ' apples' WHEN 1 THEN 'First 12. The answer is ' || o_custkey || '.' WHEN 2 THEN 'So 7 and -' || o_custkey || ',000' WHEN 3 THEN 'none'
+ WHEN 4 THEN '#### none 5' || o_custkey WHEN 5 THEN 'answer: 1/' || o_custkey || ' therefore +' || o_orderkey || '.50' WHEN 6 THEN 'Final answer 3, or ' || o_custkey || '/7 therefore nothing' ELSE '' || o_orderkey || ' #### 2 #### none' END"""
+_NUMBER = r"'[-+]?\d[\d,]*(?:\.\d+)?(?:/\d[\d,]*)?'"
+_LAST = f"regexp_extract_all({{x}}, {_NUMBER})[-1]"
+_AFTER = "CASE WHEN contains(lower(t), '{m}') THEN " + _LAST.format(x="string_split(lower(t), '{m}')[-1]") + " END"
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 3 THEN NULL WHEN 4 THEN '5' || o_custkey ELSE o_custkey::VARCHAR END AS answer FROM orders")
+@query(f"SELECT o_orderkey, CASE WHEN contains(t, '####') THEN nullif(regexp_extract(string_split(t, '####')[-1], {_NUMBER}), '') ELSE coalesce({', '.join(_AFTER.replace('{m}', m) for m in N.MARKERS)}, {_LAST.format(x='t')}) END AS answer FROM (SELECT o_orderkey, {_WORKED} AS t FROM orders)")
 def t34_extract_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", N.raw_answer(F.expr(_ANSWER)).alias("answer"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", N.raw_answer(F.expr(_WORKED)).alias("answer"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_custkey::VARCHAR WHEN 1 THEN '0.5' WHEN 2 THEN 'n/a' ELSE '1' || lpad((o_custkey % 1000)::VARCHAR, 3, '0') || '.25' END AS number FROM orders WHERE o_custkey % 10 <> 0")
-def t35_normalize_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.expr("CASE o_orderkey % 4 WHEN 0 THEN concat('$', o_custkey, '.') WHEN 1 THEN '1/2' WHEN 2 THEN 'n/a' ELSE concat('1,', lpad(cast(o_custkey % 1000 as string), 3, '0'), '.250%') END")
-    return table(spark, sf_dir, "orders").where("o_custkey % 10 != 0").select("o_orderkey", N.normalize_number(text).alias("number"))
+# Signs, separators, zeros, fractions, units and words, with numbers from the rows.
+_WRITTEN = """CASE o_orderkey % 12 WHEN 0 THEN '$' || o_custkey || '.' WHEN 1 THEN '1/' || (o_custkey % 8) WHEN 2 THEN 'n/a' WHEN 3 THEN '1,' || lpad(cast(o_custkey % 1000 as string), 3, '0') || '.250%' WHEN 4 THEN '-' || o_custkey || '00' WHEN 5 THEN '+0' || o_custkey || '.0'
+ WHEN 6 THEN '1/-' || o_custkey WHEN 7 THEN '-' || o_custkey || '/4' WHEN 8 THEN '0.00' || o_custkey WHEN 9 THEN '.' || o_custkey WHEN 10 THEN ' ' || o_custkey || ' km' ELSE '-0' || repeat('0', cast(o_custkey % 3 as int)) END"""
+_PLAIN_NUMBER = r"regexp_matches(b, '^[-+]?\d*\.?\d+$')"
+_BODY = "ltrim(regexp_replace(b, '^[-+]', ''), '0')"
+_FRAC = "rtrim(CASE WHEN contains(b, '.') THEN string_split(b, '.')[2] ELSE '' END, '0')"
+_INT = f"string_split({_BODY}, '.')[1]"
+_SIGN = "CASE WHEN b LIKE '-%' THEN '-' ELSE '' END"
+_EXP = f"CASE WHEN {_INT} = '' THEN '0' WHEN {_INT} NOT LIKE '%0' THEN {_INT} ELSE {_INT}[1] || CASE WHEN length(rtrim({_INT}, '0')) > 1 THEN '.' || rtrim({_INT}, '0')[2:] ELSE '' END || 'e' || (length({_INT}) - 1) END"
+_DIVIDED = r"rtrim(rtrim((regexp_extract(b, '^([-+]?\d+)/', 1)::DECIMAL(30, 6) / regexp_extract(b, '/(\d+)$', 1)::INT)::DECIMAL(38, 9)::VARCHAR, '0'), '.')"
 
 
-_DIGITS = "rtrim(o_custkey::VARCHAR, '0')"
-_EXPONENT = f"CASE WHEN o_custkey % 10 <> 0 THEN o_custkey::VARCHAR WHEN o_custkey = 0 THEN '0' ELSE {_DIGITS}[1] || CASE WHEN length({_DIGITS}) > 1 THEN '.' || {_DIGITS}[2:] ELSE '' END || 'e' || (length(o_custkey::VARCHAR) - 1) END"
+@query(
+    rf"""WITH w AS (SELECT o_orderkey, o_custkey, trim(regexp_replace({_WRITTEN.replace('as string', 'as varchar')}, '[,$%]', '', 'g')) AS a FROM orders), x AS (SELECT o_orderkey, o_custkey, rtrim(a, '.') AS b FROM w)
+SELECT o_orderkey, CASE WHEN regexp_matches(b, '^[-+]?\d+/[1-9]\d*$') AND o_orderkey % 12 = 7 THEN {_DIVIDED} WHEN o_orderkey % 12 = 1 THEN ['1/0', '1', '0.5', '0.3333333333333333333333333333', '0.25', '0.2', '0.1666666666666666666666666667', '0.1428571428571428571428571429'][o_custkey % 8 + 1]
+ WHEN {_PLAIN_NUMBER} THEN {_SIGN} || CASE WHEN {_FRAC} <> '' THEN CASE WHEN {_INT} = '' THEN '0' ELSE {_INT} END || '.' || {_FRAC} ELSE {_EXP} END ELSE b END AS number FROM x"""
+)
+def t35_normalize_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", N.normalize_number(F.expr(_WRITTEN)).alias("number"))
 
 
-@query(f"SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN {_EXPONENT} WHEN 1 THEN '0.5' WHEN 2 THEN 'n/a' ELSE '1' || lpad((o_custkey % 1000)::VARCHAR, 3, '0') || '.25' END AS number FROM orders")
-def t35_normalize_number_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.expr("CASE o_orderkey % 4 WHEN 0 THEN concat('$', o_custkey, '.') WHEN 1 THEN '1/2' WHEN 2 THEN 'n/a' ELSE concat('1,', lpad(cast(o_custkey % 1000 as string), 3, '0'), '.250%') END")
-    return table(spark, sf_dir, "orders").select("o_orderkey", N.normalize_number(text).alias("number"))
+_GIVEN = "CASE o_orderkey % 6 WHEN 0 THEN o_custkey || '.' || lpad(cast(o_custkey % 1000 as string), 9, '0') WHEN 1 THEN ' x' || o_custkey % 3 || ' ' WHEN 2 THEN o_custkey || '.5' WHEN 3 THEN cast(o_totalprice as string) WHEN 4 THEN '-' || o_custkey END"
+_GOLD = "CASE o_orderkey % 6 WHEN 1 THEN 'x' || o_custkey % 2 WHEN 2 THEN cast(o_custkey + (o_custkey % 2) as string) || '.5' WHEN 3 THEN cast(o_totalprice as string) || '1' WHEN 4 THEN cast(-o_custkey as string) || '.0' ELSE cast(o_custkey as string) END"
+_NUM = "TRY_CAST({x} AS DECIMAL(38, 12))"
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false ELSE false END AS same FROM orders")
+@query(
+    f"""SELECT o_orderkey, coalesce(p = g OR CASE WHEN {_NUM.format(x='p')} IS NOT NULL AND {_NUM.format(x='g')} IS NOT NULL THEN abs({_NUM.format(x='p')} - {_NUM.format(x='g')}) <= greatest(0.000001, abs({_NUM.format(x='g')}::DOUBLE) * 0.000001) ELSE trim(p) = trim(g) END, false) AS same
+FROM (SELECT o_orderkey, {_GIVEN.replace('as string', 'as varchar')} AS p, {_GOLD.replace('as string', 'as varchar')} AS g FROM orders)"""
+)
 def a30_answers_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.expr("CASE o_orderkey % 4 WHEN 0 THEN concat(o_custkey, '.0000001') WHEN 1 THEN ' x ' WHEN 2 THEN concat(o_custkey, '.5') END")
-    g = F.expr("CASE o_orderkey % 4 WHEN 1 THEN 'x' ELSE cast(o_custkey as string) END")
-    return table(spark, sf_dir, "orders").select("o_orderkey", N.answers_match(p, g).alias("same"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", N.answers_match(F.expr(_GIVEN), F.expr(_GOLD)).alias("same"))
 
 
 @query(

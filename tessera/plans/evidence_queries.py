@@ -10,7 +10,7 @@ from tessera.functions import text as T
 from tessera.functions import urls as U
 from tessera.operators import claims as C
 from tessera.operators import evidence as E
-from tessera.plans.registry import SQL, SQL, query, sql_domain, sql_keywords, sql_support_tokens, sql_tokens, table
+from tessera.plans.registry import SQL, query, sql_domain, sql_keywords, sql_support_tokens, sql_tokens, table
 from tessera.plans.text_queries import _GRAMS, _TIER_SQL, _WEIGHT_SQL, listed
 
 _URL = "CASE WHEN doc_id % 7 = 0 THEN 'https://arxiv.org/abs/' WHEN doc_id % 11 = 0 THEN 'https://www.reddit.com/r/' ELSE 'http://' || source || '.example.com/' END || doc_id"
@@ -215,7 +215,7 @@ def j13_merge_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Planning, on the benchmark's texts behind a few leading words.
-_Q = "CASE item_id % 8 WHEN 0 THEN 'compare ' WHEN 1 THEN 'how to use ' WHEN 2 THEN 'why ' WHEN 3 THEN 'best API for ' WHEN 4 THEN 'latest news: ' WHEN 5 THEN 'comprehensive legal ' WHEN 6 THEN 'python json ' ELSE '' END || substr(text, 1, 40)"
+_Q = "CASE item_id % 8 WHEN 0 THEN 'compare ' WHEN 1 THEN 'how to use ' WHEN 2 THEN 'why ' WHEN 3 THEN 'best API for ' WHEN 4 THEN 'latest news: ' WHEN 5 THEN 'comprehensive legal ' WHEN 6 THEN 'python json ' ELSE '' END || text"
 _MODE = "CASE item_id % 3 WHEN 0 THEN 'fast' WHEN 1 THEN 'pro' ELSE 'deep' END"
 
 
@@ -245,17 +245,6 @@ def f7_coerce_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", P.coerce_effort(effort, F.lit("none")).alias("effort"), P.coerce_confidence(confidence, F.lit(0.62)).alias("confidence"))
 
 
-@query(
-    _PLAN
-    + f""", k AS (SELECT item_id, q, array_to_string({sql_keywords('q')}[1:9], ' ') AS kw FROM plan),
-l AS (SELECT item_id, list_transform(list_filter(['site:sec.gov ' || q, q || ' investor relations financial report', 'site:a.com ' || q, q, CASE WHEN kw <> '' AND lower(kw) <> lower(q) THEN kw END, CASE WHEN regexp_matches(q, '(?i)\\b(latest|today|current|now|recent|new)\\b') AND NOT regexp_matches(q, '\\b20\\d{{2}}\\b') THEN q || ' 2026' END, q || ' official source', q || ' explained'], lambda x: x IS NOT NULL), lambda x: x || ' -site:b.com') AS l FROM k)
-SELECT item_id, array_to_string(list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i)[1:5], '|') AS queries FROM l"""
-)
-def f10_rewrite_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.expr(_Q).alias("q"))
-    return rows.select("item_id", F.array_join(P.rewrite_queries(F.col("q"), "deep", "finance", ["a.com"], ["b.com"]), "|").alias("queries"))
-
-
 @query(
     _PLAN
     + """ SELECT item_id, array_to_string(list_filter(['official', 'evidence', CASE WHEN fresh THEN 'freshness' END, CASE WHEN check_it THEN 'countercheck' END, CASE WHEN NOT fresh AND NOT check_it THEN 'context' END, CASE WHEN deep THEN 'synthesis' END], lambda x: x IS NOT NULL)[1:5], ',') AS steps
@@ -266,34 +255,15 @@ def f13_research_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", F.array_join(F.transform(P.research_steps(F.col("q"), F.col("p")), lambda s: s["label"]), ",").alias("steps"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'impact|break|affect') THEN 'impact' WHEN regexp_matches(lower(text), 'flow|trace|path') THEN 'flow' WHEN regexp_matches(lower(text), 'relate|connect|between') THEN 'relationship' WHEN regexp_matches(lower(text), 'overview|architecture|all') THEN 'global' ELSE 'local' END AS kind FROM documents")
-def f20_question_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", P.question_type(F.col("text")).alias("kind"))
-
-
-# The same on the whole texts.
-_WHOLE_Q = _Q.replace("substr(text, 1, 40)", "text")
+_KINDS = " ".join(f"WHEN regexp_matches(lower(text), '{'|'.join(words)}') THEN '{kind}'" for kind, words in P.QUESTION_WORDS.items())
 
 
-def _whole(name: str) -> str:
-    return SQL[name].replace(_Q, _WHOLE_Q)
-
-
-def _whole_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", F.expr(_WHOLE_Q).alias("q"), F.expr(_MODE).alias("m"), P.plan(F.expr(_WHOLE_Q), F.expr(_MODE)).alias("p"))
-
-
-@query(_whole("f6_f9_query_plan"))
-def f6_f9_query_plan_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _whole_plan(spark, sf_dir)
-    return rows.select("item_id", "p.intent", "p.needs_freshness", "p.search_depth", "p.reasoning_effort", P.deeper(F.col("m"), F.col("p.search_depth")).alias("mode"))
-
-
-@query(_whole("f10_rewrite_queries"))
-def f10_rewrite_queries_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _whole_plan(spark, sf_dir).select("item_id", F.array_join(P.rewrite_queries(F.col("q"), "deep", "finance", ["a.com"], ["b.com"]), "|").alias("queries"))
+@query(f"SELECT item_id, CASE {_KINDS} ELSE 'local' END AS kind FROM (SELECT item_id, ['impact of ', 'how does it ', 'is it between ', 'overview: ', '影响 ', 'x '][(item_id % 6 + 1)::INT] || substr(md5(text), 1, 6) AS text FROM benchmark)")
+def f20_question_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lead = F.element_at(F.array(*map(F.lit, ("impact of ", "how does it ", "is it between ", "overview: ", "影响 ", "x "))), (F.col("item_id") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "benchmark").select("item_id", P.question_type(F.concat(lead, F.substring(F.md5("text"), 1, 6))).alias("kind"))
 
 
-@query(_whole("f13_research_steps"))
-def f13_research_steps_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _whole_plan(spark, sf_dir).select("item_id", F.array_join(F.transform(P.research_steps(F.col("q"), F.col("p")), lambda s: s["label"]), ",").alias("steps"))
+@query(f"SELECT doc_id, CASE {_KINDS} ELSE 'local' END AS kind FROM documents")
+def f20_question_type_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", P.question_type(F.col("text")).alias("kind"))

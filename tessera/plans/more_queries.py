@@ -10,9 +10,9 @@ from tessera.functions import planning as P
 from tessera.functions import text as T
 from tessera.operators import metrics as M
 from tessera.operators import sampling as S
-from tessera.plans.lab_queries import _ROWS, _fraction, _quality, _rows
+from tessera.plans.lab_queries import _fraction
 from tessera.plans.registry import query, table
-from tessera.plans.retrieval_queries import _PAIRS, _RUN, _SCORED, _SIZES, _dense, _metric_sql, _relevant, _scored
+from tessera.plans.retrieval_queries import _PAIRS, _RUN, _SCORED, _SIZES, _dense, _metric_sql, _run_metrics, _scored
 
 
 @query(
@@ -43,8 +43,7 @@ def l11_flatten_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_PAIRS + _SIZES + _RUN + _metric_sql("run") + ", t AS (SELECT label, count(*) AS queries, avg(ndcg) AS ndcg FROM m JOIN embeddings ON vec_id = qid GROUP BY label) SELECT round(sum(ndcg * queries) / sum(queries), 6) AS ndcg FROM t")
 def a11_weighted_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks are labels."""
-    run, good = _dense(spark, sf_dir, 50), _relevant(spark, sf_dir)
-    by_query = M.run_metrics(run, good, run.select("qid").distinct()).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), "label"), "qid")
+    by_query = _run_metrics(spark, sf_dir, _dense(spark, sf_dir, 50)).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), "label"), "qid")
     return M.weighted_average(M.mean_metrics(by_query, "label"), "ndcg").select(F.round("ndcg", 6).alias("ndcg"))
 
 
@@ -56,87 +55,7 @@ def w21_hard_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard.orderBy(F.round("margin", 8), "qid").limit(10).select("qid", F.round("margin", 6).alias("margin"))
 
 
-@query(_SCORED + " SELECT qid, did, round(1 / row_number() OVER (PARTITION BY qid ORDER BY s1 DESC, did)::DOUBLE, 6) AS a, round(1 / row_number() OVER (PARTITION BY qid ORDER BY s2 DESC, did)::DOUBLE, 6) AS b FROM scored")
-def j6_reciprocal_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = lambda c: F.round(1.0 / F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(c), "did")), 6)
-    return _scored(spark, sf_dir).select("qid", "did", one("s1").alias("a"), one("s2").alias("b"))
-
-
-@query("SELECT source, count(*)::BIGINT AS n, count(DISTINCT lang)::BIGINT AS langs, array_to_string(list_sort(list(doc_id))[1:5], ',') AS shown FROM documents GROUP BY source")
-def a27_community_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources as communities: sizes, and the first five members."""
-    docs = table(spark, sf_dir, "documents")
-    five = docs.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("r <= 5")
-    shown = five.groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), ",").alias("shown"))
-    return docs.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("lang").alias("langs")).join(shown, "source")
-
-
-@query("SELECT doc_id, len(regexp_extract_all(lower(text), 'may|might|could|likely'))::INT AS hedges, contains(text, 'the') AS mentions FROM documents")
-def a28_hedge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count(F.lower("text"), F.lit("may|might|could|likely")).alias("hedges"), F.contains("text", F.lit("the")).alias("mentions"))
-
-
-@query("SELECT vec_id, round(list_avg(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS mean FROM embeddings")
-def a33_row_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(total / F.size("embedding"), 6).alias("mean"))
-
-
-@query("SELECT l_orderkey, sha256(array_to_string(list_sort(list(l_partkey || ':' || l_suppkey)), chr(10))) AS digest FROM lineitem GROUP BY l_orderkey")
-def a35_order_free_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A digest of each order's ids that doesn't depend on their order."""
-    ids = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat_ws(":", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("id"))
-    return ids.groupBy("l_orderkey").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("id")), "\n"), 256).alias("digest"))
-
-
-_DOC = "CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'code ' || doc_id END"
-
-
-@query(f"SELECT doc_id, coalesce(nullif({_DOC}, ''), nullif(lang, ''), text) AS body FROM documents")
-def t38_first_non_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chain = F.coalesce(F.nullif(F.expr(_DOC), F.lit("")), F.nullif(F.col("lang"), F.lit("")), F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", chain.alias("body"))
-
-
-@query(_ROWS + "SELECT CASE WHEN len(pos) = 0 THEN 'no_positive' WHEN len(neg) = 0 THEN 'no_negative' WHEN list_max(pos) - list_max(neg) < -1 THEN 'margin' WHEN len(neg) < 2 THEN 'few_negatives' ELSE 'eligible' END AS reason, count(*)::BIGINT AS n FROM rows GROUP BY 1")
-def f19_f23_h5_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why rows are rejected, in the order of the checks."""
-    low = F.array_max("pos") - F.array_max("neg") < -1
-    reason = F.when(F.size("pos") == 0, "no_positive").when(F.size("neg") == 0, "no_negative").when(low, "margin").when(F.size("neg") < 2, "few_negatives").otherwise("eligible")
-    return _rows(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT item_id, array_to_string(list_filter(w, lambda x, i: x <> '' AND list_position(list_transform(w, lambda y: lower(y)), lower(x)) = i), ' ') AS kept, round(len(list_intersect(list_distinct(w), list_distinct(v))) / len(list_distinct(list_concat(w, v)))::DOUBLE, 6) AS jaccard FROM (SELECT item_id, string_split(text, ' ') AS w, string_split(lower(text), ' ') AS v FROM benchmark)")
 def d3_d5_distinct_and_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, v = F.split("text", " "), F.split(F.lower("text"), " ")
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(P.distinct_ignoring_case(w), " ").alias("kept"), F.round(T.jaccard(w, v), 6).alias("jaccard"))
-
-
-@query("SELECT l.doc_id, d.doc_id IS NOT NULL AS found, coalesce(length(text), 0)::BIGINT AS n FROM (SELECT doc_id * 3 AS doc_id FROM labels) l LEFT JOIN documents d ON d.doc_id = l.doc_id")
-def s11_candidate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of the wanted ids, and which are missing."""
-    wanted = table(spark, sf_dir, "labels").select((F.col("doc_id") * 3).alias("doc_id"))
-    texts = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n")).withColumn("there", F.lit(True))
-    return wanted.join(texts, "doc_id", "left").select("doc_id", F.coalesce("there", F.lit(False)).alias("found"), F.coalesce("n", F.lit(0)).alias("n"))
-
-
-@query("SELECT l_returnflag AS flag, l_linestatus AS status, count(*)::BIGINT AS n FROM lineitem WHERE (l_returnflag, l_linestatus) IN (('A', 'F'), ('N', 'O')) GROUP BY ALL")
-def f21_valid_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges whose pair of kinds is in the table of allowed ones."""
-    allowed = spark.createDataFrame([("A", "F"), ("N", "O")], "flag string, status string")
-    edges = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"))
-    return edges.join(F.broadcast(allowed), ["flag", "status"], "left_semi").groupBy("flag", "status").agg(F.count("*").alias("n"))
-
-
-@query("SELECT p_partkey FROM part WHERE lower(p_name) = 'red' OR contains(lower(p_name), 'red') OR contains(lower(p_brand), '#12')")
-def f22_find_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.lower("p_name")
-    return table(spark, sf_dir, "part").where((name == "red") | F.contains(name, F.lit("red")) | F.contains(F.lower("p_brand"), F.lit("#12"))).select("p_partkey")
-
-
-@query(_ROWS + "SELECT key, len(pos)::BIGINT AS n_pos, len(neg)::BIGINT AS n_neg, round(list_sum(list_transform(range(1, least(len(pos), len(neg)) + 1), lambda i: pos[i] - neg[i])), 8) AS margin FROM rows WHERE len(pos) > 0 AND len(neg) > 0")
-def m13_paired_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positives and negatives side by side, as far as both go."""
-    pairs = F.zip_with("pos", "neg", lambda a, b: a - b)
-    margin = F.aggregate(F.filter(pairs, lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x)
-    return _quality(spark, sf_dir).select("key", F.size("pos").cast("long").alias("n_pos"), F.size("neg").cast("long").alias("n_neg"), F.round(margin, 8).alias("margin"))

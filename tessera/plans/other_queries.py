@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import html_text as H
 from tessera.functions import text as T
-from tessera.functions import urls as U
-from tessera.operators import answers as W
 from tessera.operators import code_graph as CG
 from tessera.operators import lexical as L
-from tessera.operators.evidence import sandwich
-from tessera.plans.evidence_queries import _evidence
 from tessera.plans.graph_queries import _graph
 from tessera.plans.registry import query, table
 from tessera.plans.retrieval_queries import _PAIRS, _dense
@@ -84,37 +79,6 @@ def j12_expected_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.exists(expected, lambda e: F.contains(url, F.regexp_replace(e, "/+$", ""))).alias("found"))
 
 
-def _questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    q, ev = _evidence(spark, sf_dir)
-    return q.withColumnRenamed("text", "query"), ev.withColumn("domain", U.domain_of(F.col("url")))
-
-
-@query()
-def w15_w16_pack_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, ev = _questions(spark, sf_dir)
-    placed = sandwich(ev).withColumn("number", F.col("id")).withColumn("id", F.col("place")).drop("place")
-    return W.by_question(q, placed, lambda e, query: W.pack_context(e, query, "fast"), "id long, packed string")
-
-
-@query()
-def w17_x1_extractive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, ev = _questions(spark, sf_dir)
-    return W.by_question(q, ev, lambda e, query: pd.DataFrame({"answer": [W.extractive_answer(e, query)]}), "answer string")
-
-
-@query()
-def w18_x2_x4_repaired_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first evidence as an answer without citations, repaired, and its citations normalised."""
-    q, ev = _questions(spark, sf_dir)
-
-    def fold(e: pd.DataFrame, query: str) -> pd.DataFrame:
-        answer = W.repair_citations(e["passage"].iloc[0] if len(e) else "", e, query)
-        text, used = W.normalize_citations(answer, set(e["id"].tolist()))
-        return pd.DataFrame({"answer": [text], "used": [",".join(map(str, used))]})
-
-    return W.by_question(q, ev, fold, "answer string, used string")
-
-
 @query()
 def g7_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CG.communities(_graph(spark, sf_dir)[1].where("kind = 'contains'").select("src", "dst"), 6)

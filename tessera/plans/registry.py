@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions import text as T
+from tessera.operators._lineage import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(where)
+    store.deleteOnExit(where)
+    return f"{path}/data"
+
+
 def listed(words: list[str]) -> str:
     return ", ".join(f"'{w}'" for w in words)
 

@@ -16,6 +16,7 @@ from tessera.functions import text as T
 from tessera.operators import fusion as fuse
 from tessera.operators import metrics as M
 from tessera.operators import retrieval as R
+from tessera.operators import term_search as TS
 from tessera.plans.registry import listed, query, sql_tokens, table
 
 _CODE = r"regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|\d+|==|!=|<=|>=|[-+*/%]=?|[{}()\[\].,;:]')"
@@ -44,14 +45,14 @@ def _shown(run: DataFrame, digits: int = 6) -> DataFrame:
 def j1_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), T.code_tokens(F.col("text")).alias("tokens"))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("did"), T.code_tokens(F.col("text")).alias("tokens"))
-    return _shown(R.top_k(R.bm25(q, d, 0.9, 0.4, True), 10))
+    return _shown(TS.bm25_top_k(q, d, 10, 0.9, 0.4, True))
 
 
 @query(_bm25_sql(sql_tokens("text"), sql_tokens("text"), 1.35, 0.72, "1"))
 def a1_bm25_plain_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), T.tokenize(F.col("text")).alias("tokens"))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("did"), T.tokenize(F.col("text")).alias("tokens"))
-    return _shown(R.top_k(R.bm25(q, d, 1.35, 0.72, False, 1.0), 10))
+    return _shown(TS.bm25_top_k(q, d, 10, 1.35, 0.72, False, 1.0))
 
 
 @query(
@@ -75,11 +76,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 8) DES
 SELECT qid, did, round(score, 6) AS score, rank FROM r WHERE rank <= 10"""
 )
 def j2_sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def weights(name: str, key: str, alias: str) -> DataFrame:
-        rows = table(spark, sf_dir, name).select(F.col(key).alias(alias), T.all_matches(F.lower("text"), "[a-z0-9]+").alias("tokens"))
-        return R.term_counts(rows, alias).select(alias, "token", F.sqrt("tf").alias("weight"))
-
-    return _shown(R.top_k(R.sparse_scores(weights("benchmark", "item_id", "qid"), weights("documents", "doc_id", "did")), 10))
+    q, d = (table(spark, sf_dir, name).select(F.col(key).alias(alias), T.all_matches(F.lower("text"), "[a-z0-9]+").alias("tokens")) for name, key, alias in (("benchmark", "item_id", "qid"), ("documents", "doc_id", "did")))
+    return _shown(TS.root_count_top_k(q, d, 10))
 
 
 def _vectors(spark: SparkSession, sf_dir: str, dims: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -158,10 +156,27 @@ def w10_minmax_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("qid", "did", F.round(fuse.blended(F.col("s1"), F.col("s2"), F.lit(0.65), "minmax"), 6).alias("blend"))
 
 
-def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _judged(spark: SparkSession, sf_dir: str, run: DataFrame, plain: str = "qid") -> tuple[DataFrame, DataFrame]:
+    """``run`` (with a column ``plain``, its vector's id, and did) with ``hit``, whether both have one label; and (vec_id, n): the number of others of each vector's label.
+
+    Only the run's own rows are looked up: relevant pairs are never listed.
+    """
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "label")
-    return q.join(e.withColumnRenamed("vec_id", "did"), "label").where("qid != did").select("qid", "did")
+    sizes = e.join(e.groupBy("label").agg((F.count("*") - 1).alias("n")), "label").select("vec_id", "n")
+    own, other = e.select(F.col("vec_id").alias(plain), F.col("label").alias("ql")), e.select(F.col("vec_id").alias("did"), F.col("label").alias("dl"))
+    return run.join(own, plain).join(other, "did").withColumn("hit", (F.col("ql") == F.col("dl")).cast("int")).drop("ql", "dl"), sizes
+
+
+def _run_metrics(spark: SparkSession, sf_dir: str, run: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    judged, sizes = _judged(spark, sf_dir, run)
+    return M.judged_metrics(judged, sizes.withColumnRenamed("vec_id", "qid"), queries if queries is not None else run.select("qid").distinct())
+
+
+def _keyed_metrics(spark: SparkSession, sf_dir: str, runs: DataFrame, key: str) -> DataFrame:
+    """Metrics of runs (qid, plain, did, rank and a key that qid holds too), with plain and the key."""
+    keys = runs.select("qid", "plain", key).distinct()
+    judged, sizes = _judged(spark, sf_dir, runs, "plain")
+    return M.judged_metrics(judged, keys.join(sizes.withColumnRenamed("vec_id", "plain"), "plain").select("qid", "n"), keys.select("qid")).join(keys, "qid")
 
 
 def _rounded(df: DataFrame, *kept: str) -> DataFrame:
@@ -183,8 +198,7 @@ _RUN = ", run AS (SELECT qid, did, rel AS label, r1 AS rank FROM ranked WHERE r1
 
 @query(_PAIRS + _SIZES + _RUN + _metric_sql("run") + " SELECT qid, round(ndcg, 6) AS ndcg, round(map, 6) AS map, round(mrr, 6) AS mrr, round(recall, 6) AS recall, round(precision, 6) AS precision, round(hit_rate, 6) AS hit_rate, false AS missing FROM m")
 def a12_metrics_by_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run, good = _dense(spark, sf_dir, 50), _relevant(spark, sf_dir)
-    return _rounded(M.run_metrics(run, good, run.select("qid").distinct()), "qid", "missing")
+    return _rounded(_run_metrics(spark, sf_dir, _dense(spark, sf_dir, 50)), "qid", "missing")
 
 
 @query(
@@ -200,10 +214,7 @@ run AS (SELECT o.qid, o.did, (r.did IS NOT NULL)::INT AS label, row_number() OVE
 def j5_a10_evaluate_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word-overlap run of the benchmark, judged by containment; items that no document contains score 0."""
     items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    # The items are the stated query set: their texts go to every task in one array.
-    known = [(r["item_id"], r["text"]) for r in items.select("item_id", "text").collect()]
-    wanted = F.array(*(F.struct(F.lit(i).alias("qid"), F.lit(t).alias("t")) for i, t in known))
-    qrels = docs.select(F.col("doc_id").alias("did"), F.explode(F.filter(wanted, lambda w: F.contains(F.col("text"), w["t"]))).alias("w")).select("w.qid", "did")
+    qrels = R.containing(items.select(F.col("item_id").alias("qid"), "text"), docs.select(F.col("doc_id").alias("did"), "text"))
     words = lambda df, key, alias: df.select(F.col(key).alias(alias), F.explode(F.array_distinct(T.all_matches(F.lower("text"), "[a-z0-9]+"))).alias("token"))
     overlap = words(items, "item_id", "qid").join(words(docs, "doc_id", "did"), "token").groupBy("qid", "did").agg(F.count("*").cast("double").alias("score"))
     out = M.mean_metrics(M.run_metrics(R.top_k(overlap, 10), qrels, items.select(F.col("item_id").alias("qid"))))
@@ -263,9 +274,7 @@ _GRID_SQL = (
 
 def _grid_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = _grid_runs(spark, sf_dir).withColumn("plain", F.col("qid")).withColumn("qid", F.col("key"))
-    keys = runs.select("qid", "plain", "alpha").distinct()
-    good = keys.join(_relevant(spark, sf_dir).withColumnRenamed("qid", "plain"), "plain").select("qid", "did")
-    return M.run_metrics(runs, good, keys.select("qid")).join(keys, "qid")
+    return _keyed_metrics(spark, sf_dir, runs, "alpha")
 
 
 @query(_GRID_SQL + " SELECT alpha, count(*)::BIGINT AS queries, round(avg(ndcg), 6) AS ndcg, round(avg(map), 6) AS map, round(avg(mrr), 6) AS mrr, round(avg(recall), 6) AS recall FROM m GROUP BY alpha")
@@ -304,17 +313,15 @@ def j8_weight_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = _scored(spark, sf_dir)
     each = F.array(*(F.struct(F.lit(n).alias("surface"), fuse.fused(F.col("s1"), F.col("s2"), F.col("s1") * F.col("s2"), w).alias("score")) for n, w in fuse.SURFACES.items()))
     grid = scored.select("qid", "did", F.explode(each).alias("e")).select("did", "e.surface", "e.score", F.col("qid").alias("plain"), F.concat_ws(":", "qid", "e.surface").alias("qid"))
-    keys = grid.select("qid", "plain", "surface").distinct()
-    good = keys.join(_relevant(spark, sf_dir).withColumnRenamed("qid", "plain"), "plain").select("qid", "did")
-    out = M.run_metrics(R.top_k(grid, 10), good, keys.select("qid")).join(keys, "qid").groupBy("surface").agg(F.avg("ndcg").alias("ndcg"), F.avg("map").alias("map"))
+    out = _keyed_metrics(spark, sf_dir, R.top_k(grid, 10), "surface").groupBy("surface").agg(F.avg("ndcg").alias("ndcg"), F.avg("map").alias("map"))
     return _rounded(out, "surface")
 
 
 @query(_PAIRS + _SIZES + ", two AS (SELECT qid, did, rel AS label, r1 AS rank, 'base' AS model FROM ranked UNION ALL SELECT qid, did, rel, r2, 'student' FROM ranked)" + _metric_sql("two", "qid, model") + ", d AS (SELECT a.qid, b.ndcg - a.ndcg AS delta FROM m a JOIN m b ON a.qid = b.qid AND a.model = 'base' AND b.model = 'student') SELECT count(*)::BIGINT AS queries, round(avg(delta), 6) AS mean_delta, round(min(delta), 6) AS min_delta, round(max(delta), 6) AS max_delta, count(*) FILTER (round(delta, 9) >= 0)::BIGINT AS passes, count(*) FILTER (round(delta, 9) < 0)::BIGINT AS regressions FROM d")
 def j7_a23_compare_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good, q = _relevant(spark, sf_dir), _vectors(spark, sf_dir)[0].select("qid")
-    base = M.run_metrics(_dense(spark, sf_dir, 10), good, q).select("qid", F.col("ndcg").alias("a"))
-    student = M.run_metrics(_dense(spark, sf_dir, 10, 16), good, q).select("qid", F.col("ndcg").alias("b"))
+    q = _vectors(spark, sf_dir)[0].select("qid")
+    base = _run_metrics(spark, sf_dir, _dense(spark, sf_dir, 10), q).select("qid", F.col("ndcg").alias("a"))
+    student = _run_metrics(spark, sf_dir, _dense(spark, sf_dir, 10, 16), q).select("qid", F.col("ndcg").alias("b"))
     delta = base.join(student, "qid").select((F.col("b") - F.col("a")).alias("delta"))
     near = F.round("delta", 9)
     return delta.agg(

@@ -55,7 +55,7 @@ def t6_fingerprint_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", _digest(T.fingerprint_tokens(T.normalize_query(F.col("text")))).alias("tokens"))
 
 
-_QUESTION = "CASE item_id % 7 WHEN 0 THEN 'compare ' WHEN 1 THEN 'how to use ' WHEN 2 THEN 'why ' WHEN 3 THEN 'best API for ' WHEN 4 THEN 'latest news: ' WHEN 5 THEN 'comprehensive legal ' ELSE '' END || left(text, 60)"
+_QUESTION = "CASE item_id % 7 WHEN 0 THEN 'compare ' WHEN 1 THEN 'how to use ' WHEN 2 THEN 'why ' WHEN 3 THEN 'best API for ' WHEN 4 THEN 'latest news: ' WHEN 5 THEN 'comprehensive legal ' ELSE '' END || text"
 _ASCII_INTENTS = {t: p.split("|比较")[0].split("|怎么")[0].split("|为什么")[0].split("|推荐")[0].split("|代码")[0] for t, p in T.INTENTS.items()}
 _TAGS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(q, '(?i){p}') THEN '{t}' END" for t, p in _ASCII_INTENTS.items()) + "], lambda t: t IS NOT NULL)"
 
@@ -69,14 +69,6 @@ def t7_intent_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _questions(spark, sf_dir).select("item_id", F.array_join(T.intent_tags(F.col("q")), ",").alias("tags"))
 
 
-_WHOLE_QUESTION = _QUESTION.replace("left(text, 60)", "text")
-
-
-@query(f"SELECT item_id, CASE WHEN len({_TAGS}) > 0 THEN array_to_string({_TAGS}, ',') ELSE 'lookup' END AS tags FROM (SELECT item_id, {_WHOLE_QUESTION} AS q FROM benchmark)")
-def t7_intent_tags_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.intent_tags(F.expr(_WHOLE_QUESTION)), ",").alias("tags"))
-
-
 @query(
     rf"""
 WITH RECURSIVE s AS (
@@ -207,9 +199,12 @@ def t27_support_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ")).alias("tokens"))
 
 
-@query("SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'Chinese' ELSE 'the same language as the question' END AS language FROM benchmark")
+_MIXED = "CASE item_id % 7 WHEN 0 THEN '什么' || text WHEN 1 THEN text || ' 检索' WHEN 2 THEN 'かな ' || text WHEN 3 THEN '㐀' WHEN 4 THEN '鿿?' WHEN 5 THEN 'ㄱ' ELSE text END"
+
+
+@query(f"SELECT item_id, CASE WHEN regexp_matches(q, '[\\x{{3400}}-\\x{{9fff}}]') THEN 'Chinese' ELSE 'the same language as the user query' END AS language FROM (SELECT item_id, {_MIXED} AS q FROM benchmark)")
 def t28_answer_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", T.answer_language(F.expr("CASE WHEN item_id % 3 = 0 THEN '什么' || text ELSE text END")).alias("language"))
+    return table(spark, sf_dir, "benchmark").select("item_id", T.answer_language(F.expr(_MIXED)).alias("language"))
 
 
 _TIER_SQL = "CASE " + "".join(

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import re
 import zipfile
+from collections.abc import Callable
 from xml.etree import ElementTree
 
+import pandas as pd
+from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,7 +31,11 @@ def read_trec(spark: SparkSession, path: str, depth: int = 0) -> DataFrame:
 
     ``depth``: keep that many first ranks of each query (0: all).
     """
-    parts = spark.read.text(path).where(F.trim("value") != "").select(F.split(F.trim("value"), r"\s+").alias("p"))
+    return _trec_rows(spark.read.text(path), depth)
+
+
+def _trec_rows(lines: DataFrame, depth: int) -> DataFrame:
+    parts = lines.where(F.trim("value") != "").select(F.split(F.trim("value"), r"\s+").alias("p"))
     checked = parts.select(F.when(F.size("p") == 6, F.col("p")).otherwise(F.raise_error(F.concat(F.lit("not a TREC line: "), F.array_join("p", " ")))).alias("p"))
     rows = checked.select(F.col("p")[0].alias("qid"), F.col("p")[2].alias("did"), F.col("p")[3].cast("int").alias("rank"), F.col("p")[4].cast("double").alias("score"), F.col("p")[5].alias("run_id"))
     own = Window.partitionBy("qid")
@@ -56,6 +65,92 @@ def validate_run(run: DataFrame, queries: DataFrame, depth: int) -> DataFrame:
     return wrong.unionByName(missing).unionByName(extra)
 
 
+def read_topics(spark: SparkSession, path: str) -> DataFrame:
+    """(qid, query) from tab-separated topics; of a repeated id the last line in order of the text counts."""
+    rows = spark.read.option("sep", "\t").option("quote", "").schema("qid string, query string").csv(path)
+    return rows.where("qid is not null and query is not null").groupBy("qid").agg(F.max("query").alias("query"))
+
+
+def read_rows(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> DataFrame:
+    """JSON lines with their place (path, line); a broken line is an error that names its place, no row at all is one too."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("pos", "raw"))
+    lines = text.where(F.trim("raw") != "").select("path", (F.col("pos") + 1).alias("line"), "raw")
+    place = F.concat(F.lit("broken line "), F.element_at(F.split("path", "/"), -1), F.lit(":"), F.col("line").cast("string"))
+    kind = f"{schema}, _broken string"
+    parsed = lines.withColumn("r", F.from_json("raw", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))
+    checked = parsed.withColumn("ok", F.when(F.col("r._broken").isNull(), True).otherwise(F.raise_error(place).cast("boolean"))).where("ok")
+    rows = checked.select("path", "line", "r.*").drop("_broken")
+    rows = rows.orderBy("path", "line").limit(limit) if limit else rows
+    if rows.isEmpty():
+        raise ValueError(f"no rows in {path}")
+    return rows
+
+
+def write_zip(lines: DataFrame, path: str, member: str) -> None:
+    """Lines (value), in their order, as the only member of a zip archive in the folder ``path``; one task streams them, as one archive has one writer."""
+
+    def run(frames):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive, archive.open(member, "w") as inner:
+            for frame in frames:
+                inner.write("".join(x + "\n" for x in frame["value"]).encode())
+        yield pd.DataFrame({"content": [out.getvalue()]})
+
+    content = lines.orderBy("value").coalesce(1).mapInPandas(run, "content binary").first()["content"]
+    write_file(open_store(path), f"{path}/run.zip", bytes(content))
+
+
+def open_store(path: str) -> fs.FileSystem:
+    """The file system of a path with or without a scheme."""
+    return fs.FileSystem.from_uri(_uri(path))[0]
+
+
+def _uri(path: str) -> str:
+    scheme, rest = re.fullmatch(r"(?:([A-Za-z][A-Za-z0-9+.\-]+):)?(.*)", path).groups()
+    return path if rest.startswith("//") else f"{scheme or 'file'}://{rest}"
+
+
+def write_file(store: fs.FileSystem, path: str, content: bytes) -> None:
+    """A small file, written by the driver."""
+    own = fs.FileSystem.from_uri(_uri(path))[1]
+    store.create_dir(own.rsplit("/", 1)[0], recursive=True)
+    with store.open_output_stream(own) as out:
+        out.write(content)
+
+
+def read_trec_zip(spark: SparkSession, path: str, member: str | None = None, depth: int = 0) -> DataFrame:
+    """``read_trec`` of a member of zip archives (the only text file where no name is given)."""
+
+    def run(frames):
+        for frame in frames:
+            for content in frame["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    names = [n for n in archive.namelist() if not n.endswith("/")]
+                    own = member or (names[0] if len(names) == 1 else None)
+                    if own not in names:
+                        raise ValueError(f"no member {member or 'that is alone'} in the archive")
+                    with archive.open(own) as lines:
+                        for chunk in iter(lambda: lines.readlines(1 << 20), []):
+                            yield pd.DataFrame({"value": [x.decode().rstrip("\r\n") for x in chunk]})
+
+    return _trec_rows(spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "value string"), depth)
+
+
+def append_chunks(spark: SparkSession, corpus: DataFrame, path: str, encode: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The encoded corpus (chunk, did, ...) in ``path``: chunks that are there already are not encoded again.
+
+    ``corpus`` (chunk, did, text); each chunk is a folder, written whole or not at all by
+    Spark's commit, so a run that was cut short goes on where it stopped.
+    """
+    try:
+        done = spark.read.parquet(path).select("chunk").distinct()
+    except AnalysisException:
+        done = spark.createDataFrame([], corpus.select("chunk").schema)
+    left = corpus.join(done, "chunk", "left_anti")
+    encode(left).write.mode("append").partitionBy("chunk").parquet(path)
+    return spark.read.parquet(path)
+
+
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     """(qid, did) with positive relevance from tab-separated judgements."""
     rows = spark.read.option("sep", "\t").schema("qid string, q0 string, did string, rel int").csv(path)
@@ -87,7 +182,7 @@ def source_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = (
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
 
-def read_xlsx(path: str) -> dict[str, list[list[object]]]:
+def read_xlsx(path: str | io.BytesIO) -> dict[str, list[list[object]]]:
     """Rows of each sheet of a small workbook, on the driver: shared and inline texts, numbers; gaps are None."""
     with zipfile.ZipFile(path) as book:
         names = set(book.namelist())
