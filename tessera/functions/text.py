@@ -11,7 +11,7 @@ import html
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # Word lists and patterns that results depend on.
 RANK_STOPWORDS = "about and are can does for from how into is it its of or the this to what when why work works".split()
@@ -139,21 +139,33 @@ def sentences(text: Column) -> Column:
 def split_passages(text: Column, target: int = 900, overlap: int = 0) -> Column:
     """Whole sentences packed greedily into passages of up to ``target`` characters; one that stays far longer alone is cut evenly.
 
-    ``text`` is clean already.  A passage carries the last ``overlap`` characters of the one before.
+    ``text`` is clean already.  A passage carries the last ``overlap`` characters of the one
+    before.  Each sentence depends on the passage so far, so a batch of texts is one pass in Python.
     """
 
-    def step(state: Column, sentence: Column) -> Column:
-        now = state["now"]
-        fits = F.length(now) + F.length(sentence) + 1 <= target
-        prefix = F.when((F.lit(overlap) > 0) & (now != ""), F.substring(now, -overlap, overlap)).otherwise("") if overlap else F.lit("")
-        done = F.when(fits | (now == ""), state["done"]).otherwise(F.array_append(state["done"], now))
-        return F.struct(done.alias("done"), F.trim(F.concat_ws(" ", F.when(fits, now).otherwise(prefix), sentence)).alias("now"))
-
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
-    packed = F.aggregate(sentences(text), start, step, lambda s: F.when(s["now"] == "", s["done"]).otherwise(F.array_append(s["done"], s["now"])))
-    long = F.element_at(packed, 1)
-    cut = F.transform(F.sequence(F.lit(1), F.length(long), F.lit(max(1, target - overlap))), lambda i: F.substring(long, i, F.lit(target)))
-    return F.when((F.size(packed) == 1) & (F.length(long) > target * 1.5), cut).otherwise(packed)
+    @F.arrow_udf(ArrayType(StringType()))
+    def pack(sentences: pa.Array) -> pa.Array:
+        return pa.array([_packed(s or [], target, overlap) for s in sentences.to_pylist()], pa.list_(pa.string()))
+
+    return pack(sentences(text))
+
+
+def _packed(sentences: list[str], target: int, overlap: int) -> list[str]:
+    done: list[list[str]] = []
+    room = 0
+    for s in sentences:
+        if done and len(s) + 1 <= room:
+            done[-1].append(s)
+        else:
+            before = " ".join(done[-1])[-overlap:].strip(" ") if done and overlap else ""
+            done.append([before, s] if before else [s])
+            room = target - len(before) if before else target + 1
+        room -= len(s) + 1
+    passages = [" ".join(p) for p in done]
+    if len(passages) == 1 and len(passages[0]) > target * 1.5:
+        step = max(1, target - overlap)
+        return [passages[0][i : i + target] for i in range(0, len(passages[0]), step)]
+    return passages
 
 
 def contextual_passage(title: Column, domain: Column, snippet: Column, passage: Column) -> Column:

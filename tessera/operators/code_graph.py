@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.planning import question_type
 from tessera.operators._lineage import cut
-from tessera.operators.graph import reach, undirected
+from tessera.operators.graph import dependents, keyword_search, reach, undirected
 
 ENTITY = "id string, name string, qualified string, kind string, path string, start_line int, end_line int, docstring string"
 RELATION = "src string, target string, kind string, line int"
@@ -278,3 +279,36 @@ def write_graph(path: str, **tables: DataFrame) -> None:
 
 def read_graph(spark: SparkSession, path: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{path}/{n}") for n in names]
+
+
+def impact_of(names: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 6) -> DataFrame:
+    """(name, id, node, depth): what depends on the entities that each name (name) means, by the least number of steps; the entity itself at depth 0."""
+    meant = cut(named_like(nodes, names))
+    found = dependents(edges.select("src", "dst").distinct(), meant.select(F.col("id").alias("seed")).distinct(), depth)
+    return meant.join(found.withColumnRenamed("seed", "id"), "id").select("name", "id", "node", "depth")
+
+
+def graph_answers(questions: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 6, most: int = 15) -> DataFrame:
+    """(qid, kind, id, place, node, depth): what the graph says to each question (qid, question).
+
+    By the question's kind: what depends on the first entity that it names (impact), the
+    calls from it (flow), its neighbours (relationship, local); the ``most`` nearest of each,
+    ties by id.  A question that names nothing, or asks for an overview, has one row without entities.
+    """
+    asked = questions.select("qid", "question", question_type(F.col("question")).alias("kind"))
+    first = cut(asked.select("qid", "kind").join(mentioned(questions, nodes).where("place = 1").select("qid", "id"), "qid", "left"))
+    plain = edges.select("src", "dst").distinct()
+    both = plain.unionByName(plain.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    ways = {("impact",): (plain.select(F.col("dst").alias("src"), F.col("src").alias("dst")), depth), ("flow",): (edges.where("kind = 'CALLS'").select("src", "dst").distinct(), depth), ("relationship", "local"): (both, 1)}
+    found = None
+    for kinds, (links, steps) in ways.items():
+        own = first.where(F.col("kind").isin(*kinds) & F.col("id").isNotNull())
+        near = own.join(reach(links, own.select(F.col("id").alias("seed")).distinct(), steps).where("depth > 0").withColumnRenamed("seed", "id"), "id").select("qid", "kind", "id", "node", "depth")
+        found = near if found is None else found.unionByName(near)
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("depth", "node"))
+    shown = found.withColumn("place", place).where(F.col("place") <= most)
+    return first.where("kind != 'global'").unionByName(first.where("kind = 'global'").withColumn("id", F.lit(None).cast("string"))).join(shown.drop("kind", "id"), "qid", "left").select("qid", "kind", "id", "place", "node", "depth")
+
+
+#: What the graph's stand-in for search by meaning is: search by words.
+semantic_search = keyword_search

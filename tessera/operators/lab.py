@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tessera.functions import params as PA
 from tessera.operators import fusion as fuse
 from tessera.operators import metrics as M
+from tessera.operators import sampling as S
 from tessera.operators import stats as ST
 
 METRICS = ("map", "mrr", "ndcg")
@@ -290,3 +291,23 @@ def id_set_digest(rows: DataFrame, key: str, value: Column) -> DataFrame:
 def order_invariant(runs: DataFrame, tolerance: float = 1e-12) -> DataFrame:
     """(task, same_candidates, same_metrics) over runs (task, digest, metric) in different orders."""
     return runs.groupBy("task").agg((F.min("digest") == F.max("digest")).alias("same_candidates"), (F.max("metric") - F.min("metric") <= tolerance).alias("same_metrics"))
+
+
+def prepared_splits(rows: DataFrame, items: DataFrame, checks: list[tuple[str, Column]], held_out: float, seed: str, order: list[Column], quotas: dict[str, int], total: int, most_train: int = 0, most_eval: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Eligible rows (key), split by hash and cut, with the negatives chosen for each from ``items`` (key, idx, margin); and (reason, n) of the others.
+
+    Rows for which fewer than ``total`` negatives can be chosen are left out; the result has
+    a row a negative: split, place, key, idx, stratum, filler.
+    """
+    kept, reasons = eligible(rows, checks)
+    split = S.split_rows(kept, "key", held_out, seed, order, most_train, most_eval).select("key", "split", "place")
+    chosen = S.choose_negatives(items.join(split.select("key"), "key", "left_semi"), quotas, total, seed)
+    whole = chosen.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= total).select("key")
+    return chosen.join(whole, "key", "left_semi").join(split, "key").select("split", "place", "key", "idx", "stratum", "filler"), reasons
+
+
+def sampled_corpus(docs: DataFrame, judged: DataFrame, size: int, seed: str) -> DataFrame:
+    """All documents (did, ...) that are judged (did), and others up to ``size`` in all, in the order of a stable hash."""
+    own = docs.join(judged.select("did").distinct(), "did", "left_semi")
+    others = docs.join(judged.select("did").distinct(), "did", "left_anti")
+    return own.unionByName(others.orderBy(S.stable_fraction(F.col("did"), seed), "did").limit(max(0, size - own.count())))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.arrays import margin_bin
+from tessera.operators._lineage import cut
 
 
 def stable_fraction(value: Column, seed: str) -> Column:
@@ -15,12 +16,24 @@ def stable_fraction(value: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 16), 16, 10).cast("double") / F.lit(18446744073709551616.0)
 
 
+def ranked(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """``rows`` with ``place``, from 1, in each of few large groups.
+
+    Rows are dealt by ranges of group and order, and numbered inside a range; the counts of
+    the ranges before it are added.  No task sorts a whole group.
+    """
+    dealt = cut(rows.repartitionByRange(F.col(group), *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = dealt.groupBy(group, "_part").agg(F.count("*").alias("_n")).select(group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    own = F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order))
+    return dealt.withColumn("_own", own).join(firsts, [group, "_part"]).withColumn("place", (F.col("_first") + F.col("_own")).cast("int")).drop("_part", "_own", "_first")
+
+
 def split_rows(rows: DataFrame, key: str, held_out: float, seed: str, order: list[Column], most_train: int = 0, most_eval: int = 0) -> DataFrame:
     """``rows`` with ``split`` (train or eval) by the key's fraction, ranked in it by ``order`` and cut at the caps (0: none)."""
     side = F.when(stable_fraction(F.col(key), seed) < held_out, "eval").otherwise("train")
-    ranked = rows.withColumn("split", side).withColumn("place", F.row_number().over(Window.partitionBy("split").orderBy(*order)))
     cap = F.when(F.col("split") == "train", most_train or (1 << 31) - 1).otherwise(most_eval or (1 << 31) - 1)
-    return ranked.where(F.col("place") <= cap)
+    return ranked(rows.withColumn("split", side), "split", order).where(F.col("place") <= cap)
 
 
 def stratum(margin: Column) -> Column:
@@ -60,8 +73,7 @@ def classify_negative(target: Column, hybrid: Column, target_hard: float, hybrid
 def balanced(rows: DataFrame, bin_order: list[str], order: list[Column], most: int) -> DataFrame:
     """Round-robin over the bins of column ``bin`` until ``most`` rows."""
     at = F.array_position(F.array(*map(F.lit, bin_order)), F.col("bin"))
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("bin").orderBy(*order)))
-    return ranked.orderBy("r", at).limit(most)
+    return ranked(rows, "bin", order).withColumnRenamed("place", "r").orderBy("r", at).limit(most)
 
 
 def allocate(scores: DataFrame, total: int) -> DataFrame:

@@ -6,28 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
+from tessera.functions import completions as CO
 from tessera.functions import params as PA
 from tessera.operators import lab as LB
 from tessera.operators import metrics as M
-from tessera.plans.lab_queries import _ROWS, _rows
+from tessera.plans.lab_queries import _ROWS, _fraction, _rows
 from tessera.plans.registry import query, table
 from tessera.plans.retrieval_queries import _SCORED, _scored
 
-# Pages as search results of 40 cases, each with three expected parts.
-_CASES = "WITH r AS (SELECT page_id % 40 AS name, page_id // 40 + 1 AS rank, url FROM pages), e AS (SELECT item_id AS name, unnest(['/en/', 'example.org', 'h' || item_id % 3]) AS part FROM benchmark WHERE item_id <= 60)"
+# Items as cases with three expected parts each; pages as search results of the first 40.
+_CASES = "WITH r AS (SELECT page_id % 40 AS name, page_id // 40 + 1 AS rank, url FROM pages), e AS (SELECT item_id AS name, unnest(['/en/', 'example.org', 'h' || item_id % 3]) AS part FROM benchmark)"
 _MATCHED = _CASES + ", m AS (SELECT e.name, part, min(CASE WHEN contains(url, rtrim(part, '/')) THEN rank END) AS rank FROM e LEFT JOIN r ON r.name = e.name AND rank <= 3 GROUP BY ALL), c AS (SELECT name, round_even(count(rank) / 3::DOUBLE, 4) AS recall_at_k, count(rank) > 0 AS hit, round_even(coalesce(1 / min(rank)::DOUBLE, 0), 4) AS mrr FROM m GROUP BY name)"
 
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = F.array(F.lit("/en/"), F.lit("example.org"), F.concat(F.lit("h"), F.col("item_id") % 3))
-    cases = table(spark, sf_dir, "benchmark").where("item_id <= 60").select(F.col("item_id").alias("name"), expected.alias("expected"))
+    cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("name"), expected.alias("expected"))
     results = table(spark, sf_dir, "pages").select((F.col("page_id") % 40).alias("name"), F.expr("page_id div 40 + 1").alias("rank"), "url")
     return LB.evaluate_cases(cases, results, 3)
 
 
 @query(_MATCHED + " SELECT * FROM c")
 def a9_evaluate_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 60 items are the suite's cases."""
+    """Every item is a case of the suite."""
     return _cases(spark, sf_dir)
 
 
@@ -352,3 +353,36 @@ def d6_d7_research_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d7_research_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = table(spark, sf_dir, "pages").select((F.col("page_id") % 4).alias("step"), F.col("page_id").alias("pos"), "url")
     return LB.research_union(batches, batches.groupBy("step").agg(F.count("*").alias("raw_results"), F.max("pos").alias("elapsed_ms")))[1]
+
+
+@query(
+    f"WITH j AS (SELECT DISTINCT doc_id FROM labels), o AS (SELECT doc_id, row_number() OVER (ORDER BY {_fraction('corpus', 'doc_id')}, doc_id) AS r FROM documents ANTI JOIN j USING (doc_id)) SELECT doc_id AS did FROM documents SEMI JOIN j USING (doc_id) UNION ALL SELECT doc_id FROM o WHERE r <= greatest(0, 500 - (SELECT count(*) FROM documents SEMI JOIN j USING (doc_id)))"
+)
+def h17_sampled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents and others, 500 in all."""
+    ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("did"))
+    return LB.sampled_corpus(ids, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("did")), 500, "corpus")
+
+
+_GENERATED = "CASE item_id % 5 WHEN 0 THEN 'think</think>```python' || chr(10) || 'import os' || chr(10) || 'def f(x):' || chr(10) || '  a = 1' || chr(10) || chr(10) || '  return ' || item_id || chr(10) || 'def g():' || chr(10) || '  pass' || chr(10) || '```' WHEN 1 THEN 'return ' || item_id || chr(10) || 'print(1)' WHEN 2 THEN '    return ' || item_id || chr(10) || '# end' WHEN 3 THEN 'def h():' || chr(10) || '    return 1  ' ELSE '```one' END"
+
+
+@query(
+    "SELECT item_id, CASE item_id % 5 WHEN 0 THEN '    a = 1' || chr(10) || chr(10) || '    return ' || item_id || chr(10) || 'import os' || chr(10) || 'def g():' || chr(10) || '  pass' WHEN 1 THEN '    return ' || item_id WHEN 2 THEN '    return ' || item_id WHEN 3 THEN 'def h():' || chr(10) || '    return 1' ELSE '    ```one' END || chr(10) AS code FROM benchmark"
+)
+def t36_clean_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thoughts and fences around a function, plain bodies with endings, other functions, a lone fence."""
+    return table(spark, sf_dir, "benchmark").select("item_id", CO.cleaned(F.expr(_GENERATED.replace("chr(10)", "'\\n'")), F.lit("f")).alias("code"))
+
+
+@query(
+    _ROWS
+    + f""", e AS (SELECT key, neg, CASE WHEN {_fraction('prep', 'key')} < 0.2 THEN 'eval' ELSE 'train' END AS split FROM rows WHERE len(pos) > 0 AND len(neg) >= 2), r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY key) AS place FROM e)
+SELECT split, count(DISTINCT key)::BIGINT AS rows, 2 * count(DISTINCT key)::BIGINT AS negatives FROM r WHERE place <= CASE split WHEN 'train' THEN 300 ELSE 50 END GROUP BY split"""
+)
+def h6_prepared_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with a positive and two negatives, split, cut, and two negatives chosen for each: counts by split."""
+    rows = _rows(spark, sf_dir)
+    items = rows.select("key", F.posexplode("neg").alias("idx", "margin"))
+    chosen, _ = LB.prepared_splits(rows, items, [("no_positive", F.size("pos") == 0), ("few_negatives", F.size("neg") < 2)], 0.2, "prep", [F.col("key")], {"hard": 1, "middle": 1, "easy": 1}, 2, 300, 50)
+    return chosen.groupBy("split").agg(F.countDistinct("key").alias("rows"), F.count("*").alias("negatives"))

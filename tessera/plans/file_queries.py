@@ -217,3 +217,21 @@ def s21_graph_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     CG.write_graph(path, nodes=nodes, edges=edges)
     out = [df.agg(F.lit(name).alias("what"), F.count("*").alias("n")) for name, df in zip(("nodes", "edges"), CG.read_graph(spark, path, "nodes", "edges"))]
     return out[0].unionByName(out[1])
+
+
+@query("SELECT 'f' || k AS name, 'p/n' || k || '.py::f' || k AS id, 'p/n' || j || '.py::f' || j AS node, k - j AS depth FROM (SELECT unnest([12, 20]) AS k), (SELECT unnest(range(25))::INT AS j) WHERE j <= k AND k - j <= 3 UNION ALL SELECT 'f' || k, 'p/n' || k || '.py::f' || k, 'p/n' || j || '.py::C' || j || '.m', k - j + 1 FROM (SELECT unnest([12, 20]) AS k), (SELECT unnest(range(25))::INT AS j) WHERE j <= k AND k - j + 1 <= 3".replace("k - j AS depth", "(k - j)::INT AS depth").replace("k - j + 1 FROM", "(k - j + 1)::INT FROM"))
+def h19_impact_of_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who calls two functions, over three steps: functions of earlier modules, and their methods."""
+    nodes, edges = _calls(spark, sf_dir)
+    names = spark.createDataFrame([("f12",), ("f20",)], "name string")
+    return CG.impact_of(names, nodes, edges.where("kind = 'CALLS'"), 3).select("name", "id", "node", "depth")
+
+
+@query("SELECT n_nationkey AS qid, ['impact', 'flow', 'global'][n_nationkey % 3 + 1] AS kind, CASE WHEN n_nationkey % 3 < 2 AND n_nationkey >= 10 THEN 'p/n' || n_nationkey || '.py::f' || n_nationkey END AS id FROM nation")
+def g11_g12_graph_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of three kinds: their kind, and the entity that they are about; names of two characters are passed over."""
+    nodes, edges = _calls(spark, sf_dir)
+    k = F.col("n_nationkey").cast("string")
+    lead = F.element_at(F.array(F.lit("What would break without f"), F.lit("Trace f"), F.lit("Overview of f")), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    questions = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("qid"), F.concat(lead, k, F.lit("?")).alias("question"))
+    return CG.graph_answers(questions, nodes, edges).select("qid", "kind", "id").distinct()

@@ -22,7 +22,7 @@ def t8_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LEX = r"""
 WITH q AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9_.%+-]+') AS t FROM benchmark), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_.%+-]+') AS t FROM documents),
-p AS (SELECT item_id, doc_id FROM benchmark JOIN documents ON doc_id % 40 = item_id % 40),
+p AS (SELECT item_id, doc_id FROM benchmark JOIN documents ON true),
 qc AS (SELECT item_id, token, count(*) AS qc, any_value(n) AS qn FROM (SELECT item_id, len(t) AS n, unnest(t) AS token FROM q) GROUP BY ALL), dc AS (SELECT doc_id, token, count(*) AS dc, any_value(n) AS dn FROM (SELECT doc_id, len(t) AS n, unnest(t) AS token FROM d) GROUP BY ALL),
 s AS (SELECT item_id, doc_id, sum(least(qc, dc)) AS o, any_value(qn) AS qn, any_value(dn) AS dn, sum(CASE WHEN length(token) >= 2 THEN ln(1 + qc + dc) ELSE 0 END) AS b FROM p JOIN qc USING (item_id) JOIN dc USING (doc_id, token) GROUP BY ALL)
 SELECT item_id AS qid, doc_id AS did, round(coalesce(2 * (o / dn::DOUBLE) * (o / qn::DOUBLE) / greatest(o / dn::DOUBLE + o / qn::DOUBLE, 1e-12) + 0.02::DOUBLE * b, 0), 6) AS score FROM p LEFT JOIN s USING (item_id, doc_id)"""
@@ -30,14 +30,6 @@ SELECT item_id AS qid, doc_id AS did, round(coalesce(2 * (o / dn::DOUBLE) * (o /
 
 @query(_LEX)
 def a4_lexical_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), T.rerank_tokens(F.col("text")).alias("tokens"))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("did"), T.rerank_tokens(F.col("text")).alias("tokens"))
-    pairs = q.select("qid", (F.col("qid") % 40).alias("k")).join(d.select("did", (F.col("did") % 40).alias("k")), "k").drop("k")
-    return L.lexical_scores(pairs, q, d).select("qid", "did", F.round("score", 6).alias("score"))
-
-
-@query(_LEX.replace("ON doc_id % 40 = item_id % 40", "ON true"))
-def a4_lexical_score_every_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), T.rerank_tokens(F.col("text")).alias("tokens"))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("did"), T.rerank_tokens(F.col("text")).alias("tokens"))
     return L.every_lexical_score(q, d).select("qid", "did", F.round("score", 6).alias("score"))
