@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text as T
 from tessera.functions import urls as U
-from tessera.operators.retrieval import idf_table, term_counts
+from tessera.operators._lineage import cut
+from tessera.operators.retrieval import QUERY_BLOCK, idf_table, term_counts
 
 K1, B = 1.35, 0.72
 
 
 def passages(docs: DataFrame, target: int = 900) -> DataFrame:
     """Passages of ``docs`` (did, title, url, snippet, provider, text): did, pos, passage (and in lower case) and its contextual tokens; those without a token are left out."""
-    cut = docs.withColumns({"clean": T.clean_text(F.col("text")), "quality": U.source_quality(F.col("url"))}).select("did", "title", "url", "snippet", "provider", "quality", F.posexplode(T.split_passages(F.col("clean"), target)).alias("pos", "passage"))
+    parts = docs.withColumns({"clean": T.clean_text(F.col("text")), "quality": U.source_quality(F.col("url"))}).select("did", "title", "url", "snippet", "provider", "quality", F.posexplode(T.split_passages(F.col("clean"), target)).alias("pos", "passage"))
     context = T.contextual_passage(F.col("title"), U.domain_of(F.col("url")), F.col("snippet"), F.col("passage"))
-    return cut.withColumn("context", context).withColumn("tokens", T.tokenize(F.col("context"))).withColumn("low", F.lower("passage")).drop("context").where(F.size("tokens") > 0)
+    return parts.withColumn("context", context).withColumn("tokens", T.tokenize(F.col("context"))).withColumn("low", F.lower("passage")).drop("context").where(F.size("tokens") > 0)
 
 
 def _lexical(terms: DataFrame, parts: DataFrame, idf: DataFrame, key: list[str]) -> DataFrame:
@@ -28,30 +33,64 @@ def _lexical(terms: DataFrame, parts: DataFrame, idf: DataFrame, key: list[str])
     return weighed.join(terms, "token").groupBy("qid", *key).agg(F.sum("w").alias("score"), F.count("*").alias("shared"))
 
 
-def _phrase_hits(parts: DataFrame, queries: list[tuple], key: list[str], low: Column) -> DataFrame:
-    """(qid, key, hits, whole): how many of a query's phrases a text has, and whether it has the whole query; rows without a hit are left out."""
-    wanted = F.array(*(F.struct(F.lit(i).alias("qid"), F.array(*map(F.lit, p)).cast("array<string>").alias("p"), F.lit(t).alias("t")) for i, p, t in queries))
+def _phrase_hits(parts: DataFrame, queries: DataFrame, key: list[str], low: Column) -> DataFrame:
+    """(qid, key, hits, whole): how many of a query's phrases a text has, and whether it has the whole query; rows without a hit are left out.
+
+    ``queries`` (qid, phrases, ql) are the stated set.  Their phrases go to the tasks as one
+    automaton a block, so that a text is read once, however many phrases there are.
+    """
     rows = parts.select(*key, low.alias("low"))
-    whole = lambda w: ((w["t"] != "") & F.contains(F.col("low"), w["t"])).cast("int")
-    hits = F.transform(wanted, lambda w: F.struct(w["qid"].alias("qid"), F.size(F.filter(w["p"], lambda p: F.contains(F.col("low"), p))).alias("hits"), whole(w).alias("whole")))
-    return rows.select(*key, F.explode(F.filter(hits, lambda h: h["hits"] + h["whole"] > 0)).alias("h")).select("h.qid", *key, "h.hits", "h.whole")
+    passes, found = max(1, -(-queries.count() // QUERY_BLOCK)), None
+    schema = rows.select(F.lit(0).cast("long").alias("qid"), *key, F.lit(0).alias("hits"), F.lit(0).alias("whole")).schema
+    for turn in range(passes):
+        own = queries.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == turn).select(F.col("qid").cast("long"), "phrases", "ql").collect()
+        sent = parts.sparkSession.sparkContext.broadcast([tuple(r) for r in own])
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            meant: dict[str, list[tuple[int, int, int]]] = {}
+            for qid, phrases, whole in sent.value:
+                for p in phrases:
+                    meant.setdefault(p, []).append((qid, 1, 0))
+                if whole:
+                    meant.setdefault(whole, []).append((qid, 0, 1))
+            automaton = ahocorasick.Automaton()
+            for p in meant:
+                automaton.add_word(p, p)
+            automaton.make_automaton()
+            for batch in batches:
+                at, out = [], []
+                for row, text in enumerate(batch.column("low")):
+                    counts: dict[int, list[int]] = {}
+                    for p in {p for _, p in automaton.iter(text.as_py() or "")} if meant else ():
+                        for qid, hit, whole in meant[p]:
+                            c = counts.setdefault(qid, [0, 0])
+                            c[0] += hit
+                            c[1] = max(c[1], whole)
+                    at += [row] * len(counts)
+                    out += [(qid, *c) for qid, c in counts.items()]
+                qid, hits, whole = zip(*out) if out else ((), (), ())
+                yield pa.record_batch([pa.array(qid, pa.int64()), *(batch.column(k).take(pa.array(at, pa.int64())) for k in key), pa.array(hits, pa.int32()), pa.array(whole, pa.int32())], names=["qid", *key, "hits", "whole"])
+
+        part = rows.mapInArrow(run, schema)
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def rank_evidence(queries: DataFrame, docs: DataFrame, limit: int = 8) -> DataFrame:
     """The best ``limit`` passages of each query (qid, text): contextual BM25, phrase bonuses, source quality, source diversity.
 
     Pairs are found by shared tokens, or by a phrase that the passage contains; the queries
-    are the stated set, and only their phrases go to every task.
+    are the stated set, and go to the tasks in blocks.
     """
     q = queries.select("qid", F.lower(F.trim("text")).alias("ql"), T.tokenize(F.col("text")).alias("qt"), T.query_phrases(F.col("text")).alias("phrases"))
     terms = q.select("qid", F.explode(F.array_distinct("qt")).alias("token"))
-    each = passages(docs)
+    # Passages are read by five branches: they are made once.
+    each = cut(passages(docs))
     totals = each.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
     idf = idf_table(term_counts(each.select(F.concat_ws(":", "did", "pos").alias("p"), "tokens"), "p"), totals)
-    known = [(r["qid"], r["phrases"], r["ql"]) for r in q.select("qid", "phrases", "ql").collect()]
-    in_passage = _phrase_hits(each, known, ["did", "pos"], F.col("low"))
-    in_title = _phrase_hits(docs, known, ["did"], F.lower("title")).select("qid", "did", F.col("hits").alias("title_phrases"))
-    in_snippet = _phrase_hits(docs, known, ["did"], F.lower("snippet")).select("qid", "did", F.col("hits").alias("snippet_phrases"))
+    in_passage = _phrase_hits(each, q, ["did", "pos"], F.col("low"))
+    in_title = _phrase_hits(docs, q, ["did"], F.lower("title")).select("qid", "did", F.col("hits").alias("title_phrases"))
+    in_snippet = _phrase_hits(docs, q, ["did"], F.lower("snippet")).select("qid", "did", F.col("hits").alias("snippet_phrases"))
     lexical = _lexical(terms, each, idf, ["did", "pos"])
     pairs = lexical.select("qid", "did", "pos").unionByName(in_passage.select("qid", "did", "pos")).distinct()
     first = Window.partitionBy(F.lower(F.concat_ws(":", "url", F.substring("passage", 1, 220)))).orderBy("did", "pos")
@@ -61,7 +100,7 @@ def rank_evidence(queries: DataFrame, docs: DataFrame, limit: int = 8) -> DataFr
     joined = pairs.join(unique, ["did", "pos"]).join(lexical, ["qid", "did", "pos"], "left").join(in_passage, ["qid", "did", "pos"], "left")
     for part in (titles, snippets, in_title, in_snippet):
         joined = joined.join(part, ["qid", "did"], "left")
-    joined = joined.join(F.broadcast(q.select("qid", "qt")), "qid").na.fill(0)
+    joined = joined.join(q.select("qid", "qt"), "qid").na.fill(0)
     bonus = F.col("whole") + 0.75 * F.col("hits") + 0.08 * F.col("title_phrases") + 0.05 * F.col("snippet_phrases")
     score = (F.col("score") + 0.16 * F.col("title_hit") + 0.10 * F.col("snippet_hit") + bonus) * F.col("quality") * F.when(F.col("provider") == "official", 1.28).otherwise(1.0)
     off_topic = F.array_contains("qt", "search") & ~F.array_contains("tokens", "search")
@@ -124,7 +163,7 @@ def answer_priority(queries: DataFrame, evidence: DataFrame) -> DataFrame:
     """Evidence (qid, id, title, url, passage, provider, score) deduplicated by URL and re-ranked for answering: new_id from 1."""
     first = evidence.withColumn("u", F.row_number().over(Window.partitionBy("qid", F.regexp_replace("url", "/+$", "")).orderBy("id"))).where("u = 1").drop("u")
     q = queries.select("qid", F.array_distinct(T.tokenize(F.col("text"))).alias("qt"))
-    j = first.join(F.broadcast(q), "qid").withColumns({"tt": T.tokenize(F.col("title")), "pt": T.tokenize(F.col("passage"))})
+    j = first.join(q, "qid").withColumns({"tt": T.tokenize(F.col("title")), "pt": T.tokenize(F.col("passage"))})
     n = F.greatest(F.size("qt"), F.lit(1))
     overlap = F.size(F.array_intersect("qt", F.concat("tt", "pt"))) / n
     tier = U.trust_tier(F.col("url"))
@@ -146,7 +185,7 @@ def rank_results(queries: DataFrame, results: DataFrame) -> DataFrame:
     """Search results (qid, title, url, snippet, provider, rank) re-ranked by word overlap, source and old rank."""
     words = lambda c: F.array_distinct(T.query_keywords(c))
     q = queries.select("qid", words(F.col("text")).alias("qk"), F.lower("text").alias("ql"))
-    j = results.join(F.broadcast(q), "qid")
+    j = results.join(q, "qid")
     host = F.replace(U.netloc(F.col("url")), F.lit("."), F.lit(" "))
     j = j.withColumns({"tk": words(F.col("title")), "bk": F.array_union(F.array_union(words(F.col("title")), words(F.col("snippet"))), words(host))})
     n, quality = F.greatest(F.size("qk"), F.lit(1)), U.source_quality(F.col("url"))

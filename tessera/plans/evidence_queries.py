@@ -204,14 +204,21 @@ def a6_a7_verify_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.verify(*_claims(spark, sf_dir)).select("qid", "pos", F.round("support", 6).alias("support"), "status")
 
 
-_VERDICT = "CASE pos % 4 WHEN 0 THEN 'Contradicted' WHEN 1 THEN 'unsure' END"
+# Judgements of two claims in three, with verdicts in several spellings and confidences beyond both ends.
+_VERDICTS = ["Contradicted", "unsure", "SUPPORTED", "insufficient", "weak", "weak "]
+_GIVEN_VERDICT = "CASE WHEN pos % 7 < 6 THEN [" + ", ".join(f"'{v}'" for v in _VERDICTS) + "][(pos % 7 + 1)::INT] END"
 
 
-@query(_CL + f" SELECT qid, pos::BIGINT AS pos, CASE WHEN pos % 4 = 0 THEN 'contradicted' ELSE 'weak' END AS status, CASE WHEN pos % 4 = 0 THEN 1.0 WHEN pos % 4 = 1 THEN 0.0 ELSE 0.1 END::DOUBLE AS support, CASE WHEN pos % 4 < 2 THEN 'judge' ELSE 'lexical' END AS verifier FROM kept")
+@query(
+    _CL
+    + f""", g AS (SELECT qid, pos, {_GIVEN_VERDICT} AS verdict, (length(claim) % 13 - 3) / 5.0::DOUBLE AS confidence, pos % 3 < 2 AS judged FROM kept)
+SELECT qid, pos::BIGINT AS pos, CASE WHEN judged AND lower(verdict) IN ('supported', 'weak', 'contradicted', 'insufficient') THEN lower(verdict) ELSE 'needs_review' END AS status, CASE WHEN judged THEN greatest(0, least(1, confidence)) ELSE 0.1 END::DOUBLE AS support, CASE WHEN judged THEN 'judge' ELSE 'lexical' END AS verifier FROM g"""
+)
 def j13_merge_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = _claims(spark, sf_dir)[0].select("qid", "pos", F.lit("weak").alias("status"), F.lit(0.1).alias("support"))
-    judged = claims.where("pos % 4 < 2").select("qid", "pos", F.expr(_VERDICT).alias("verdict"), F.expr("CASE pos % 4 WHEN 0 THEN 1.5D ELSE -1D END").alias("confidence"))
-    return C.merge_judgements(claims, judged)
+    claims = _claims(spark, sf_dir)[0].select("qid", "pos", "claim", F.lit("needs_review").alias("status"), F.lit(0.1).alias("support"))
+    verdict = F.get(F.array(*map(F.lit, _VERDICTS)), (F.col("pos") % 7).cast("int"))
+    judged = claims.where("pos % 3 < 2").select("qid", "pos", verdict.alias("verdict"), ((F.length("claim") % 13 - 3) / 5.0).alias("confidence"))
+    return C.merge_judgements(claims.drop("claim"), judged)
 
 
 # Planning, on the benchmark's texts behind a few leading words.

@@ -116,7 +116,7 @@ def l10_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     before = f.groupBy("part").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     place = F.row_number().over(Window.partitionBy("part").orderBy("f", "doc_id"))
-    return f.withColumn("r", place).join(F.broadcast(before), "part").select("doc_id", ((F.col("first") + F.col("r") - 1) % 5).cast("long").alias("fold"))
+    return f.withColumn("r", place).join(before, "part").select("doc_id", ((F.col("first") + F.col("r") - 1) % 5).cast("long").alias("fold"))
 
 
 _M = "((n_chars * 7 + doc_id) % 700) / 100::DOUBLE - 1"
