@@ -41,6 +41,19 @@ def test_a_very_long_word():
     assert h[0] == h[2] != h[1]
 
 
+def test_words_of_a_very_long_text():
+    """20 MB in one text: places and hashes take memory, flags hardly any; words across stretches are whole."""
+    import tracemalloc
+
+    text = pa.array([None, "word " * 4_000_000, "x" * (9 << 20) + " End"])
+    tracemalloc.start()
+    w = words(text, lower=True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert w.counts.tolist() == [0, 4_000_000, 2] and len(np.unique(w.hash)) == 3
+    assert w.end[-2] - w.start[-2] == 9 << 20 and peak < 12 * 20_000_000
+
+
 def expected_repeats(docs, n=13):
     first = {}
     for d, t in docs:
@@ -300,3 +313,42 @@ def test_decontaminate(spark, copied_docs):
     assert D.contamination(out, bench).where("contaminated").count() == 0
     empty = D.decontaminate(copied_docs, spark.createDataFrame([], "item_id long, text string"))
     assert sorted(map(str, empty.collect())) == sorted(map(str, copied_docs.collect()))
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    """Every stage on what its predecessor kept, by plain Python."""
+    import corpus_pipeline as C
+
+    sf = "/root/testdata/sf0.001"
+    rows = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    stages = dict(C.STAGES)
+    first = spark.read.parquet(f"{sf}/documents.parquet")
+    known = stages["language_id"](spark, first, sf)
+    assert rows(known) == {d: t for d, t in rows(first).items() if re.search(r"[^\W\d_]", t or "")}
+    single = stages["near_duplicates"](spark, known, sf)
+    groups = expected_groups(list(rows(known).items()))
+    assert rows(single).keys() == {g[1] for g in groups}
+    whole = stages["substring_dedup"](spark, single, sf)
+    removed = {d: (n, digest) for d, _, n, digest in expected_repeats(list(rows(single).items()))}
+    after = rows(whole)
+    for d, text in rows(single).items():
+        n, digest = removed[d]
+        kept = WORD.findall(after.get(d) or "")
+        assert hashlib.sha256(" ".join(kept).encode()).hexdigest() == digest and (n or after[d] == text)
+    clean = stages["decontamination"](spark, whole, sf)
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    hits = {d: (n, k) for d, n, k, *_ in expected_hits(list(after.items()), items)}
+    last = rows(clean)
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for d, text in after.items():
+        n, k = hits[d]
+        assert len(ALNUM.findall((last.get(d) or "").translate(low))) == n - k and (k or last[d] == text)
+    assert not [k for k in expected_hits(list(last.items()), items) if k[2]]
+    packed = stages["packing"](spark, clean, sf).collect()
+    assert {r["doc_id"] for r in packed} == last.keys()
+    by_sequence = defaultdict(list)
+    for r in packed:
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+    for placed in by_sequence.values():
+        ends = np.cumsum([n for _, n in sorted(placed)])
+        assert [o for o, _ in sorted(placed)] == [0, *ends[:-1].tolist()] and ends[-1] <= 2048
