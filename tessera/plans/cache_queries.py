@@ -101,7 +101,7 @@ _DIVIDED = r"rtrim(rtrim((regexp_extract(b, '^([-+]?\d+)/', 1)::DECIMAL(30, 6) /
 
 @query(
     rf"""WITH w AS (SELECT o_orderkey, o_custkey, trim(regexp_replace({_WRITTEN.replace('as string', 'as varchar')}, '[,$%]', '', 'g')) AS a FROM orders), x AS (SELECT o_orderkey, o_custkey, rtrim(a, '.') AS b FROM w)
-SELECT o_orderkey, CASE WHEN regexp_matches(b, '^[-+]?\d+/[1-9]\d*$') AND o_orderkey % 12 = 7 THEN {_DIVIDED} WHEN o_orderkey % 12 = 1 THEN ['1/0', '1', '0.5', '0.3333333333333333333333333333', '0.25', '0.2', '0.1666666666666666666666666667', '0.1428571428571428571428571429'][o_custkey % 8 + 1]
+SELECT o_orderkey, CASE WHEN regexp_matches(b, '^[-+]?\d+/[1-9]\d*$') AND o_orderkey % 12 = 7 THEN CASE WHEN o_custkey % 4 = 0 THEN rtrim((-(o_custkey // 4))::VARCHAR, '0') ELSE {_DIVIDED} END WHEN o_orderkey % 12 = 1 THEN ['1/0', '1', '0.5', '0.3333333333333333333333333333', '0.25', '0.2', '0.1666666666666666666666666667', '0.1428571428571428571428571429'][o_custkey % 8 + 1]
  WHEN {_PLAIN_NUMBER} THEN {_SIGN} || CASE WHEN {_FRAC} <> '' THEN CASE WHEN {_INT} = '' THEN '0' ELSE {_INT} END || '.' || {_FRAC} ELSE {_EXP} END ELSE b END AS number FROM x"""
 )
 def t35_normalize_number(spark: SparkSession, sf_dir: str) -> DataFrame:

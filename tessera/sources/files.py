@@ -72,18 +72,20 @@ def read_topics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_rows(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> DataFrame:
-    """JSON lines with their place (path, line); a broken line is an error that names its place, no row at all is one too."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("pos", "raw"))
-    lines = text.where(F.trim("raw") != "").select("path", (F.col("pos") + 1).alias("line"), "raw")
-    place = F.concat(F.lit("broken line "), F.element_at(F.split("path", "/"), -1), F.lit(":"), F.col("line").cast("string"))
-    kind = f"{schema}, _broken string"
-    parsed = lines.withColumn("r", F.from_json("raw", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))
-    checked = parsed.withColumn("ok", F.when(F.col("r._broken").isNull(), True).otherwise(F.raise_error(place).cast("boolean"))).where("ok")
-    rows = checked.select("path", "line", "r.*").drop("_broken")
-    rows = rows.orderBy("path", "line").limit(limit) if limit else rows
+    """JSON lines that are all whole: a broken line is an error that names its file and line, no row at all is one too.
+
+    Files are split as usual; only one that has a broken line is read as a whole, to say where.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path")).where(F.trim("value") != "")
+    parsed = lines.withColumn("r", F.from_json("value", f"{schema}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))
+    broken = parsed.where("r._broken is not null").select("path", "value").first()
+    if broken:
+        whole = spark.read.text(broken["path"], wholetext=True).first()["value"].split("\n")
+        raise ValueError(f"broken line {broken['path']}:{whole.index(broken['value']) + 1}")
+    rows = parsed.select("r.*").drop("_broken")
     if rows.isEmpty():
         raise ValueError(f"no rows in {path}")
-    return rows
+    return rows.limit(limit) if limit else rows
 
 
 def write_zip(lines: DataFrame, path: str, member: str) -> None:

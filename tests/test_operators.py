@@ -278,7 +278,7 @@ def test_primary_citations(spark):
 
 def test_numbers(spark):
     cases = {
-        "$1,200.50": "1200.5", "3/4": "0.75", "abc": "abc", "1000000": "1e6", None: None, "": None, "1/-2": "1/-2", "-1/-2": "-1/-2", "+3/+4": "+3/+4", "+3/4": "0.75", "-1/2": "-0.5", "7/0": "7/0", "0": "0", "-0": "-0", "0.00": "0",
+        "$1,200.50": "1200.5", "3/4": "0.75", "abc": "abc", "1000000": "1e6", None: None, "": None, "1/-2": "1/-2", "-1/-2": "-1/-2", "+3/+4": "+3/+4", "+3/4": "0.75", "-1/2": "-0.5", "-0/4": "", "-40/4": "-1", "7/0": "7/0", "0": "0", "-0": "-0", "0.00": "0",
         "007": "7", "12.": "12", ".50": "0.5", "-1,200": "-1.2e3", "100%": "1e2", "40/2": "2", "1.5/2": "1.5/2", "1e5": "1e5", "0.0000001": "1E-7", "0.000001": "0.000001", "1" * 30: "1.111111111111111111111111111e29", "http://a/b": "http://a/b", "-": "-", ".": "",
     }
     df = spark.createDataFrame([(t, x) for t, x in cases.items()], "t string, want string").select("t", "want", N.normalize_number(F.col("t")).alias("x"))
@@ -303,6 +303,30 @@ def test_jsonl_round_trip(spark, tmp_path):
     assert files.read_jsonl(spark, str(tmp_path / "j"), "a long, b string, c string").collect() == df.collect()
 
 
+def test_broken_lines_are_named(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"a": 1}\n\n{"a": 2}\n{"a": \n')
+    with pytest.raises(ValueError, match=r"a\.jsonl:4"):
+        files.read_rows(spark, str(tmp_path / "a.jsonl"), "a long")
+    (tmp_path / "b.jsonl").write_text('{"a": 1}\n\n{"a": 2}\n')
+    assert [r["a"] for r in files.read_rows(spark, str(tmp_path / "b.jsonl"), "a long", 1).collect()] == [1]
+    (tmp_path / "c.jsonl").write_text("\n")
+    with pytest.raises(ValueError, match="no rows"):
+        files.read_rows(spark, str(tmp_path / "c.jsonl"), "a long")
+
+
+def test_parameters():
+    from tessera.functions import params as PA
+
+    assert PA.weight_grid(["a b:1,0,0", "0.5,0.25,0.25"]) == [("a_b", 1.0, 0.0, 0.0), ("d0.5_s0.25_c0.25", 0.5, 0.25, 0.25)]
+    assert PA.surface_counts("a=2, b=0") == {"a": 2, "b": 0} and PA.surface_weights("b=3", ["a", "b"]) == {"a": 1.0, "b": 3.0} and PA.surface_list("a,b", ["a", "b"]) == ["a", "b"]
+    assert [t[1] for t in PA.reranking_tasks(["zh", "HC3Reranking", "FinEvaReranking"])] == ["FinEvaReranking", "DISCFinLLMReranking", "HC3Reranking"]
+    for wrong in (lambda: PA.weight_grid(["x:1,0,0", "x:0,1,0"]), lambda: PA.weights("0,0,0"), lambda: PA.weights("1,-1,0"), lambda: PA.surface_counts("a=1,a=2"), lambda: PA.surface_counts(""), lambda: PA.surface_weights("c=1", ["a"]), lambda: PA.surface_list("z", ["a"])):
+        with pytest.raises(ValueError):
+            wrong()
+    with pytest.raises(KeyError):
+        PA.reranking_tasks("none")
+
+
 def test_scores_must_cover(spark):
     wanted = spark.createDataFrame([("a", 1), ("b", 2)], "cid string, pos int")
     assert files.check_scores(spark.createDataFrame([("b", 0.2), ("a", 0.1)], "cid string, score double"), wanted).count() == 2
