@@ -39,14 +39,17 @@ from tessera.llm._store import freeze
 from tessera.llm._words import mix, words
 
 #: Gibbs sweeps, and how many of them come before those that are averaged.
-SWEEPS = 3
+SWEEPS = 4
 BURN_IN = 1
 #: Concentrations of the context restaurants and of their parent; discounts are set from the counts of ones and twos.
 STRENGTH = 0.5
 PARENT_STRENGTH = 1.0
 #: Stirling numbers of cells of up to so many customers come from their recurrence.
-EXACT = 48
-#: Table numbers that are weighed for a larger cell; where its law is wider, they stand for equal stretches of it.
+EXACT = 512
+#: Larger cells of up to so many tables (and an eighth of their customers) read Stirling numbers from a grid of customers, between whose lines they are interpolated.
+NEAR = 512
+STEP = 0.05
+#: Table numbers that are weighed for other cells; where its law is wider, they stand for equal stretches of it.
 POINTS = 64
 BLOCK_BYTES = 8 << 20
 
@@ -58,7 +61,7 @@ _PAIR = np.uint64(0x9FB21C651E98DF25)
 @lru_cache(maxsize=8)
 def _stirling(discount: float) -> np.ndarray:
     """Logarithms of generalised Stirling numbers, for up to ``EXACT`` customers at each number of tables."""
-    s = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    s = np.full((EXACT + 1, NEAR + 1), -np.inf)
     s[1, 1] = 0
     for c in range(1, EXACT):
         stay = np.log(np.maximum(c - discount * np.arange(c + 1), 1e-300)) + s[c, : c + 1]
@@ -67,6 +70,16 @@ def _stirling(discount: float) -> np.ndarray:
     return s
 
 
+@lru_cache(maxsize=8)
+def _near_stirling(discount: float, doublings: int) -> np.ndarray:
+    """The same for numbers of tables up to ``NEAR``, less what doesn't depend on them, at customers that rise by factors of exp(``STEP``) over so many doublings."""
+    c = (EXACT + 1) * np.exp(STEP * np.arange(math.ceil(doublings * math.log(2) / STEP) + 2))
+    t = np.broadcast_to(np.arange(1.0, NEAR + 1), (len(c), NEAR))
+    s = np.full((len(c), NEAR + 1), -1e30)
+    s[:, 1:] = np.where(t <= c[:, None], log_stirling(c, np.minimum(t, c[:, None]), discount), -1e30)
+    return s
+
+
 def _uniform(seed: np.ndarray, salt: int) -> np.ndarray:
     """Numbers over 0 and below 1 that a hash decides."""
     step = np.uint64(salt * 0xD6E8FEB86659FD93 % (1 << 64))
@@ -76,24 +89,44 @@ def _uniform(seed: np.ndarray, salt: int) -> np.ndarray:
 def draw_tables(customers: np.ndarray, weight: np.ndarray, discount: float, seed: np.ndarray, sweep: int) -> np.ndarray:
     """Tables of cells with ``customers``, where a new table weighs ``weight`` and an old one its customers less the discount."""
     tables = np.minimum(customers, 1).astype(np.int64)
-    small = np.flatnonzero((customers > 1) & (customers <= EXACT))
-    if len(small):
-        stirling, own_customers = _stirling(discount), customers[small]
-        u, log_weight = _uniform(seed[small], sweep), np.log(np.maximum(weight[small], 1e-300))
-        order = np.argsort(own_customers, kind="stable")
-        for own in np.split(order, np.flatnonzero(np.diff(own_customers[order])) + 1):
-            c = int(own_customers[own[0]])
-            t = np.arange(1, c + 1)
-            for part in np.array_split(own, max(1, len(own) * c >> 20)):
-                p = stirling[c, 1 : c + 1] + t * log_weight[part, None]
-                p = np.cumsum(np.exp(p - p.max(axis=1, keepdims=True)), axis=1)
-                tables[small[part]] = 1 + (u[part, None] * p[:, -1:] > p).sum(axis=1)
-    large = np.flatnonzero(customers > EXACT)
-    if len(large):
-        tables[large] = _draw_large(customers[large].astype(float), np.maximum(weight[large], 1e-300), discount, _uniform(seed[large], sweep))
+    several = np.flatnonzero(customers > 1)
+    c, w, u = customers[several], np.maximum(weight[several], 1e-300), _uniform(seed[several], sweep)
+    # Tables are less spread than a Poisson number of mean w / discount, and one.
+    mean = w / discount
+    most = np.minimum(np.ceil(mean + 6 * np.sqrt(mean) + 8), 1 << 62).astype(np.int64)
+    small = c <= EXACT
+    far = ~small & ((most > NEAR) | (most > np.maximum(c, EXACT) // 8))
+    if far.any():
+        tables[several[far]] = _draw_large(c[far].astype(float), w[far], discount, u[far])
+    # The row of the weights' table that a cell reads, and how much of the next one.
+    # In steps of eight doublings, so that a worker makes few tables.
+    exact, near = _stirling(discount), _near_stirling(discount, 8 * max(1, -(-(int(c.max(initial=1)).bit_length() - 9) // 8)))
+    step = (np.log(np.maximum(c, EXACT + 1)) - math.log(EXACT + 1)) / STEP
+    row = np.where(small, c, EXACT + 1 + np.minimum(step.astype(np.int64), len(near) - 2))
+    share = np.where(small, 0.0, step - (row - EXACT - 1))
+    rows = np.concatenate([exact, near])
+    most, log_w = np.where(small, np.minimum(c, most), most), np.log(w)
+    order = np.flatnonzero(~far)
+    order = order[np.argsort(most[order], kind="stable")]
+    for own in np.array_split(order, -(-len(order) // 4096)) if len(order) else []:
+        t = np.arange(1, int(most[own[-1]]) + 1)
+        # Of the recurrence's cells, numbers of tables beyond the customers weigh nothing.
+        own_small, own_near = own[small[own]], own[~small[own]]
+        p = t * log_w[own_small, None] + rows[row[own_small], 1 : len(t) + 1]
+        tables[several[own_small]] = _drawn(p, u[own_small])
+        at = row[own_near]
+        p = t * log_w[own_near, None] + rows[at, 1 : len(t) + 1] * (1 - share[own_near, None]) + rows[at + 1, 1 : len(t) + 1] * share[own_near, None]
+        tables[several[own_near]] = _drawn(p, u[own_near])
     return tables
 
 
+def _drawn(p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Numbers from 1, drawn by logarithms of weights."""
+    p = np.exp(p - p.max(axis=1, keepdims=True)) if len(p) else p
+    np.cumsum(p, axis=1, out=p)
+    return 1 + (u[:, None] * p[:, -1:] > p).sum(axis=1)
+
+
 def _draw_large(c: np.ndarray, w: np.ndarray, d: float, u: np.ndarray) -> np.ndarray:
     """Tables of cells beyond the recurrence, from the weights of up to ``POINTS`` table numbers around the likely ones."""
     middle, spread = _likely_tables(c, w, d)
@@ -157,7 +190,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
 
 
 def log_stirling(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
-    """Logarithms of generalised Stirling numbers S(c, t); a row of ``t`` (real numbers from 1 to c) for each of ``c``."""
+    """Logarithms of generalised Stirling numbers S(c, t), less that of Gamma(c - d); a row of ``t`` (real numbers from 1 to c) for each of ``c``."""
     # Where the alternating sum keeps enough digits: a bound on the logarithm of what its terms lose.
     most = 12.0 if d < 0.5 else 25.0
     inside = most ** (1 - d) * c**d
@@ -181,7 +214,7 @@ def _alternating_sum(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
         sums += (-1) ** (j + 1) * math.sin(math.pi * d * j) / math.pi * size
         if j > 2 and (np.abs(size) <= 1e-9 * np.abs(sums)).all():
             break
-    return np.log(np.maximum(sums, 1e-300)) + base[:, None] - log_gamma(t + 1) - t * math.log(d)
+    return np.log(np.maximum(sums, 1e-300)) - log_gamma(t + 1) - t * math.log(d)
 
 
 def _saddle_point(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
@@ -197,8 +230,9 @@ def _saddle_point(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     r_step = -(e + 1) / e / e + second + (third * step - second**2) / step**2
     skew, tail = e * r * r / (mean * step), e * r * ((e + 1) / e + r + r_step / r) / (mean * step)
     more = np.clip((tail / 8 - 5 * skew / 24) / t, -0.5, 0.5)
-    out = log_gamma(c + 1) - log_gamma(t + 1) + t * np.log(phi) - c * np.log(-np.expm1(-y)) - 0.5 * np.log(2 * math.pi * t * e * mean * step) + np.log1p(more)
-    return np.where(t >= c, 0.0, out)
+    base = log_gamma(c - d)
+    out = log_gamma(c + 1) - base - log_gamma(t + 1) + t * np.log(phi) - c * np.log(-np.expm1(-y)) - 0.5 * np.log(2 * math.pi * t * e * mean * step) + np.log1p(more)
+    return np.where(t >= c, -base, out)
 
 
 def tokenised(rows: pa.RecordBatch) -> pa.RecordBatch:
