@@ -133,7 +133,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Parts between sentence ends that white space follows."""
-    return F.filter(F.transform(F.split(text, f"(?<=[.!?。！？]){SPACE}+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, f"(?<=[.!?。！？]){SPACE}+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def split_passages(text: Column, target: int = 900, overlap: int = 0) -> Column:
@@ -227,7 +227,7 @@ def citation_ids(text: Column) -> Column:
 
 def split_claims(line: Column) -> Column:
     """Parts of a line at sentence ends, not before a citation."""
-    return F.filter(F.transform(F.split(line, f"(?<=[.!?。！？]){SPACE}+(?!\\[\\d)"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(line, f"(?<=[.!?。！？]){SPACE}+(?!\\[\\d)"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def strip_list_marker(line: Column) -> Column:

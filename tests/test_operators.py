@@ -47,6 +47,14 @@ def test_passages_carry_overlap(spark):
     assert got == ["First sentence here.", "ere. Second sentence here."]
 
 
+def test_sentences_keep_the_digits_of_their_place(spark):
+    """``transform`` hands a function of two parameters the place too: trimming must not take that for what it trims."""
+    t = "0 is first. 1 follows 1. 2 comes at 2"
+    assert one(spark, T.sentences(F.col("t")), t=t) == ["0 is first.", "1 follows 1.", "2 comes at 2"]
+    assert one(spark, T.split_passages(F.col("t")), t=t) == [t]
+    assert one(spark, T.split_claims(F.col("t")), t=t) == ["0 is first.", "1 follows 1.", "2 comes at 2"]
+
+
 def test_code_tokens_repeat_plain_words(spark):
     assert one(spark, T.code_tokens(F.col("t")), t="getName(x_1) >= 2") == ["getname", "get", "name", "(", "x_1", "x", "1", ")", ">=", "2"]
 
