@@ -7,6 +7,7 @@ and only for texts that have an ampersand).
 from __future__ import annotations
 
 import html
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -168,6 +169,22 @@ def _packed(sentences: list[str], target: int, overlap: int) -> list[str]:
     return passages
 
 
+_SENTENCE_END, _WORD, _CJK = re.compile("[.!?。！？] "), re.compile(WORD), re.compile("[\u3400-\u9fff]")
+
+
+def passages_of(text: str | None, target: int = 900) -> list[str]:
+    """``split_passages(clean_text(text), target)`` of one text, for tasks that read texts in Python anyway."""
+    clean = " ".join((html.unescape(text) if "&" in text else text).split()) if text else ""
+    at = [0, *(m.end() for m in _SENTENCE_END.finditer(clean)), len(clean) + 1]
+    return _packed([clean[a : b - 1] for a, b in zip(at, at[1:])], target, 0) if clean else []
+
+
+def tokens_of(low: str) -> list[str]:
+    """``tokenize`` of one text in lower case, stop words still among the words."""
+    cjk = _CJK.findall(low)
+    return _WORD.findall(low) + cjk + [a + b for a, b in zip(cjk, cjk[1:])]
+
+
 def contextual_passage(title: Column, domain: Column, snippet: Column, passage: Column) -> Column:
     """A passage behind its source's title, domain and snippet."""
     parts = F.array(F.concat(F.lit("Source title: "), title), F.concat(F.lit("Source domain: "), domain), F.when(snippet != "", F.concat(F.lit("Source snippet: "), snippet)), F.when(passage != "", passage))

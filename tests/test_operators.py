@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+import os
+import random
 import zipfile
 from itertools import permutations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +59,80 @@ def test_sentences_keep_the_digits_of_their_place(spark):
     assert one(spark, T.split_claims(F.col("t")), t=t) == ["0 is first.", "1 follows 1.", "2 comes at 2"]
 
 
+def test_passages_and_tokens_of_one_text(spark):
+    """Plain Python for tasks, the same as the columns."""
+    long = " ".join(f"Sentence {i} has Words, of {i * 7} kinds! \u3000Does it end? yes。然后 市场分。 It-does_2 ." for i in range(60))
+    texts = [None, "", " \t\n", "a", ". . ! ?", "a&nbsp;b &lt;c&gt;.\x1c\x85d. \u2003e&#33; f", "x" * 3000, "y" * 950 + ". z", long, long.upper()]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    clean = T.clean_text(F.col("t"))
+    for r in df.select("i", T.split_passages(clean).alias("p"), T.tokenize(F.col("t")).alias("k")).collect():
+        text = texts[r["i"]]
+        assert T.passages_of(text) == r["p"]
+        assert text is None or [w for w in T.tokens_of(text.lower()) if w not in T.RANK_STOPWORDS] == r["k"]
+
+
+def _evidence_docs(spark, rows):
+    return spark.createDataFrame(rows, "did long, title string, url string, snippet string, provider string, text string")
+
+
+def test_evidence_is_kept_small(spark, tmp_path):
+    """What is written of the passages is less than their texts: not the texts, their lower case and their tokens."""
+    words = [f"word{i}" for i in range(3000)]
+    rng = random.Random(3)
+    rows = [(i, f"Title {i}", f"http://a{i % 9}.org/{i}", "", "web", ". ".join(" ".join(rng.choices(words, k=12)) for _ in range(40))) for i in range(300)]
+    queries = spark.createDataFrame([(k, " ".join(rng.choices(words, k=8))) for k in range(20)], "qid long, text string")
+    sc, before = spark.sparkContext, spark.sparkContext.getCheckpointDir()
+    sc.setCheckpointDir(str(tmp_path))
+    try:
+        assert E.rank_evidence(queries, _evidence_docs(spark, rows)).count() == 160
+    finally:
+        sc._jsc.sc().setCheckpointDir(before)
+    written = sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(tmp_path) for f in names)
+    assert 0 < written < sum(len(r[-1]) for r in rows)
+
+
+def test_evidence_of_titles_snippets_and_copies(spark):
+    text = "solar panels give power."
+    rows = [
+        (1, "Solar panels", "http://a.org/1", "", "web", text),
+        (2, "Solar panels", "HTTP://A.org/1", "", "web", text),  # starts like 1 under the same URL
+        (3, "Solar panels", "http://b.org/1", "all of solar panels", "web", text),
+        (4, "Solar panels", "http://c.org/1", "", "official", text),
+        (5, "xsolar panelsx", "http://d.org/1", "", "web", "Nothing here."),  # only the title has the phrase, inside of words
+        (6, "Empty", "http://e.org/1", None, "web", None),
+        (7, None, None, None, None, "tides rise."),
+    ]
+    queries = spark.createDataFrame([(1, "solar panels"), (2, ""), (3, None), (4, "unheard")], "qid long, text string")
+    got = E.rank_evidence(queries, _evidence_docs(spark, rows)).orderBy("qid", "rank").collect()
+    assert [(r["qid"], r["did"], r["rank"]) for r in got] == [(1, 4, 1), (1, 3, 2), (1, 1, 3), (1, 5, 4)]
+    assert got[3]["score"] == pytest.approx(0.08 * 0.55 * one(spark, U.source_quality(F.col("u")), u="http://d.org/1"))
+    assert {r["passage"] for r in got[:3]} == {text} and got[0]["title"] == "Solar panels" and got[0]["provider"] == "official"
+
+
+@pytest.mark.parametrize("domains, urls", [(1, 3), (2, 40), (4, 2), (30, 2), (30, 30)])
+def test_best_of_parts_is_best_of_all(domains, urls):
+    """Against the rule, row by row: the best of each URL and three of each domain first, then the rest."""
+    rng = np.random.default_rng(domains * 100 + urls)
+    n, queries, limit = 400, 6, 8
+    url = [f"{rng.integers(domains)}/{rng.integers(urls)}" for _ in range(n)]
+    score = rng.integers(0, 60, (queries, n)) / 7.0
+    best = E._Best(queries, limit)
+    for lo in range(0, n, 23):
+        part = url[lo : lo + 23]
+        at = np.arange(len(part))
+        best.add(score[:, lo : lo + 23], at, at + lo, at * 0, pa.array(part), pa.array([u.split("/")[0] for u in part]))
+    k, did = best.rows()[:2]
+    for q in range(queries):
+        first, rest, seen, used = [], [], set(), {}
+        for i in sorted((i for i in range(n) if score[q, i] > 0), key=lambda i: (-round(score[q, i], 8), i)):
+            domain = url[i].split("/")[0]
+            lead = url[i] not in seen and used.get(domain, 0) < 3
+            used[domain] = used.get(domain, 0) + (url[i] not in seen)
+            seen.add(url[i])
+            (first if lead else rest).append(i)
+        assert sorted(did[k == q]) == sorted((first + rest)[:limit])
+
+
 def test_code_tokens_repeat_plain_words(spark):
     assert one(spark, T.code_tokens(F.col("t")), t="getName(x_1) >= 2") == ["getname", "get", "name", "(", "x_1", "x", "1", ")", ">=", "2"]
 
